@@ -73,6 +73,25 @@ def per_column(
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x): every number of every column, as doubles, nulls included.
+
+    Grouping this by column keeps the generated code small however many columns and
+    statistics there are; map-side combine leaves one row per task and column.
+    """
+    return long_values(df, columns, "x", "double", lambda c: number(df, c))
+
+
+def long_values(
+    df: DataFrame, columns: list[str], name: str, dtype: str, what: Callable[[str], Column]
+) -> DataFrame:
+    """(column, <name>): one expression per column, stacked below each other."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"column string, {name} {dtype}")
+    cells = [e for c in columns for e in (F.lit(c), what(c))]
+    return df.select(F.stack(F.lit(len(columns)), *cells).alias("column", name))
+
+
 def row_count(df: DataFrame) -> Column:
     """The number of rows as a scalar subquery, usable in any expression."""
     return df.select(F.count(F.lit(1)).alias("n")).scalar()

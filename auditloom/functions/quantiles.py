@@ -1,50 +1,56 @@
 """Exact linear quantiles that never hold a whole column in one task.
 
 Spark's ``percentile`` keeps every distinct value of a column in one aggregation
-buffer. That is fine up to ``DIRECT_ROWS`` rows. For larger tables the order
-statistics are found by narrowing: an approximate percentile gives an interval
-around the wanted rank, one counting pass tells exactly how many rows lie below
-it, and the interval is narrowed again until few values are left. Each pass is a
-single aggregate with map-side combine; nothing but bounds and counts comes back.
+buffer. That is fine up to ``DIRECT_ROWS`` rows. For larger tables the wanted order
+statistics are found by narrowing: approximate percentiles give bounds around each
+of them, one counting pass tells exactly how many rows lie on and between the
+bounds, and an interval that still holds many rows is narrowed again. Every pass is
+a grouped count with map-side combine; only bounds and counts come back.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.columns import col, number
+from auditloom.functions.columns import long_numbers, long_values, number
 
-DIRECT_ROWS = 1_000_000
-INTERVAL_ROWS = 50_000
+DIRECT_ROWS = 100_000
+INTERVAL_ROWS = 20_000
 ACCURACY = 10_000
 
+Quantiles = dict[str, list[float] | None]
 
-def quantile_columns(
+
+def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probs: list[float],
     n_rows: int | None = None,
     direct_rows: int = DIRECT_ROWS,
-) -> dict[str, Column]:
-    """Per column an ``array<double>`` expression of its quantiles, for use in ``agg``.
-
-    Null if the column has no value.
-    """
+    interval_rows: int = INTERVAL_ROWS,
+) -> Quantiles:
+    """Per column the list of its quantiles, or None if it holds no value."""
     if not columns:
         return {}
     if n_rows is None:
         n_rows = df.count()
-    if n_rows <= direct_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return {c: F.percentile(number(df, c), wanted) for c in columns}
-    found = narrowed_quantiles(df, columns, probs)
-    return {
-        c: F.array(*[F.lit(v).cast("double") for v in found[c]]) if found[c] else F.lit(None).cast("array<double>")
-        for c in columns
-    }
+    if n_rows > direct_rows:
+        return narrowed_quantiles(df, columns, probs, interval_rows)
+    wanted = F.percentile("x", F.array(*[F.lit(float(p)) for p in probs]))
+    rows = long_numbers(df, columns).groupBy("column").agg(wanted.alias("q")).collect()
+    found = {r["column"]: r["q"] for r in rows}
+    return {c: found.get(c) for c in columns}
+
+
+def quantile_frame(df: DataFrame, found: Quantiles, names: list[str]) -> DataFrame:
+    """(column, *names): one row per column that holds a value."""
+    rows = [(c, *q) for c, q in found.items() if q is not None]
+    schema = ", ".join(["column string", *[f"{n} double" for n in names]])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def narrowed_quantiles(
@@ -53,48 +59,39 @@ def narrowed_quantiles(
     probs: list[float],
     interval_rows: int = INTERVAL_ROWS,
     accuracy: int = ACCURACY,
-) -> dict[str, list[float] | None]:
-    """Exact quantiles by repeated narrowing; the result has one list per column."""
-    data = df.select(*[number(df, c).alias(c) for c in columns])
-    first = data.agg(
-        *[
-            F.struct(F.count(col(c)).alias("n"), F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")).alias(c)
-            for c in columns
-        ]
-    ).first()
-
-    # One search per (column, rank). `lo` and `hi` are known values with the wanted
-    # rank at or between them; `at_lo` rows are <= lo and `below_hi` rows are < hi.
-    searches: dict[tuple[str, int], dict] = {}
+) -> Quantiles:
+    sizes = _approximate(long_numbers(df, columns), {c: probs for c in columns}, accuracy)
+    n = {c: sizes[c]["n"] if c in sizes else 0 for c in columns}
+    bounds = {c: _sorted(sizes[c]["guess"] + [sizes[c]["lo"], sizes[c]["hi"]]) for c in columns if n[c]}
+    open_ranks = {c: {r for p in probs for r in _ranks(p, n[c])} for c in bounds}
     answers: dict[tuple[str, int], float] = {}
-    for c in columns:
-        n = first[c]["n"]
-        for rank in {r for p in probs for r in _ranks(p, n)} if n else ():
-            searches[c, rank] = {"lo": first[c]["lo"], "hi": first[c]["hi"], "at_lo": None, "below_hi": None}
-
-    while searches:
-        _count_edges(data, searches)
-        for key, s in list(searches.items()):
-            if key[1] < s["at_lo"]:
-                answers[key] = s["lo"]
-            elif key[1] >= s["below_hi"]:
-                answers[key] = s["hi"]
-            else:
-                continue
-            del searches[key]
-        small = {k: s for k, s in searches.items() if s["below_hi"] - s["at_lo"] <= interval_rows}
-        if small:
-            answers.update(_read_intervals(data, small))
-            searches = {k: s for k, s in searches.items() if k not in small}
-        if searches:
-            _narrow(data, searches, accuracy)
+
+    while open_ranks:
+        cells = _count_cells(df, bounds)
+        wide: dict[str, set[int]] = {}
+        small: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for c, ranks in open_ranks.items():
+            for rank in ranks:
+                cell, before, size = _locate(cells[c], rank)
+                if cell % 2:  # odd cells are the bounds themselves
+                    answers[c, rank] = bounds[c][cell // 2]
+                elif size <= interval_rows:
+                    small.setdefault((c, cell), []).append((rank, rank - before))
+                else:
+                    wide.setdefault(c, set()).add(rank)
+        answers.update(_read_cells(df, bounds, small))
+        bounds = _narrower(df, bounds, cells, wide, accuracy)
+        open_ranks = wide
 
     return {
-        c: [_interpolate(p, first[c]["n"], c, answers) for p in probs] if first[c]["n"] else None
-        for c in columns
+        c: [_interpolate(p, n[c], c, answers) for p in probs] if n[c] else None for c in columns
     }
 
 
+def _sorted(values) -> list[float]:
+    return sorted({float(v) for v in values})
+
+
 def _ranks(p: float, n: int) -> tuple[int, int]:
     position = p * (n - 1)
     return math.floor(position), math.ceil(position)
@@ -106,67 +103,98 @@ def _interpolate(p: float, n: int, c: str, answers: dict) -> float:
     return answers[c, low] + (answers[c, high] - answers[c, low]) * share
 
 
-def _inside(c: str, s: dict) -> Column:
-    return (col(c) > F.lit(s["lo"])) & (col(c) < F.lit(s["hi"]))
-
-
-def _count_edges(data: DataFrame, searches: dict) -> None:
-    keys = list(searches)
-    row = data.agg(
-        *[F.count_if(col(c) <= F.lit(searches[c, r]["lo"])).alias(f"at_{i}") for i, (c, r) in enumerate(keys)],
-        *[F.count_if(col(c) < F.lit(searches[c, r]["hi"])).alias(f"below_{i}") for i, (c, r) in enumerate(keys)],
-    ).first()
-    for i, key in enumerate(keys):
-        searches[key]["at_lo"] = row[f"at_{i}"]
-        searches[key]["below_hi"] = row[f"below_{i}"]
-
-
-def _read_intervals(data: DataFrame, searches: dict) -> dict:
-    """The wanted value out of an interval known to hold at most `interval_rows` rows."""
-    keys = list(searches)
-    row = data.agg(
-        *[
-            F.element_at(
-                F.sort_array(F.collect_list(F.when(_inside(c, searches[c, r]), col(c)))),
-                r - searches[c, r]["at_lo"] + 1,
-            ).alias(f"v_{i}")
-            for i, (c, r) in enumerate(keys)
-        ]
-    ).first()
-    return {key: row[f"v_{i}"] for i, key in enumerate(keys)}
-
-
-def _narrow(data: DataFrame, searches: dict, accuracy: int) -> None:
-    """Move the bounds towards the wanted rank, but only where counts confirm them."""
-    keys = list(searches)
-    guesses = []
-    for i, (c, r) in enumerate(keys):
-        s = searches[c, r]
-        inside = s["below_hi"] - s["at_lo"]
-        centre = (r - s["at_lo"]) / max(inside - 1, 1)
-        spread = 4.0 / accuracy
-        pair = [max(0.0, centre - spread), min(1.0, centre + spread)]
-        guesses.append(
-            F.percentile_approx(F.when(_inside(c, s), col(c)), pair, accuracy).alias(f"g_{i}")
-        )
-    row = data.agg(*guesses).first()
-    tests = []
-    for i, (c, r) in enumerate(keys):
-        low, high = row[f"g_{i}"]
-        tests += [
-            F.count_if(col(c) < F.lit(low)).alias(f"lt_{i}"),
-            F.count_if(col(c) <= F.lit(high)).alias(f"le_{i}"),
-        ]
-    counted = data.agg(*tests).first()
-    for i, (c, r) in enumerate(keys):
-        low, high = row[f"g_{i}"]
-        s = searches[c, r]
-        # rank r lies at or above `low` / at or below `high`, else the bound moves past it
-        if counted[f"lt_{i}"] <= r:
-            s["lo"] = low
-        else:
-            s["hi"] = low
-        if counted[f"le_{i}"] > r:
-            s["hi"] = min(s["hi"], high)
-        else:
-            s["lo"] = max(s["lo"], high)
+def _approximate(long: DataFrame, probs: dict[str, list[float]], accuracy: int) -> dict[str, dict]:
+    """Per column its size, extremes, and values near each wanted share from both sides."""
+    spread = 4.0 / accuracy
+    near = sorted({min(1.0, max(0.0, p + s)) for ps in probs.values() for p in ps for s in (-spread, spread)})
+    rows = long.groupBy("column").agg(
+        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.percentile_approx("x", near, accuracy).alias("guess"),
+    )
+    return {r["column"]: r.asDict() for r in rows.collect() if r["n"]}
+
+
+def _cell(df: DataFrame, c: str, bounds: list[float]) -> Column:
+    """Where a value lies: 2i+1 on bound i, 2i between bounds i-1 and i."""
+    x = number(df, c)
+    return reduce(
+        lambda a, b: a + b, [(x >= F.lit(b)).cast("int") + (x > F.lit(b)).cast("int") for b in bounds]
+    )
+
+
+def _count_cells(df: DataFrame, bounds: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:
+    counted = (
+        long_values(df, list(bounds), "cell", "int", lambda c: _cell(df, c, bounds[c]))
+        .where(F.col("cell").isNotNull())
+        .groupBy("column", "cell")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    out: dict[str, list[tuple[int, int]]] = {}
+    for r in sorted(counted.collect()):
+        out.setdefault(r["column"], []).append((r["cell"], r["n"]))
+    return out
+
+
+def _locate(cells: list[tuple[int, int]], rank: int) -> tuple[int, int, int]:
+    before = 0
+    for cell, size in cells:
+        if rank < before + size:
+            return cell, before, size
+        before += size
+    raise AssertionError("a rank lies beyond the counted rows")
+
+
+def _in_cells(df: DataFrame, bounds: dict, wanted: dict[str, list[int]]) -> DataFrame:
+    """(column, cell, x) of the rows in the wanted open intervals."""
+    parts = []
+    for c, cells in wanted.items():
+        for cell in cells:
+            low, high = bounds[c][cell // 2 - 1], bounds[c][cell // 2]
+            x = number(df, c)
+            parts.append((c, cell, F.when((x > F.lit(low)) & (x < F.lit(high)), x)))
+    cells = [e for c, cell, x in parts for e in (F.lit(c), F.lit(cell), x)]
+    return df.select(F.stack(F.lit(len(parts)), *cells).alias("column", "cell", "x")).where(F.col("x").isNotNull())
+
+
+def _read_cells(df: DataFrame, bounds: dict, small: dict[tuple[str, int], list[tuple[int, int]]]) -> dict:
+    """The wanted values out of intervals known to hold few rows."""
+    if not small:
+        return {}
+    wanted: dict[str, list[int]] = {}
+    for c, cell in small:
+        wanted.setdefault(c, []).append(cell)
+    values = _in_cells(df, bounds, wanted).groupBy("column", "cell").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    places = {key: [place for _, place in ranks] for key, ranks in small.items()}
+    pick = F.create_map(
+        *[e for (c, cell), p in places.items() for e in (F.lit(f"{cell}:{c}"), F.array(*[F.lit(i) for i in p]))]
+    )
+    here = F.element_at(pick, F.concat(F.col("cell").cast("string"), F.lit(":"), F.col("column")))
+    rows = values.select("column", "cell", F.transform(here, lambda i: F.get("xs", i)).alias("got")).collect()
+    return {
+        (r["column"], rank): r["got"][i]
+        for r in rows
+        for i, (rank, _) in enumerate(small[r["column"], r["cell"]])
+    }
+
+
+def _narrower(df: DataFrame, bounds: dict, cells: dict, wide: dict[str, set[int]], accuracy: int) -> dict:
+    """New bounds inside the intervals that still hold too many rows."""
+    out: dict[str, list[float]] = {}
+    wanted: dict[str, list[int]] = {}
+    shares: dict[tuple[str, int], list[float]] = {}
+    for c, ranks in wide.items():
+        for rank in ranks:
+            cell, before, size = _locate(cells[c], rank)
+            shares.setdefault((c, cell), []).append((rank - before) / max(size - 1, 1))
+            wanted.setdefault(c, []).append(cell)
+    if not wanted:
+        return out
+    long = _in_cells(df, bounds, {c: sorted(set(v)) for c, v in wanted.items()}).select(
+        F.concat_ws(":", "cell", "column").alias("column"), "x"
+    )
+    found = _approximate(long, {f"{cell}:{c}": p for (c, cell), p in shares.items()}, accuracy)
+    for (c, cell) in shares:
+        near = found[f"{cell}:{c}"]["guess"]
+        edges = [bounds[c][cell // 2 - 1], bounds[c][cell // 2]]
+        out[c] = _sorted([*out.get(c, []), *edges, *near])
+    return out

@@ -2,120 +2,151 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.columns import number, numeric_columns, per_column, value
+from auditloom.functions.columns import col, long_numbers, number, numeric_columns, per_column, value
+from auditloom.functions.joins import join_lookup
 from auditloom.functions.numbers import ratio
 from auditloom.functions.ranking import running_totals
 
 # A correlation above this, in absolute value, is reported.
 HIGH_CORRELATION = 0.8
 
+ROUNDING = 1e-12
+SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+# The row reducer below travels with the tasks, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def all_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair over rows where both are known.
+def pair_moments(df: DataFrame, centres: dict[str, float]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of column pairs over rows where both are known.
 
-    A first aggregate finds the columns without variation, whose correlation is
-    null, and those with nulls. All pairs then fit one aggregate with map-side
-    combine; only pairs with nulls need their own standard deviations.
+    ``df`` holds double columns only, in the order of ``centres``, whose values are
+    taken off first so that no digits cancel. Each task reduces its rows to one small
+    matrix per sum; Spark adds the matrices of all tasks. (One aggregate expression
+    per pair would outgrow what the JVM compiles from about ten columns on.)
     """
+    names = list(centres)
+    shift = np.array([centres[c] for c in names])
+    upper = np.triu_indices(len(names), 1)
+
+    def reduce_rows(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))])
+            x = x - shift
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            known = known.astype(float)
+            part = np.stack([known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            sums = [pa.array(m[upper]) for m in total]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), *sums],
+                names=["i", "j", *SUMS],
+            )
+
+    shape = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
+    parts = df.select(*[col(c) for c in names]).mapInArrow(reduce_rows, shape)
+    return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+
+
+def correlations(df: DataFrame, centres: dict[str, float]) -> DataFrame:
+    """(column_a, column_b, value): Pearson correlation of double columns; null without variation."""
+    names = F.array(*[F.lit(c) for c in centres])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    var_x, var_y = F.col("sxx") - ratio(sx * sx, n), F.col("syy") - ratio(sy * sy, n)
+    # what is left of a constant column is rounding
+    flat = (var_x <= F.col("sxx") * ROUNDING) | (var_y <= F.col("syy") * ROUNDING)
+    value = ratio(F.col("sxy") - ratio(sx * sy, n), F.sqrt(F.greatest(var_x * var_y, F.lit(0.0))))
+    return pair_moments(df, centres).select(
+        F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"),
+        F.when(~flat, value).alias("value"),
+    )
+
+
+def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pearson correlation of every column pair over rows where both are known."""
     names = numeric_columns(df) if columns is None else list(columns)
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, value double")
-    shape = per_column(
-        df, names, "varies boolean, full boolean",
-        lambda c: {
-            "varies": F.coalesce(F.min(number(df, c)) < F.max(number(df, c)), F.lit(False)),
-            "full": F.count(number(df, c)) == F.count(F.lit(1)),
-        },
-    ).collect()
-    varies = {r["column"] for r in shape if r["varies"]}
-    full = {r["column"] for r in shape if r["full"]}
-
-    def correlation(a: str, b: str) -> Column:
-        x, y = number(df, a), number(df, b)
-        if not {a, b} <= varies:
-            return F.lit(None).cast("double")
-        if {a, b} <= full:
-            return F.corr(x, y)
-        # F.corr fails if the rows that have both values show no variation
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return ratio(F.covar_pop(x, y), spread)
-
-    pairs = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), correlation(a, b).alias("value"))
-        for a, b in all_pairs(names)
-    ]
-    return df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
+    means = {r["column"]: r["m"] for r in long_numbers(df, names).groupBy("column").agg(F.avg("x").alias("m")).collect()}
+    centres = {c: means.get(c) or 0.0 for c in names}
+    return correlations(df.select(*[number(df, c).alias(c) for c in names]), centres)
 
 
 def high_correlations(df: DataFrame, threshold: float = HIGH_CORRELATION) -> DataFrame:
     return pearson(df).where(F.abs("value") > threshold)
 
 
-def _pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]], numeric: bool) -> DataFrame:
-    """(column_a, column_b, a, b, n): the contingency table of every pair, both sides known."""
-    read = number if numeric else (lambda d, c: value(d, c).cast("string"))
-    entries = [
-        F.struct(
-            F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-            read(df, a).alias("a"), read(df, b).alias("b"),
-        )
-        for a, b in pairs
-    ]
-    return (
-        df.select(F.inline(F.array(*entries)))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("column_a", "column_b", "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 PAIR = ["column_a", "column_b"]
 
 
 def spearman(df: DataFrame, columns: Sequence[str] | None = None, values_per_task: int | None = None) -> DataFrame:
     """Spearman correlation: Pearson correlation of average ranks, pairwise complete.
 
-    Rows are first reduced to distinct value pairs. The average rank of a value is
-    the number of smaller rows plus (n + 1) / 2, taken from running totals over the
-    distinct values, so equal rows never meet in one task.
+    Columns without nulls share one ranking over all rows. Pairs with nullable columns
+    are ranked over the rows that have those columns. The average rank of a value is
+    the number of smaller rows plus (n + 1) / 2, from running totals over the distinct
+    values, so equal rows never meet in one task; ranks are then looked up by value.
     """
     names = numeric_columns(df) if columns is None else list(columns)
+    numbers = df.select(*[number(df, c).alias(c) for c in names])
+    full = per_column(
+        numbers, names, "full boolean", lambda c: {"full": F.count(col(c)) == F.count(F.lit(1))}
+    ).where("full").collect()
+    nullable = set(names) - {r["column"] for r in full}
+    by_rows: dict[frozenset, list[tuple[str, str]]] = {}
+    for pair in all_pairs(names):
+        by_rows.setdefault(frozenset(nullable & set(pair)), []).append(pair)
+    parts = []
+    for needed, pairs in by_rows.items():
+        used = [c for c in names if any(c in p for p in pairs)]
+        rows = numbers.select(*[col(c) for c in used]).dropna("any", subset=sorted(needed)) if needed else numbers.select(*[col(c) for c in used])
+        middle = (rows.count() + 1) / 2.0
+        found = correlations(_ranked(rows, used, values_per_task), {c: middle for c in used})
+        wanted = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs]
+        parts.append(found.where(F.struct(*PAIR).isin(wanted)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ranked(rows: DataFrame, columns: list[str], values_per_task: int | None) -> DataFrame:
     limits = {} if values_per_task is None else {"values_per_task": values_per_task}
-    cells = _pair_cells(df, all_pairs(names), numeric=True).persist()
-
-    def ranks(side: str) -> DataFrame:
-        marginal = cells.groupBy(*PAIR, side).agg(F.sum("n").alias("n"))
-        return running_totals(marginal, PAIR, value=side, **limits).select(
-            *PAIR, side, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"rank_{side}")
+    out = rows
+    for i, c in enumerate(columns):
+        counts = rows.groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("k"), "value", "n")
+        ranks = running_totals(counts, ["k"], **limits).select(
+            F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"__rank_{i}")
         )
+        out = join_lookup(out, ranks, [c], "inner")
+    return out.select(*[F.col(f"__rank_{i}").alias(c) for i, c in enumerate(columns)])
 
-    sizes = cells.groupBy(*PAIR).agg(((F.sum("n") + 1) / 2.0).alias("middle"))
-    ranked = (
-        cells.join(ranks("a"), [*PAIR, "a"])
-        .join(ranks("b"), [*PAIR, "b"])
-        .join(F.broadcast(sizes), PAIR)
-        .select(
-            *PAIR, "n",
-            (F.col("rank_a") - F.col("middle")).alias("x"),
-            (F.col("rank_b") - F.col("middle")).alias("y"),
-        )
-    )
-    sums = ranked.groupBy(*PAIR).agg(
-        F.sum(F.col("n") * F.col("x") * F.col("y")).alias("xy"),
-        F.sum(F.col("n") * F.col("x") * F.col("x")).alias("xx"),
-        F.sum(F.col("n") * F.col("y") * F.col("y")).alias("yy"),
+
+def _pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(column_a, column_b, a, b, n): the contingency table of every pair, both sides known."""
+    cells = [
+        e for a, b in pairs
+        for e in (F.lit(a), F.lit(b), value(df, a).cast("string"), value(df, b).cast("string"))
+    ]
+    return (
+        df.select(F.stack(F.lit(len(pairs)), *cells).alias(*PAIR, "a", "b"))
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .groupBy(*PAIR, "a", "b")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return sums.select(*PAIR, ratio(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("value"))
 
 
 def cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -124,7 +155,7 @@ def cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     chi² / n is the sum of n_ab² / (n_a n_b) over the cells that occur, minus one,
     so the empty cells of the contingency table are never built.
     """
-    cells = _pair_cells(df, all_pairs(columns), numeric=False).persist()
+    cells = _pair_cells(df, all_pairs(columns)).persist()
     by_a = cells.groupBy(*PAIR, "a").agg(F.sum("n").alias("n_a"))
     by_b = cells.groupBy(*PAIR, "b").agg(F.sum("n").alias("n_b"))
     levels = by_a.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("r")).join(

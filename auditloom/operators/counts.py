@@ -7,21 +7,41 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from auditloom.functions.columns import col, flat_columns, value
+from auditloom.functions.columns import col, flat_columns, per_column, value
 from auditloom.functions.numbers import pct
 
 
+def _typed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, whole, real, text, n): rows per value, in the column's own kind of type.
+
+    Numbers are shuffled and compared as numbers; they only become text afterwards,
+    once per distinct value. A row with all three null counts the column's nulls.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, whole bigint, real double, text string, n bigint")
+
+    def parts(c: str) -> list[Column]:
+        dtype = df.schema[c].dataType
+        whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        real = isinstance(dtype, (T.FloatType, T.DoubleType))
+        x = value(df, c)
+        return [
+            (x if whole else F.lit(None)).cast("bigint"),
+            (x if real else F.lit(None)).cast("double"),
+            (F.lit(None) if whole or real else x).cast("string"),
+        ]
+
+    cells = [e for c in columns for e in (F.lit(c), *parts(c))]
+    long = df.select(F.stack(F.lit(len(columns)), *cells).alias("column", "whole", "real", "text"))
+    return long.groupBy("column", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _all_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) with a row for nulls too."""
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
-    return (
-        df.select(*[value(df, c).cast("string").alias(c) for c in columns])
-        .unpivot([], [col(c) for c in columns], "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    as_text = F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string"))
+    return _typed_counts(df, columns).select("column", as_text.alias("value"), "n")
 
 
 def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -50,14 +70,13 @@ def top_values(counts: DataFrame, k: int, by: Sequence[str] = ("column",)) -> Da
 
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """(column, n_unique), nulls excluded, exact; columns without a value give 0."""
-    counts = _all_counts(df, flat_columns(df) if columns is None else list(columns))
-    return counts.groupBy("column").agg(F.count("value").alias("n_unique"))
+    counts = _typed_counts(df, flat_columns(df) if columns is None else list(columns))
+    known = F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("real").isNotNull()
+    return counts.groupBy("column").agg(F.count_if(known).alias("n_unique"))
 
 
 def approx_distinct_counts(df: DataFrame, columns: Iterable[str] | None = None, rsd: float = 0.05) -> DataFrame:
     """Opt-in estimate of :func:`distinct_counts` that shuffles only sketches."""
-    from auditloom.functions.columns import per_column
-
     names = flat_columns(df) if columns is None else list(columns)
     return per_column(
         df, names, "n_unique bigint", lambda c: {"n_unique": F.approx_count_distinct(value(df, c), rsd)}

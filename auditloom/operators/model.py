@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from auditloom.functions.columns import col, columns_of_kind, kind_of, number, value
 from auditloom.functions.hashing import keyed_md5, unit_interval
 from auditloom.functions.joins import join_lookup
-from auditloom.functions.quantiles import quantile_columns
+from auditloom.functions.quantiles import exact_quantiles
 from auditloom.functions.ranking import ordered_codes
 from auditloom.operators.resample import class_counts
 from auditloom.operators.sampling import SEED, lowest_by_hash
@@ -51,11 +51,8 @@ def encode_features(df: DataFrame, target: str, key: Sequence[str] = ()) -> Data
         *[number(clean, c).alias(c) for c in numbers],
     )
     if numbers:
-        medians = quantile_columns(filled, numbers, [0.5])
-        row = filled.agg(*[F.get(medians[c], F.lit(0)).alias(f"m_{i}") for i, c in enumerate(numbers)]).first()
-        filled = filled.withColumns(
-            {c: F.coalesce(col(c), F.lit(row[f"m_{i}"]).cast("double")) for i, c in enumerate(numbers)}
-        )
+        medians = exact_quantiles(filled, numbers, [0.5])
+        filled = filled.withColumns({c: F.coalesce(col(c), F.lit(q[0])) for c, q in medians.items() if q})
     for c in [*text, target]:
         book = ordered_codes(filled, c).select(F.col("value").alias(c), F.col("code").cast("double").alias("__code"))
         filled = join_lookup(filled, book, [c], "left")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.columns import (
-    col,
     flat_columns,
     kind_of,
+    long_numbers,
     number,
     numeric_columns,
     per_column,
@@ -18,18 +18,13 @@ from auditloom.functions.columns import (
     string_columns,
     value,
 )
-from auditloom.functions.numbers import pct, ratio, sample_kurtosis, sample_skewness
-from auditloom.functions.quantiles import quantile_columns
+from auditloom.functions.numbers import ratio, sample_kurtosis, sample_skewness
+from auditloom.functions.quantiles import exact_quantiles, quantile_frame
 from auditloom.operators.counts import distinct_counts, top_values, value_counts
 
 # Below this many distinct values a numeric column is listed by value.
 FEW_VALUES = 50
 
-NUMERIC_SHAPE = "n bigint, mean double, std double, min double, max double, median double, g1 double, g2 double"
-PROFILE_SHAPE = (
-    "type string, n bigint, n_missing bigint, mean double, std double, min double, max double, n_zeros bigint"
-)
-
 
 def basic_info(df: DataFrame, table_name: str, target: str | None = None) -> DataFrame:
     """One row per column with its type and kind, and the size of the table."""
@@ -56,25 +51,30 @@ def _dtype_table(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _number_facts(df: DataFrame, columns: list[str]) -> DataFrame:
+    x = F.col("x")
+    return long_numbers(df, columns).groupBy("column").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x == 0).alias("n_zeros"),
+    )
+
+
+def _null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    return per_column(
+        df, columns, "n_rows bigint, n_null bigint",
+        lambda c: {"n_rows": F.count(F.lit(1)), "n_null": F.count_if(value(df, c).isNull())},
+    )
+
+
 def column_preview(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Type, distinct and null counts per column; min, max and mean where numeric."""
     names = flat_columns(df) if columns is None else list(columns)
-    numeric = set(numeric_columns(df))
-    none = F.lit(None).cast("double")
-
-    def metrics(c: str) -> dict:
-        x = number(df, c) if c in numeric else None
-        return {
-            "dtype": F.lit(df.schema[c].dataType.simpleString()),
-            "n_null": F.count_if(value(df, c).isNull()),
-            "min": F.min(x) if x is not None else none,
-            "max": F.max(x) if x is not None else none,
-            "mean": F.avg(x) if x is not None else none,
-        }
-
+    numeric = [c for c in names if c in set(numeric_columns(df))]
     return (
-        per_column(df, names, "dtype string, n_null bigint, min double, max double, mean double", metrics)
-        .join(F.broadcast(distinct_counts(df, names)), "column", "left")
+        _dtype_table(df, names)
+        .join(_null_counts(df, names), "column", "left")
+        .join(distinct_counts(df, names), "column", "left")
+        .join(_number_facts(df, numeric), "column", "left")
         .select("column", "dtype", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "n_null", "min", "max", "mean")
     )
 
@@ -176,24 +176,15 @@ def numeric_stats(df: DataFrame, target: str | None = None, direct_rows: int | N
     """Mean, sample std, extremes, exact median, corrected skew and kurtosis, distinct count."""
     names = numeric_columns(df, exclude=[target] if target else [])
     limits = {} if direct_rows is None else {"direct_rows": direct_rows}
-    medians = quantile_columns(df, names, [0.5], **limits)
-
-    def metrics(c: str) -> dict:
-        x = number(df, c)
-        return {
-            "n": F.count(x),
-            "mean": F.avg(x),
-            "std": F.stddev_samp(x),
-            "min": F.min(x),
-            "max": F.max(x),
-            "median": F.get(medians[c], F.lit(0)),
-            "g1": F.skewness(x),
-            "g2": F.kurtosis(x),
-        }
-
+    medians = quantile_frame(df, exact_quantiles(df, names, [0.5], **limits), ["median"])
+    x = F.col("x")
+    moments = long_numbers(df, names).groupBy("column").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+    )
     return (
-        per_column(df, names, NUMERIC_SHAPE, metrics)
-        .join(F.broadcast(distinct_counts(df, names)), "column", "left")
+        moments.join(F.broadcast(medians), "column", "left")
+        .join(distinct_counts(df, names), "column", "left")
         .select(
             "column", "n", "mean", "std", "min", "max", "median",
             sample_skewness(F.col("g1"), F.col("n")).alias("skew"),
@@ -219,32 +210,25 @@ def categorical_stats(df: DataFrame, target: str | None = None) -> DataFrame:
 def auto_profile(df: DataFrame, first: int = 20) -> DataFrame:
     """A fuller profile of the first columns: missing, distinct, moments, zeros."""
     names = flat_columns(df)[:first]
-    numeric = set(numeric_columns(df))
-    none = F.lit(None).cast("double")
-
-    def metrics(c: str) -> dict:
-        x = number(df, c) if c in numeric else None
-        return {
-            "type": F.lit({"numeric": "Numeric", "categorical": "Categorical", "temporal": "DateTime"}[kind_of(df.schema[c].dataType)]),
-            "n": F.count(F.lit(1)),
-            "n_missing": F.count_if(value(df, c).isNull()),
-            "mean": F.avg(x) if x is not None else none,
-            "std": F.stddev_samp(x) if x is not None else none,
-            "min": F.min(x) if x is not None else none,
-            "max": F.max(x) if x is not None else none,
-            "n_zeros": F.count_if(x == 0) if x is not None else F.lit(None).cast("bigint"),
-        }
-
+    numeric = [c for c in names if c in set(numeric_columns(df))]
+    shown = {"numeric": "Numeric", "categorical": "Categorical", "temporal": "DateTime"}
+    types = df.sparkSession.createDataFrame(
+        [(c, shown[kind_of(df.schema[c].dataType)]) for c in names], "column string, type string"
+    )
     distinct = value_counts(df, names).groupBy("column").agg(
         F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("n") == 1).alias("n_single")
     )
-    joined = per_column(df, names, PROFILE_SHAPE, metrics).join(F.broadcast(distinct), "column", "left")
+    joined = (
+        types.join(_null_counts(df, names), "column", "left")
+        .join(distinct, "column", "left")
+        .join(_number_facts(df, numeric).drop("n"), "column", "left")
+    )
     n_distinct = F.coalesce("n_distinct", F.lit(0))
     return joined.select(
-        "column", "type", "n_missing",
-        ratio(F.col("n_missing"), F.col("n")).alias("p_missing"),
+        "column", "type", F.col("n_null").alias("n_missing"),
+        ratio(F.col("n_null"), F.col("n_rows")).alias("p_missing"),
         n_distinct.alias("n_distinct"),
-        ((n_distinct > 0) & (n_distinct == F.col("n") - F.col("n_missing"))).alias("is_unique"),
+        ((n_distinct > 0) & (n_distinct == F.col("n_rows") - F.col("n_null"))).alias("is_unique"),
         "mean", "std", "min", "max", "n_zeros",
         F.when(F.col("type") == "Categorical", F.coalesce("n_single", F.lit(0))).alias("n_categories"),
     )

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from auditloom.functions.columns import (
     col,
     flat_columns,
+    long_numbers,
+    long_values,
     number,
     numeric_columns,
     per_column,
@@ -20,8 +22,8 @@ from auditloom.functions.columns import (
     value,
 )
 from auditloom.functions.numbers import pct
-from auditloom.functions.quantiles import quantile_columns
-from auditloom.operators.counts import distinct_counts, value_counts
+from auditloom.functions.quantiles import exact_quantiles, quantile_frame
+from auditloom.operators.counts import approx_distinct_counts, distinct_counts, value_counts
 from auditloom.sources.nulls import BLANK, blank_to_null, infer_types, null_tokens, tokens
 
 # Numbers that often stand for "unknown", and score limits.
@@ -180,23 +182,16 @@ def blank_strings(raw: DataFrame) -> DataFrame:
 
 
 def sentinel_numbers(df: DataFrame) -> DataFrame:
-    """Numbers that usually stand for "unknown", counted in one aggregate."""
-    names = numeric_columns(df)
-    if not names:
-        return df.sparkSession.createDataFrame([], "column string, pattern string, n bigint, pct double")
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"), F.lit(f"Suspicious numeric value {s}").alias("pattern"),
-            F.count_if(number(df, c) == s).alias("n"), F.count(F.lit(1)).alias("n_rows"),
-        )
-        for c in names
-        for s in SENTINELS
-    ]
-    return (
-        df.agg(F.array(*entries).alias("e"))
-        .select(F.inline("e"))
-        .where(F.col("n") > 0)
-        .select("column", "pattern", "n", pct(F.col("n"), F.col("n_rows")).alias("pct"))
+    """Numbers that usually stand for "unknown", per numeric column."""
+    found = (
+        long_numbers(df, numeric_columns(df))
+        .where(F.col("x").isin(SENTINELS))
+        .groupBy("column", "x")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return found.select(
+        "column", F.format_string("Suspicious numeric value %d", F.col("x").cast("bigint")).alias("pattern"),
+        "n", pct(F.col("n"), row_count(df)).alias("pct"),
     )
 
 
@@ -316,8 +311,6 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
 def high_cardinality(df: DataFrame, share: float = 0.5, approximate: bool = False) -> DataFrame:
     """Text columns with more distinct values than half the rows."""
-    from auditloom.operators.counts import approx_distinct_counts
-
     counted = (approx_distinct_counts if approximate else distinct_counts)(df, string_columns(df))
     return counted.where(F.col("n_unique") > row_count(df) * share)
 
@@ -325,31 +318,28 @@ def high_cardinality(df: DataFrame, share: float = 0.5, approximate: bool = Fals
 def iqr_outliers(df: DataFrame, factor: float = 1.5, direct_rows: int | None = None) -> DataFrame:
     """Numeric columns with values strictly outside the whiskers, and how many.
 
-    Two scans: the quartiles (one row comes back), then one counting aggregate that
-    has them as constants.
+    The quartiles come first (a few numbers per column), then one grouped count has
+    them as constants.
     """
-    names = numeric_columns(df)
     limits = {} if direct_rows is None else {"direct_rows": direct_rows}
-    n_rows = df.count()
-    quartiles = quantile_columns(df, names, [0.25, 0.75], n_rows=n_rows, **limits)
-    found = df.agg(*[q.alias(f"q_{i}") for i, q in enumerate(quartiles.values())]).first() if names else ()
-    bounds = {c: found[i] for i, c in enumerate(names) if found[i] is not None}
+    found = exact_quantiles(df, numeric_columns(df), [0.25, 0.75], **limits)
+    known = {c: q for c, q in found.items() if q is not None}
 
-    def metrics(c: str) -> dict:
-        q1, q3 = bounds[c]
+    def outside(c: str) -> Column:
+        q1, q3 = known[c]
         whisker = factor * (q3 - q1)
         x = number(df, c)
-        return {
-            "q1": F.lit(q1),
-            "q3": F.lit(q3),
-            "n_outliers": F.count_if((x < q1 - whisker) | (x > q3 + whisker)),
-            "n_rows": F.count(F.lit(1)),
-        }
+        return (x < F.lit(q1 - whisker)) | (x > F.lit(q3 + whisker))
 
-    return (
-        per_column(df, list(bounds), "q1 double, q3 double, n_outliers bigint, n_rows bigint", metrics)
+    counted = (
+        long_values(df, list(known), "outside", "boolean", outside)
+        .groupBy("column")
+        .agg(F.count_if("outside").alias("n_outliers"), F.count(F.lit(1)).alias("n_rows"))
         .where(F.col("n_outliers") > 0)
-        .select("column", "q1", "q3", "n_outliers", pct(F.col("n_outliers"), F.col("n_rows")).alias("pct"))
+    )
+    bounds = quantile_frame(df, known, ["q1", "q3"])
+    return counted.join(F.broadcast(bounds), "column").select(
+        "column", "q1", "q3", "n_outliers", pct(F.col("n_outliers"), F.col("n_rows")).alias("pct")
     )
 
 

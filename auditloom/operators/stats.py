@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.columns import number, numeric_columns, per_column
+from auditloom.functions.columns import long_numbers, numeric_columns
 
 # Significance level, variation limit, columns looked at.
 ALPHA = 0.05
@@ -20,14 +20,13 @@ DRIFT_RISK = "Address identified risks before deployment"
 def normality_screen(df: DataFrame, first: int = NORMALITY_COLUMNS) -> DataFrame:
     """Jarque-Bera test of the first numeric columns over all their rows.
 
-    Its statistic needs only population moments, so one aggregate serves every
-    column, and its tail probability has the closed form exp(-JB / 2). Columns with
+    Its statistic needs only population moments, so one grouped aggregate serves
+    every column, and its tail probability has the closed form exp(-JB / 2). Columns with
     three values or fewer, or without variation, are not judged.
     """
     names = numeric_columns(df)[:first]
-    moments = per_column(
-        df, names, "n bigint, g1 double, g2 double",
-        lambda c: {"n": F.count(number(df, c)), "g1": F.skewness(number(df, c)), "g2": F.kurtosis(number(df, c))},
+    moments = long_numbers(df, names).groupBy("column").agg(
+        F.count("x").alias("n"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2")
     )
     jb = F.col("n") / 6.0 * (F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2") / 4.0)
     return (
@@ -41,9 +40,8 @@ def normality_screen(df: DataFrame, first: int = NORMALITY_COLUMNS) -> DataFrame
 def variation_risk(df: DataFrame, first: int = VARIATION_COLUMNS) -> DataFrame:
     """Coefficient of variation of the first numeric columns; a negative mean never triggers."""
     names = numeric_columns(df)[:first]
-    out = per_column(
-        df, names, "cv double",
-        lambda c: {"cv": F.try_divide(F.stddev_samp(number(df, c)), F.avg(number(df, c)) + F.lit(1e-10))},
+    out = long_numbers(df, names).groupBy("column").agg(
+        F.try_divide(F.stddev_samp("x"), F.avg("x") + F.lit(1e-10)).alias("cv")
     )
     return out.select("column", "cv", F.coalesce(F.col("cv") > VARIATION_LIMIT, F.lit(False)).alias("risky"))
 

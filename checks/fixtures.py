@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.sources.tables import read_table
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -101,12 +103,12 @@ SELECT vec_id, embedding, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embedd
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return {t: read_table(spark, f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name]
     for t in TABLES:
         if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            read_table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(sql)

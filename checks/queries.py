@@ -61,7 +61,7 @@ def simple(name: str, fixture_name: str, f: Callable[[DataFrame], DataFrame], di
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 SENS = ["region", "segment", "priority"]
