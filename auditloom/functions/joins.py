@@ -17,15 +17,18 @@ def join_lookup(
     how: str = "left",
     null_safe: bool = False,
     max_rows: int = BROADCAST_ROWS,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Add the columns of ``lookup`` (one row per key) to ``big``.
 
-    The lookup is counted once. Up to ``max_rows`` it is broadcast, so the big
-    side never moves; beyond that both sides are shuffled on the key and AQE may
-    split skewed keys.
+    The lookup is counted once, unless ``n_rows`` is known. Up to ``max_rows`` it is
+    broadcast, so the big side never moves; beyond that both sides are shuffled on
+    the key and AQE may split skewed keys.
     """
-    lookup = lookup.persist()
-    fits = lookup.count() <= max_rows
+    if n_rows is None:
+        lookup = lookup.persist()
+        n_rows = lookup.count()
+    fits = n_rows <= max_rows
     renamed = lookup.select(
         *[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)],
         *[c for c in lookup.columns if c not in keys],

@@ -13,10 +13,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.columns import long_numbers, long_values, number
+from auditloom.functions.columns import long_numbers
 
 DIRECT_ROWS = 100_000
 INTERVAL_ROWS = 20_000
@@ -114,19 +114,21 @@ def _approximate(long: DataFrame, probs: dict[str, list[float]], accuracy: int)
     return {r["column"]: r.asDict() for r in rows.collect() if r["n"]}
 
 
-def _cell(df: DataFrame, c: str, bounds: list[float]) -> Column:
-    """Where a value lies: 2i+1 on bound i, 2i between bounds i-1 and i."""
-    x = number(df, c)
-    return reduce(
-        lambda a, b: a + b, [(x >= F.lit(b)).cast("int") + (x > F.lit(b)).cast("int") for b in bounds]
-    )
-
-
 def _count_cells(df: DataFrame, bounds: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:
+    """Rows per cell: cell 2i+1 is bound i itself, cell 2i lies between bounds i-1 and i."""
+    width = max(len(b) for b in bounds.values())
+    rows = [(c, *b, *[None] * (width - len(b))) for c, b in bounds.items()]
+    schema = ", ".join(["column string", *[f"b{i} double" for i in range(width)]])
+    table = df.sparkSession.createDataFrame(rows, schema)  # one row per column
+    x = F.col("x")
+    steps = [
+        F.coalesce((x >= F.col(f"b{i}")).cast("int") + (x > F.col(f"b{i}")).cast("int"), F.lit(0)) for i in range(width)
+    ]
     counted = (
-        long_values(df, list(bounds), "cell", "int", lambda c: _cell(df, c, bounds[c]))
-        .where(F.col("cell").isNotNull())
-        .groupBy("column", "cell")
+        long_numbers(df, list(bounds))
+        .where(x.isNotNull())
+        .join(F.broadcast(table), "column")
+        .groupBy("column", reduce(lambda m, n: m + n, steps).alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     out: dict[str, list[tuple[int, int]]] = {}
@@ -146,14 +148,17 @@ def _locate(cells: list[tuple[int, int]], rank: int) -> tuple[int, int, int]:
 
 def _in_cells(df: DataFrame, bounds: dict, wanted: dict[str, list[int]]) -> DataFrame:
     """(column, cell, x) of the rows in the wanted open intervals."""
-    parts = []
-    for c, cells in wanted.items():
-        for cell in cells:
-            low, high = bounds[c][cell // 2 - 1], bounds[c][cell // 2]
-            x = number(df, c)
-            parts.append((c, cell, F.when((x > F.lit(low)) & (x < F.lit(high)), x)))
-    cells = [e for c, cell, x in parts for e in (F.lit(c), F.lit(cell), x)]
-    return df.select(F.stack(F.lit(len(parts)), *cells).alias("column", "cell", "x")).where(F.col("x").isNotNull())
+    rows = [
+        (c, cell, bounds[c][cell // 2 - 1], bounds[c][cell // 2]) for c, cells in wanted.items() for cell in cells
+    ]
+    table = df.sparkSession.createDataFrame(rows, "column string, cell int, low double, high double")
+    x = F.col("x")
+    return (
+        long_numbers(df, list(wanted))
+        .join(F.broadcast(table), "column")
+        .where((x > F.col("low")) & (x < F.col("high")))
+        .select("column", "cell", "x")
+    )
 
 
 def _read_cells(df: DataFrame, bounds: dict, small: dict[tuple[str, int], list[tuple[int, int]]]) -> dict:

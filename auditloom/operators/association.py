@@ -112,27 +112,46 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, values_per_tas
     by_rows: dict[frozenset, list[tuple[str, str]]] = {}
     for pair in all_pairs(names):
         by_rows.setdefault(frozenset(nullable & set(pair)), []).append(pair)
+    selections = [
+        (i, sorted(needed), [c for c in names if any(c in p for p in pairs)], pairs)
+        for i, (needed, pairs) in enumerate(by_rows.items())
+    ]
+    ranks = _rank_table(numbers, selections, values_per_task).persist()
+    sizes = {
+        (r["sel"], r["column"]): (r["values"], r["rows"])
+        for r in ranks.groupBy("sel", "column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).collect()
+    }
     parts = []
-    for needed, pairs in by_rows.items():
-        used = [c for c in names if any(c in p for p in pairs)]
-        rows = numbers.select(*[col(c) for c in used]).dropna("any", subset=sorted(needed)) if needed else numbers.select(*[col(c) for c in used])
-        middle = (rows.count() + 1) / 2.0
-        found = correlations(_ranked(rows, used, values_per_task), {c: middle for c in used})
+    for i, needed, used, pairs in selections:
+        rows = numbers.select(*[col(c) for c in used])
+        rows = rows.dropna("any", subset=needed) if needed else rows
+        for k, c in enumerate(used):
+            lookup = ranks.where((F.col("sel") == i) & (F.col("column") == c)).select(F.col("x").alias(c), F.col("rank").alias(f"__rank_{k}"))
+            rows = join_lookup(rows, lookup, [c], "inner", n_rows=sizes.get((i, c), (0, 0))[0])
+        ranked = rows.select(*[F.col(f"__rank_{k}").alias(c) for k, c in enumerate(used)])
+        found = correlations(ranked, {c: (sizes.get((i, c), (0, 0))[1] + 1) / 2.0 for c in used})
         wanted = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs]
         parts.append(found.where(F.struct(*PAIR).isin(wanted)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _ranked(rows: DataFrame, columns: list[str], values_per_task: int | None) -> DataFrame:
+def _rank_table(numbers: DataFrame, selections, values_per_task: int | None) -> DataFrame:
+    """(sel, column, x, n, rank): average ranks of all columns in all row selections, in one job."""
+    cells = []
+    for i, needed, used, _ in selections:
+        known = reduce(lambda a, b: a & b, [col(c).isNotNull() for c in needed], F.lit(True))
+        for c in used:
+            cells += [F.lit(i), F.lit(c), F.when(known, col(c))]
+    counts = (
+        numbers.select(F.stack(F.lit(len(cells) // 3), *cells).alias("sel", "column", "x"))
+        .where(F.col("x").isNotNull())
+        .groupBy("sel", "column", "x")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     limits = {} if values_per_task is None else {"values_per_task": values_per_task}
-    out = rows
-    for i, c in enumerate(columns):
-        counts = rows.groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("k"), "value", "n")
-        ranks = running_totals(counts, ["k"], **limits).select(
-            F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"__rank_{i}")
-        )
-        out = join_lookup(out, ranks, [c], "inner")
-    return out.select(*[F.col(f"__rank_{i}").alias(c) for i, c in enumerate(columns)])
+    return running_totals(counts, ["sel", "column"], value="x", **limits).select(
+        "sel", "column", "x", "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank")
+    )
 
 
 def _pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -841,3 +841,93 @@ check(
     f"""SELECT count(*) FILTER (cv > 2) + 1 AS n_risks, 'Address identified risks before deployment' AS recommendation,
     'No temporal columns detected - cannot assess temporal drift risk' AS notice FROM ({RISK})""",
 )
+
+# ------------------------------------------------------------------------ whole audits
+
+
+def found(stage: str, operator: str, sql: str, subject: list[str], numbers: list[str], texts: list[str] = ()) -> str:
+    """A result in long form: one row per metric."""
+    about = "concat_ws(' / ', " + ", ".join(f"'{c}=' || coalesce(CAST(\"{c}\" AS VARCHAR), 'null')" for c in subject) + ")" if subject else "''"
+    head = f"SELECT '{stage}' AS stage, '{operator}' AS operator, {about} AS subject"
+    return union(
+        [f"{head}, '{m}' AS metric, {r6(m)} AS value_double, CAST(NULL AS VARCHAR) AS value_string FROM ({sql})" for m in numbers]
+        + [f"{head}, '{m}' AS metric, CAST(NULL AS DOUBLE) AS value_double, CAST({m} AS VARCHAR) AS value_string FROM ({sql})" for m in texts]
+    )
+
+
+AUDIT_PAIR = pair_groups([("region", "segment")])
+AUDIT_BUCKETS = f"""SELECT '{AUDIT_PAIR[0][0]}' AS attr, grp, n, CASE WHEN 10 * n >= m THEN 'high' WHEN 100 * n >= m THEN 'medium' ELSE 'low' END AS bucket
+FROM (SELECT {AUDIT_PAIR[0][1]} AS grp, count(*) AS n, max(count(*)) OVER () AS m FROM fx GROUP BY 1)"""
+TWO_SIZES = "SELECT {a} AS n_orig, {b} AS n_mit, {b} - {a} AS difference, 100.0 * ({b} - {a}) / {a} AS pct_change"
+FX_ROWS, UN_ROWS = "(SELECT count(*) FROM fx)", "(SELECT count(*) FROM un)"
+CLASSES = """SELECT CAST(o.big AS VARCHAR) AS label, o.n AS n_orig, 100.0 * o.n / (SELECT count(*) FROM fx) AS pct_orig, m.w AS n_mit,
+  100.0 * m.w / (SELECT sum(w) FROM {after}) AS pct_mit, m.w - o.n AS change,
+  100.0 * m.w / (SELECT sum(w) FROM {after}) - 100.0 * o.n / (SELECT count(*) FROM fx) AS pp_change
+FROM (SELECT big, count(*) AS n FROM fx GROUP BY big) o JOIN {after} m ON m.big = o.big"""
+CLASS_METRICS = ["n_orig", "pct_orig", "n_mit", "pct_mit", "change", "pp_change"]
+
+
+def groups_compared(after: str) -> str:
+    return union(
+        f"""SELECT '{c}' AS attr, o.v AS value, o.n AS n_orig, 100.0 * o.n / (SELECT count(*) FROM fx) AS pct_orig, coalesce(m.n, 0) AS n_mit,
+        100.0 * coalesce(m.n, 0) / (SELECT count(*) FROM {after}) AS pct_mit, coalesce(m.n, 0) - o.n AS change
+        FROM (SELECT {c} AS v, count(*) AS n FROM fx GROUP BY 1) o LEFT JOIN (SELECT {c} AS v, count(*) AS n FROM {after} GROUP BY 1) m ON m.v = o.v"""
+        for c in ("region", "segment")
+    )
+
+
+AUDIT_METHODS = f"""SELECT *, ratio_mit < ratio_orig AS improved, row_number() OVER (ORDER BY ratio_mit, place) AS rank FROM (
+  SELECT 0 AS place, 'reweighted' AS method, {FX_ROWS} AS rows_orig, {FX_ROWS} AS rows_mit, (SELECT max(n) / min(n) FROM b) AS ratio_orig, (SELECT max(w) / min(w) FROM wr) AS ratio_mit
+  UNION ALL SELECT 1, 'undersampled', {FX_ROWS}, {UN_ROWS}, (SELECT max(n) / min(n) FROM b), (SELECT max(w) / min(w) FROM wu))"""
+check(
+    "o1_audit", "fx_orders",
+    union(
+        [
+            found("target_fairness", "target_distribution", proportions(["big"]), ["attr", "value"], ["n", "pct"]),
+            found("target_fairness", "group_proportions", proportions(["region", "segment"]), ["attr", "value"], ["n", "pct"]),
+            found("target_fairness", "target_rates_by_group", rates([("region", "region"), ("segment", "segment")], "big"), ["attr", "grp", "label"], ["n", "n_group", "pct"]),
+            found("target_fairness", "intersectional_rates", rates(AUDIT_PAIR, "big"), ["attr", "grp", "label"], ["n", "n_group", "pct"]),
+            found("target_fairness", "scale_buckets", AUDIT_BUCKETS, ["attr", "grp"], ["n"], ["bucket"]),
+            found("comparison_reweighted", "compare_size", TWO_SIZES.format(a=FX_ROWS, b=FX_ROWS), [], ["n_orig", "n_mit", "difference", "pct_change"]),
+            found("comparison_reweighted", "compare_target", CLASSES.format(after="wr"), ["label"], CLASS_METRICS),
+            found("comparison_reweighted", "compare_sensitive", groups_compared("fx"), ["attr", "value"], CLASS_METRICS[:-1]),
+            found("comparison_undersampled", "compare_size", TWO_SIZES.format(a=FX_ROWS, b=UN_ROWS), [], ["n_orig", "n_mit", "difference", "pct_change"]),
+            found("comparison_undersampled", "compare_target", CLASSES.format(after="wu"), ["label"], CLASS_METRICS),
+            found("comparison_undersampled", "compare_sensitive", groups_compared("un"), ["attr", "value"], CLASS_METRICS[:-1]),
+            found("comparison", "rank_methods", AUDIT_METHODS, ["method"], ["rows_orig", "rows_mit", "ratio_orig", "ratio_mit", "rank"], ["improved"]),
+        ]
+    ),
+    weights("region || '_' || segment", "big"),
+    f"un AS ({under('o_orderkey', 'big', 'o_orderkey, region, segment, big')})",
+    "b AS (SELECT count(*) AS n FROM fx GROUP BY big)",
+    "wr AS (SELECT big, sum(sample_weight) AS w FROM rw GROUP BY big)",
+    "wu AS (SELECT big, CAST(count(*) AS DOUBLE) AS w FROM un GROUP BY big)",
+)
+ORACLES["o1_audit_quality"] = union(
+    [
+        found("load", "size", "SELECT count(*) AS n_rows, 6 AS n_columns FROM orders", [], ["n_rows", "n_columns"]),
+        found("quality", "column_issue_report", ORACLES["q8_column_issue_report"], ["column"], ["n_missing", "pct_missing", "n_patterns"], ["mixed", "issues"]),
+    ]
+)
+DOC_RISK = union(f"SELECT '{c}' AS \"column\", stddev_samp({c}) / (avg({c}) + 1e-10) AS cv FROM fx" for c in ("doc_id", "n_chars", "toxic", "quality"))
+PARITY_COLUMNS = ["base_priv", "base_unpriv", "di", "spd"]
+check(
+    "o2_full_evaluation", "fx_docs",
+    union(
+        [
+            found("missing_data", "missing_overall", "SELECT count(*) AS n_rows, 0 AS n_cells_missing, 0.0 AS pct_missing, count(*) AS n_complete, 0 AS n_incomplete FROM fx", [], ["n_rows", "n_cells_missing", "pct_missing", "n_complete", "n_incomplete"]),
+            found("missing_data", "missing_pattern", "SELECT '000000' AS pattern, count(*) AS n FROM fx", ["pattern"], ["n"]),
+            found("missing_data", "missing_recommendation", "SELECT 'No missing data detected. Dataset is complete.' AS recommendation", [], [], ["recommendation"]),
+            found("class_balance", "class_balance", ORACLES["b1_class_balance"], ["label"], ["n", "share", "ratio"], ["status", "advice"]),
+            found("fairness_analysis", "modal_rate_parity", modal(["lang", "source"], "quality"), ["attr"], ["n_groups", "max_rate", "min_rate", "disparity"], ["level"]),
+            found("fairness_analysis", "binary_parity", union(parity(c, "quality", nth(c, 1), nth(c, 0)) for c in ("lang", "source")), ["attr"], PARITY_COLUMNS, ["priv", "unpriv", "status"]),
+            found("drift_risk", "variation_risk", f"SELECT \"column\", cv, cv > 2 AS risky FROM ({DOC_RISK})", ["column"], ["cv"], ["risky"]),
+            found(
+                "drift_risk", "drift_recommendation",
+                f"SELECT count(*) FILTER (cv > 2) + 1 AS n_risks, 'Address identified risks before deployment' AS recommendation, 'No temporal columns detected - cannot assess temporal drift risk' AS notice FROM ({DOC_RISK})",
+                [], ["n_risks"], ["recommendation", "notice"],
+            ),
+            found("overall_quality_score", "quality_score", ORACLES["q15_quality_score"], [], ["score", "penalty_missing", "penalty_dup", "penalty_imbalance", "penalty_size"], ["grade", "ready"]),
+        ]
+    ),
+)
