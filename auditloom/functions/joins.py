@@ -30,14 +30,15 @@ def join_lookup(
         n_rows = lookup.count()
     fits = n_rows <= max_rows
     renamed = lookup.select(
-        *[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)],
-        *[c for c in lookup.columns if c not in keys],
+        *[F.col(f"`{k}`").alias(f"__k_{i}") for i, k in enumerate(keys)],
+        *[F.col(f"`{c}`") for c in lookup.columns if c not in keys],
     )
     if fits:
         renamed = F.broadcast(renamed)
     tests: list[Column] = []
     for i, k in enumerate(keys):
         right = F.col(f"__k_{i}")
-        tests.append(F.col(k).eqNullSafe(right) if null_safe else F.col(k) == right)
+        left = F.col(f"`{k}`")
+        tests.append(left.eqNullSafe(right) if null_safe else left == right)
     joined = big.join(renamed, reduce(lambda a, b: a & b, tests), how)
     return joined.drop(*[f"__k_{i}" for i in range(len(keys))])

@@ -72,12 +72,21 @@ def running_totals(
     )
 
 
-def ordered_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): the distinct non-null values numbered from 0 in ascending order."""
+def ordered_codes(df: DataFrame, columns: list[str]) -> dict[str, tuple[DataFrame, int]]:
+    """Per column its code table (value, code) and the number of values.
+
+    Codes number the distinct non-null texts from 0 in ascending order. All columns
+    are coded by one job; a table is a slice of its persisted result.
+    """
+    if not columns:
+        return {}
+    cells = [e for c in columns for e in (F.lit(c), F.col(f"`{c}`").cast("string"))]
     distinct = (
-        df.select(F.col(f"`{column}`").alias("value"))
+        df.select(F.stack(F.lit(len(columns)), *cells).alias("column", "value"))
         .where(F.col("value").isNotNull())
         .distinct()
-        .select(F.lit(0).alias("k"), "value", F.lit(1).cast("bigint").alias("n"))
+        .withColumn("n", F.lit(1).cast("bigint"))
     )
-    return running_totals(distinct, ["k"]).select("value", F.col("before").alias("code"))
+    codes = running_totals(distinct, ["column"]).select("column", "value", F.col("before").alias("code")).persist()
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: (codes.where(F.col("column") == c).select("value", "code"), sizes.get(c, 0)) for c in columns}

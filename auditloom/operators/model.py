@@ -53,9 +53,11 @@ def encode_features(df: DataFrame, target: str, key: Sequence[str] = ()) -> Data
     if numbers:
         medians = exact_quantiles(filled, numbers, [0.5])
         filled = filled.withColumns({c: F.coalesce(col(c), F.lit(q[0])) for c, q in medians.items() if q})
+    books = ordered_codes(filled, [*text, target])
     for c in [*text, target]:
-        book = ordered_codes(filled, c).select(F.col("value").alias(c), F.col("code").cast("double").alias("__code"))
-        filled = join_lookup(filled, book, [c], "left")
+        book, size = books[c]
+        book = book.select(F.col("value").alias(c), F.col("code").cast("double").alias("__code"))
+        filled = join_lookup(filled, book, [c], "left", n_rows=size)
         filled = filled.withColumnRenamed("__code", "target_code") if c == target else filled.withColumn(c, F.col("__code")).drop("__code")
     return filled.select(*[col(c) for c in key], *[col(c) for c in features], col(target), "target_code")
 

@@ -237,11 +237,12 @@ def smote(
     if other and clean.where(" or ".join(f"`{c}` is null" for c in other)).limit(1).count():
         raise ValueError("numeric columns must not hold nulls")
 
-    books = {c: ordered_codes(clean, c).persist() for c in text}
+    books = ordered_codes(clean, text)
     coded = clean
     for i, c in enumerate(text):
-        book = books[c].select(F.col("value").alias(c), F.col("code").alias(f"__code_{i}"))
-        coded = join_lookup(coded, book, [c], "left")
+        book, size = books[c]
+        coded = coded.withColumn(c, col(c).cast("string"))
+        coded = join_lookup(coded, book.select(F.col("value").alias(c), F.col("code").alias(f"__code_{i}")), [c], "left", n_rows=size)
     parts: list[Column] = [
         F.coalesce(F.col(f"__code_{text.index(c)}").cast("double"), F.lit(-1.0)) if c in text else number(df, c)
         for c in features
@@ -251,9 +252,9 @@ def smote(
 
     new = made.select("label", *[F.get("features", F.lit(i)).alias(c) for i, c in enumerate(features)])
     for c in text:
-        book = books[c].select(F.col("code").alias(f"__c_{c}"), F.col("value").alias(f"__v_{c}"))
-        new = new.withColumn(f"__c_{c}", F.rint(col(c)).cast("bigint"))
-        new = join_lookup(new, book, [f"__c_{c}"], "left").withColumn(c, col(f"__v_{c}"))
+        book, size = books[c]
+        new = new.withColumn("__c", F.rint(col(c)).cast("bigint")).drop(c)
+        new = join_lookup(new, book.select(F.col("code").alias("__c"), F.col("value").alias(c)), ["__c"], "left", n_rows=size).drop("__c")
     new = new.select(
         *[
             F.lit(None).cast(df.schema[c].dataType).alias(c) if c == key

@@ -6,6 +6,7 @@ computed twice: all group statistics share one table of joint counts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -17,8 +18,9 @@ from auditloom.operators import balance, compare, fairness, metrics, profile, qu
 from auditloom.operators.catalog import SENSITIVE_WORDS, TARGET_NAMES
 from auditloom.operators.counts import joint_counts
 from auditloom.operators.model import FOREST, train_and_predict
+from auditloom.session import settled, shared_folder
 from auditloom.sources.nulls import blank_to_null, complete_cases, null_tokens
-from auditloom.sources.tables import findings
+from auditloom.sources.tables import findings, write_findings, write_mitigated
 
 
 @dataclass
@@ -70,11 +72,13 @@ def audit(
     methods: Sequence[str] = (),
     proxy: Proxy | None = None,
     strategy: str = "auto",
+    folder: str | None = None,
 ) -> list[Result]:
     """Runs the stages and returns their results, not yet computed.
 
     Given ``target`` and ``sensitive`` replace the guesses; the target never counts
-    as sensitive.
+    as sensitive. Treated tables are written to ``folder`` (by default below the
+    session's shared folder) and compared as read back from there.
     """
     df = df.persist()
     target = target or guessed_target(df)
@@ -92,7 +96,8 @@ def audit(
         base_parity = base
     out += _target_fairness(df, target, sensitive, selected_pairs)
     if methods:
-        out += _treatments(df, key, target, sensitive, methods, proxy, base_parity, strategy)
+        folder = folder or f"{shared_folder(df.sparkSession)}/treated-{uuid.uuid4().hex}"
+        out += _treatments(df, key, target, sensitive, methods, proxy, base_parity, strategy, folder)
     return out
 
 
@@ -100,7 +105,8 @@ def _proxy_results(df, key, target, sensitive, selected_pairs, proxy):
     cleaned = blank_to_null(null_tokens(df, "rich"))
     predicted = train_and_predict(
         cleaned, [key], target, proxy.model_type, proxy.params, proxy.test_share, carry=sensitive
-    ).persist()
+    )
+    predicted = settled(predicted)
     by_group = metrics.group_metrics(predicted, list(sensitive), "y", "yhat")
     parity = metrics.prediction_parity(by_group)
     out = [
@@ -135,10 +141,11 @@ def _target_fairness(df, target, sensitive, selected_pairs) -> list[Result]:
     return out
 
 
-def _treatments(df, key, target, sensitive, methods, proxy, base_parity, strategy) -> list[Result]:
+def _treatments(df, key, target, sensitive, methods, proxy, base_parity, strategy, folder) -> list[Result]:
     out, balance_rows = [], []
     for method in methods:
-        after = treated(df, method, key, target, sensitive, strategy).persist()
+        path = write_mitigated(treated(df, method, key, target, sensitive, strategy), folder, method)
+        after = df.sparkSession.read.parquet(path)
         weighted = resample.WEIGHT in after.columns
         by_class = compare.compare_target_weighted if weighted else compare.compare_target
         stage = f"comparison_{method}"
@@ -154,7 +161,7 @@ def _treatments(df, key, target, sensitive, methods, proxy, base_parity, strateg
                 numbered, [key], target, proxy.model_type, proxy.params, proxy.test_share,
                 weight=resample.WEIGHT if weighted else None, carry=sensitive,
             )
-            parity = metrics.prediction_parity(metrics.group_metrics(predicted, list(sensitive), "y", "yhat"))
+            parity = metrics.prediction_parity(metrics.group_metrics(settled(predicted), list(sensitive), "y", "yhat"))
             effect = compare.compare_fairness(base_parity, parity)
             out += [
                 Result(stage, "compare_fairness", effect, ["attr"]),
@@ -182,3 +189,10 @@ def audit_findings(results: Sequence[Result], stages: Sequence[str] | None = Non
     kept = [r for r in results if stages is None or r.stage in stages]
     return reduce(DataFrame.unionByName, [findings(r.frame, r.stage, r.operator, r.subject) for r in kept])
 
+
+def write_audit(results: Sequence[Result], folder: str, run_id: str) -> str:
+    """Writes the findings stage by stage, so that no plan spans the whole audit."""
+    path = ""
+    for stage in dict.fromkeys(r.stage for r in results):
+        path = write_findings(audit_findings(results, [stage]), folder, run_id)
+    return path

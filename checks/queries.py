@@ -42,15 +42,19 @@ def on(name: str, fixture_name: str, digits: int = 6):
     """
 
     def register(f: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(fixture(spark, sf_dir, fixture_name)), digits)
-        return f
+        return query(name, digits)(lambda spark, sf_dir: f(fixture(spark, sf_dir, fixture_name)))
 
     return register
 
 
-def query(name: str):
+def query(name: str, digits: int = 6):
     def register(f: Query):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # new plans are compared with every persisted one, so earlier queries' are let go
+            spark.catalog.clearCache()
+            return rounded(f(spark, sf_dir), digits)
+
+        QUERIES[name] = run
         return f
 
     return register

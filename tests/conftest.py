@@ -15,6 +15,12 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def fresh_cache(spark):
+    """Plans are compared with everything persisted, so nothing is kept between tests."""
+    spark.catalog.clearCache()
+
+
 @pytest.fixture
 def rows():
     """The rows of a frame as a sorted list of tuples, floats rounded."""

@@ -76,7 +76,8 @@ def test_running_totals(spark, limit):
 
 def test_ordered_codes(spark, rows):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "c string")
-    assert rows(ordered_codes(df, "c")) == [("a", 0), ("b", 1), ("c", 2)]
+    codes, size = ordered_codes(df, ["c"])["c"]
+    assert rows(codes) == [("a", 0), ("b", 1), ("c", 2)] and size == 3
 
 
 @pytest.mark.parametrize("limit", [10**6, 20])

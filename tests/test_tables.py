@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.operators import metrics, model, resample
-from auditloom.plans.audit import Proxy, audit, audit_findings
+from auditloom.plans.audit import Proxy, audit, audit_findings, write_audit
 from auditloom.plans.evaluation import full_evaluation
 from auditloom.session import shared_folder
 from auditloom.sources import tables
@@ -141,8 +141,7 @@ def test_an_audit_with_model_and_all_treatments(spark, people, tmp_path):
     results = audit(
         clean, "id", "income", ["sex", "race", "income"], methods=tables.METHODS, proxy=Proxy("Random Forest", {"n_estimators": 5, "max_depth": 3})
     )
-    out = audit_findings(results)
-    path = tables.write_findings(out, str(tmp_path), "run")
+    path = write_audit(results, str(tmp_path), "run")
     stages = {r["stage"] for r in spark.read.parquet(path).select("stage").distinct().collect()}
     assert {"load", "quality", "attributes", "imbalance", "target_fairness", "comparison"} <= stages
     assert {f"comparison_{m}" for m in tables.METHODS} <= stages
