@@ -34,3 +34,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
+
+ORACLES["op10_near_duplicates"] = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE
+    list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN generate_series(1, greatest(len(w) - 3, 1))]) END AS s
+  FROM words
+), items AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM pairs WHERE 100 * n_both >= 80 * (na + nb - n_both)),
+reach AS (
+  SELECT doc_id AS root, doc_id FROM sets UNION SELECT r.root, l.b FROM reach r JOIN links l ON l.a = r.doc_id
+), component AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN component USING (doc_id)
+"""

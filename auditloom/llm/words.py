@@ -154,3 +154,21 @@ class HashSet:
         found = hashes[at]
         place = np.minimum(np.searchsorted(self.values, found), len(self.values) - 1)
         return at[self.values[place] == found]
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key from a partition sorted by it, however they are cut into batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch.column(key))
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(s, e - s)
+            if held and held[-1].column(key)[0] != part.column(key)[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
