@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, neardup, packing, topk
+from auditloom.llm import decontaminate, neardup, packing, pii, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,6 +41,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: In production the key comes from a secret store; it decides which pseudonyms come out.
+PII_KEY = "key of the checked queries"
+
+
+@query
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_values(table(spark, sf_dir, "documents"), PII_KEY)
+    spans = F.transform("found", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string")))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_values"), F.array_join(spans, ",").alias("spans"), "text")
+
+
 @query
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
