@@ -2,20 +2,62 @@
 
 from __future__ import annotations
 
-from auditloom.llm import decontaminate as leaks
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def without_leaks(spark, docs, sf_dir):
-    return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+from auditloom.llm import decontaminate, neardup, packing, pii, quality, queries
+from auditloom.session import shared_folder
 
 
-STAGES = [("benchmark decontamination", without_leaks)]
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the co-trained quality classifier rejects."""
+    return quality.accepted(docs, queries.table(spark, sf_dir, "labels"))
 
+
+def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8)."""
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
+    dropped = found.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without benchmark passages."""
+    return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With pseudonyms for personal data."""
+    return pii.pseudonymised(docs, queries.PII_KEY)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.packed(docs, queries.tokenizer())
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good),
+    ("near-duplicates", different),
+    ("benchmark decontamination", clean),
+    ("personal data", private),
+    ("packing", packed),
+]
+
+#: The classifier, the tokenizer and the packing cannot be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
