@@ -4,7 +4,7 @@ The text view sees the characters: hashed byte trigrams, as shares. The metadata
 what is known without reading: language, source and the measures of the page (size, lines,
 words, and the shares of blanks, digits, capitals and signs). Each view has a logistic
 classifier. In each round both score all documents that have no label; what one view is sure
-of becomes a training row of the other. At the end both are calibrated on labelled rows that
+of becomes a training row of the other, unless that one is sure already or holds the opposite. At the end both are calibrated on labelled rows that
 none of them was fitted on, and one logistic function of the two gives every document's score.
 
 Scoring and the search for sure documents cover all rows in every round. Only fitting is
@@ -33,7 +33,7 @@ from auditloom.llm.words import SPACED, Words, slices
 
 HASHED, LANGS, SOURCES = 512, 16, 32
 SAMPLE, EXCHANGED, ROUNDS = 6_000, 1_000, 2
-SURE = 0.98
+SURE, AGAINST = 0.98, 0.1
 THRESHOLD = 0.5
 
 _LINE, _DIGIT, _CAPITAL, _SIGN, _LETTER = 1, 2, 4, 8, 16
@@ -212,7 +212,8 @@ def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label
                 for v in (0, 1):  # what view v is sure of teaches the other one
                     p = both[v]
                     for label, picked in ((1, p >= SURE), (0, p <= 1 - SURE)):
-                        at = pa.array(np.flatnonzero(picked & (np.abs(both[1 - v] - p) > 0.02)))
+                        other = both[1 - v] if label else 1 - both[1 - v]  # for that label; none if it is against
+                        at = pa.array(np.flatnonzero(picked & (other < SURE) & (other > AGAINST)))
                         yield pa.RecordBatch.from_arrays(
                             [batch.column("id").take(at), batch.column("page" if v == 0 else "content").take(at),
                              pa.array(np.full(len(at), v), pa.int32()), pa.array(np.full(len(at), label), pa.int32())],
