@@ -35,6 +35,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
+ORACLES["op3_repeated_passages"] = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT r, doc_id, i, w[i:i + 12] AS win
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM words WHERE len(w) >= 13)
+), marked AS (
+  SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM windows) WHERE first < doc_id
+), gone AS (
+  SELECT r, list(DISTINCT k) AS ks FROM (SELECT r, unnest(generate_series(i, i + 12)) AS k FROM marked) GROUP BY r
+), kept AS (
+  SELECT doc_id, len(w) AS n, coalesce(len(ks), 0) AS n_removed,
+         list_filter(list_transform(w, lambda x, i: CASE WHEN list_contains(coalesce(ks, []), i) THEN NULL ELSE x END), lambda x: x IS NOT NULL) AS k
+  FROM words LEFT JOIN gone USING (r)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+"""
+
 ORACLES["op9_exact_top_k"] = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
