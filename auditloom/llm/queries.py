@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, language, neardup, packing, pii, quality, repeats, topk
+from auditloom.llm import decontaminate, language, licenses, neardup, packing, pii, quality, repeats, secret_scan, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -47,6 +47,22 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _joined(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("found", lambda f, kind=kind: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in ("assign", "access", "hex")
+    ]
+    base = _joined(F.filter("found", lambda f: f["kind"] != "named"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +72,19 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(table(spark, sf_dir, "documents"))
+    spans = F.transform("found", lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string")))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"]))), ",").alias("licenses"),
+        F.array_join(spans, ",").alias("spans"),
+        F.coalesce(F.array_max(F.transform("found", lambda f: f["coverage"])), F.lit(0.0)).alias("best_coverage"),
+    )
+
+
 #: In production the key comes from a secret store; it decides which pseudonyms come out.
 PII_KEY = "key of the checked queries"
 
@@ -63,8 +92,7 @@ PII_KEY = "key of the checked queries"
 @query
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_values(table(spark, sf_dir, "documents"), PII_KEY)
-    spans = F.transform("found", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string")))
-    return found.select("doc_id", F.size("found").cast("long").alias("n_values"), F.array_join(spans, ",").alias("spans"), "text")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_values"), _joined(F.col("found")).alias("spans"), "text")
 
 
 @query
