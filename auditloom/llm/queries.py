@@ -55,9 +55,9 @@ def _joined(spans: Column) -> Column:
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("found", lambda f: f["kind"])
     counts = [
-        F.size(F.filter("found", lambda f, kind=kind: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
-        for kind in ("assign", "access", "hex")
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")
     ]
     base = _joined(F.filter("found", lambda f: f["kind"] != "named"))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
