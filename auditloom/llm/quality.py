@@ -8,8 +8,8 @@ of becomes a training row of the other, unless that one is sure already or holds
 none of them was fitted on, and one logistic function of the two gives every document's score.
 
 Scoring and the search for sure documents cover all rows in every round. Only fitting is
-bounded: ``SAMPLE`` labelled rows and ``EXCHANGED`` pseudo-labels a view and round, taken in
-the order of a hash of the id.
+bounded: ``SAMPLE`` labelled rows, and of what a view is sure of in a round ``EXCHANGED`` rows
+(half of each class), without those that have a label, all in the order of a hash of the id.
 
 Edge cases: a null text counts as empty; a document without a row in ``labels`` (or with a
 null one) is unlabelled; of several labels the mean decides, and a tie is good; with labels
@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.shared import settled
@@ -199,7 +199,7 @@ def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label
         held[:] = False
     own = [(x[v][~held], y[~held]) for v in (0, 1)]
     model = Model(fit(*own[0]), fit(*own[1]))
-    free = seen.join(known.select("id"), "id", "left_anti")
+    kind = seen.schema["id"].dataType.simpleString()
     for _ in range(rounds):
         weights = (model.text, model.metadata)
 
@@ -220,12 +220,15 @@ def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label
                             ["id", "x", "teacher", "y"],
                         )
 
-        kind = seen.schema["id"].dataType.simpleString()
-        found = free.mapInArrow(sure, f"id {kind}, x binary, teacher int, y int")
+        order = Window.partitionBy("teacher", "y").orderBy(F.xxhash64("id"), "id")
+        found = seen.mapInArrow(sure, f"id {kind}, x binary, teacher int, y int").withColumn("rank", F.row_number().over(order))
+        first = found.filter(F.col("rank") <= exchanged // 2).collect()
+        asked = seen.sparkSession.createDataFrame([(r["id"],) for r in first], known.select("id").schema).distinct()
+        labelled = {r["id"] for r in known.join(F.broadcast(asked), "id").collect()}
         taught = []
         for teacher in (0, 1):
             learner = 1 - teacher
-            some = [r for label in (0, 1) for r in _first(found.filter((F.col("teacher") == teacher) & (F.col("y") == label)), exchanged // 2)]
+            some = [r for r in first if r["teacher"] == teacher and r["id"] not in labelled]
             taught.append(len(some))
             if some:
                 own[learner] = (
