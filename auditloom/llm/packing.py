@@ -37,7 +37,7 @@ from auditloom.llm.words import BLOCK, Words, groups, slices
 CAPACITY = 2048
 END = 0
 SHARD_PIECES = 50_000
-_KEPT_PARTS = 2_000_000
+_KEPT_PARTS = 500_000
 _JOINED = 5_000
 
 #: Fixed value: how byte-level tokenizers of this kind split text before merging.
@@ -177,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     def run(batches):
         table = tokens(tokenizer)
         for batch in batches:
-            for at, texts in slices(batch.column(1), 4 * BLOCK):
+            for at, texts in slices(batch.column(1), 2 * BLOCK):
                 ids, counts = table.of(texts)
                 ends = np.cumsum(counts)
                 rows: list[tuple] = []

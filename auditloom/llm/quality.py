@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.shared import settled
@@ -176,9 +176,15 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return _given(docs, id_col, text_col, lang_col, source_col).mapInArrow(run, f"id {kind}, content binary, page binary")
 
 
-def _first(rows: DataFrame, n: int) -> list:
-    """``n`` rows at most, in the order of a hash of the id."""
-    return rows.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+def _below(total: int, n: int) -> Column:
+    """A condition on the hash of the id that about ``n`` of ``total`` rows, and few less, meet."""
+    share = min(1.0, (n + 5 * n**0.5 + 10) / max(total, 1))
+    return F.xxhash64("id") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+
+
+def _sampled(rows: DataFrame, total: int, n: int) -> list:
+    """``n`` rows at most by the order of a hash of the id; few more than those leave the tasks."""
+    return sorted(rows.withColumn("order", F.xxhash64("id")).filter(_below(total, n)).collect(), key=lambda r: (r["order"], str(r["id"])))[:n]
 
 
 def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> Model:
@@ -187,7 +193,7 @@ def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label
         labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y"))
         .filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     )
-    chosen = seen.sparkSession.createDataFrame([(r["id"], r["y"]) for r in _first(known, sample)] , known.schema)
+    chosen = seen.sparkSession.createDataFrame([(r["id"], r["y"]) for r in _sampled(known, known.count(), sample)], known.schema)
     rows = seen.join(F.broadcast(chosen), "id").collect()
     rows = list({r["id"]: r for r in rows}.values())
     y = np.array([r["y"] for r in rows], np.float64)
@@ -220,9 +226,15 @@ def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label
                             ["id", "x", "teacher", "y"],
                         )
 
-        order = Window.partitionBy("teacher", "y").orderBy(F.xxhash64("id"), "id")
-        found = seen.mapInArrow(sure, f"id {kind}, x binary, teacher int, y int").withColumn("rank", F.row_number().over(order))
-        first = found.filter(F.col("rank") <= exchanged // 2).collect()
+        found = seen.mapInArrow(sure, f"id {kind}, x binary, teacher int, y int")
+        totals = {(r["teacher"], r["y"]): r["count"] for r in found.groupBy("teacher", "y").count().collect()}
+        wanted = F.lit(False)
+        for (teacher, label), total in totals.items():
+            wanted |= (F.col("teacher") == teacher) & (F.col("y") == label) & _below(total, exchanged // 2)
+        by_kind: dict[tuple, list] = {}
+        for r in found.withColumn("order", F.xxhash64("id")).filter(wanted).collect():
+            by_kind.setdefault((r["teacher"], r["y"]), []).append(r)
+        first = [r for some in by_kind.values() for r in sorted(some, key=lambda r: (r["order"], str(r["id"])))[: exchanged // 2]]
         asked = seen.sparkSession.createDataFrame([(r["id"],) for r in first], known.select("id").schema).distinct()
         labelled = {r["id"] for r in known.join(F.broadcast(asked), "id").collect()}
         taught = []

@@ -73,6 +73,7 @@ def slices(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, list[bytes
         to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield at, [t or b"" for t in raw.slice(at, to - at).to_pylist()]
         at = to
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 class Words:
