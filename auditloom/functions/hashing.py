@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def keyed_md5(*parts: Column | str | int) -> Column:
-    """md5 of the parts joined by dashes, for example (id, seed)."""
+    """md5 of the parts joined by dashes, for example (id, seed). A null part counts as such."""
     columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.md5(F.concat_ws("-", *[c.cast("string") for c in columns]))
+    return F.md5(F.concat_ws("-", *[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in columns]))
 
 
 def hash_int(digest: Column, start: int = 1, digits: int = 8) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 VALUES_PER_TASK = 500_000
-MOST_SPLITS = 2_000
 
 
 def running_totals(
@@ -33,7 +32,7 @@ def running_totals(
         )
         return counts.withColumn("before", F.coalesce(before, F.lit(0)).cast("bigint"))
 
-    every = max(values_per_task, total // MOST_SPLITS)
+    every = values_per_task
     splits = (
         counts.where(F.pmod(F.xxhash64(*keys, value), F.lit(every)) == 0)
         .groupBy(*keys)

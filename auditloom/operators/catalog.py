@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions.columns import flat_columns, kind_of, value
+from auditloom.functions.columns import col, flat_columns, kind_of, value
 from auditloom.operators.counts import distinct_counts
 
 # Names that mark targets, sensitive attributes and dates.
@@ -89,7 +89,8 @@ def temporal_columns(catalog: DataFrame, by_type: bool = False) -> DataFrame:
 def flagged_column_facts(tables: dict[str, DataFrame], flagged: DataFrame) -> DataFrame:
     """Adds to (table_name, column, ...) what the data says: rows, nulls, distinct values.
 
-    One job per table that has a flagged column, over just those columns.
+    One job per table that has a flagged column, over just those columns. A nested
+    column has rows and nulls, but no distinct values.
     """
     wanted: dict[str, list[str]] = {}
     for row in flagged.select("table_name", "column").distinct().collect():
@@ -98,18 +99,16 @@ def flagged_column_facts(tables: dict[str, DataFrame], flagged: DataFrame) -> Da
     for name in sorted(wanted):
         df = tables[name]
         flat = set(flat_columns(df))
-        columns = sorted(c for c in wanted[name] if c in flat)
-        if not columns:
-            continue
+        columns = sorted(wanted[name])
         entries = [
             F.struct(
                 F.lit(name).alias("table_name"), F.lit(c).alias("column"),
-                F.count(F.lit(1)).alias("n_rows"), F.count_if(value(df, c).isNull()).alias("n_null"),
+                F.count(F.lit(1)).alias("n_rows"), F.count_if((value(df, c) if c in flat else col(c)).isNull()).alias("n_null"),
             )
             for c in columns
         ]
         sizes = df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
-        parts.append(sizes.join(F.broadcast(distinct_counts(df, columns)), "column"))
+        parts.append(sizes.join(F.broadcast(distinct_counts(df, [c for c in columns if c in flat])), "column", "left"))
     out = flagged.limit(0).select("table_name", "column", *[F.lit(0).cast("bigint").alias(c) for c in ("n_rows", "n_null", "n_unique")])
     for p in parts:
         out = out.unionByName(p.select(*out.columns))

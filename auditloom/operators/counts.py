@@ -12,12 +12,16 @@ from pyspark.sql import types as T
 from auditloom.functions.columns import col, flat_columns, per_column, value
 from auditloom.functions.numbers import pct
 
+# Texts of more bytes are told apart by their digests where only their number counts.
+LONG_TEXT = 48
 
-def _typed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+
+def typed_counts(df: DataFrame, columns: list[str], digests: bool = False) -> DataFrame:
     """(column, whole, real, text, n): rows per value, in the column's own kind of type.
 
     Numbers are shuffled and compared as numbers; they only become text afterwards,
-    once per distinct value. A row with all three null counts the column's nulls.
+    once per distinct value. A row with all three null counts the column's nulls. With
+    ``digests`` long texts are replaced by their digests, so none is shuffled.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, whole bigint, real double, text string, n bigint")
@@ -27,10 +31,13 @@ def _typed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
         real = isinstance(dtype, (T.FloatType, T.DoubleType))
         x = value(df, c)
+        text = x.cast("string")
+        if digests:
+            text = F.when(F.octet_length(text) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
         return [
             (x if whole else F.lit(None)).cast("bigint"),
             (x if real else F.lit(None)).cast("double"),
-            (F.lit(None) if whole or real else x).cast("string"),
+            (F.lit(None).cast("string") if whole or real else text),
         ]
 
     cells = [e for c in columns for e in (F.lit(c), *parts(c))]
@@ -41,7 +48,7 @@ def _typed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def _all_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) with a row for nulls too."""
     as_text = F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string"))
-    return _typed_counts(df, columns).select("column", as_text.alias("value"), "n")
+    return typed_counts(df, columns).select("column", as_text.alias("value"), "n")
 
 
 def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -70,7 +77,7 @@ def top_values(counts: DataFrame, k: int, by: Sequence[str] = ("column",)) -> Da
 
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """(column, n_unique), nulls excluded, exact; columns without a value give 0."""
-    counts = _typed_counts(df, flat_columns(df) if columns is None else list(columns))
+    counts = typed_counts(df, flat_columns(df) if columns is None else list(columns), digests=True)
     known = F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("real").isNotNull()
     return counts.groupBy("column").agg(F.count_if(known).alias("n_unique"))
 
@@ -97,6 +104,16 @@ def joint_counts(df: DataFrame, columns: Sequence[str], n: str = "n") -> DataFra
     )
 
 
+def cell_rows(df: DataFrame, columns: Sequence[str], n: str = "n") -> DataFrame:
+    """The columns row by row, each counting once: what :func:`joint_counts` sums up.
+
+    For statistics of single columns and pairs, which are then grouped by those alone;
+    the joint combinations of many columns would be nearly as many as the rows.
+    """
+    names = list(dict.fromkeys(columns))
+    return df.select(*[value(df, c).alias(c) for c in names], F.lit(1).cast("bigint").alias(n))
+
+
 def group_key(names: Sequence[str], null_label: str | None) -> Column:
     """The group's values as an array of texts: pairs stay pairs, never glued together."""
     parts = [col(c).cast("string") for c in names]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.columns import col, kind_of, value
 from auditloom.functions.numbers import pct, ratio
-from auditloom.operators.counts import group_label, joint_counts, long_groups
+from auditloom.operators.counts import cell_rows, group_label, long_groups
 
 # Parity levels, the four-fifths rule, and bucket limits.
 FAIR_BELOW = 0.1
@@ -50,7 +50,7 @@ def _label(target: str) -> Column:
 def _groups(df: DataFrame, groupings, target: str, cells: DataFrame | None, null_label: str | None) -> DataFrame:
     """(attr, key, label, n) for single columns and combinations alike."""
     if cells is None:
-        cells = joint_counts(df, [c for g in groupings for c in g] + [target])
+        cells = cell_rows(df, [c for g in groupings for c in g] + [target])
     return (
         long_groups(cells, groupings, [target, "n"], null_label)
         .groupBy("attr", "key", _label(target))
@@ -75,7 +75,7 @@ def pair_proportions(df: DataFrame, column_pairs: Sequence[Pair], cells: DataFra
 
 def _proportions(df: DataFrame, groupings, cells: DataFrame | None) -> DataFrame:
     if cells is None:
-        cells = joint_counts(df, [c for g in groupings for c in g])
+        cells = cell_rows(df, [c for g in groupings for c in g])
     counts = long_groups(cells, groupings, ["n"]).groupBy("attr", "key").agg(F.sum("n").alias("n"))
     total = cells.agg(F.sum("n")).scalar()
     return counts.select("attr", group_label(F.col("key")).alias("value"), "n", pct(F.col("n"), total).alias("pct"))
@@ -107,7 +107,7 @@ def scale_buckets(df: DataFrame, column_pairs: Sequence[Pair], cells: DataFrame
     """(attr, grp, n, bucket): each combination's size against the pair's largest."""
     groupings = [list(p) for p in column_pairs]
     if cells is None:
-        cells = joint_counts(df, [c for g in groupings for c in g])
+        cells = cell_rows(df, [c for g in groupings for c in g])
     counts = long_groups(cells, groupings, ["n"]).groupBy("attr", "key").agg(F.sum("n").alias("n"))
     largest = counts.groupBy("attr").agg(F.max("n").alias("largest"))
     bucket = (
@@ -178,7 +178,7 @@ def binary_parity(
     them per column as (privileged, unprivileged). Other targets give no rows.
     """
     if cells is None:
-        cells = joint_counts(df, list(sensitive) + [target])
+        cells = cell_rows(df, list(sensitive) + [target])
     privileged = privileged or {}
     y = col(target)
     labels = cells.agg(

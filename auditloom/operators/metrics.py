@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.columns import col
 from auditloom.functions.numbers import ratio, zero_if_undefined
-from auditloom.operators.counts import group_label, joint_counts, long_groups
+from auditloom.operators.counts import cell_rows, group_label, joint_counts, long_groups
 
 # An error rate ratio above this is called significant.
 SIGNIFICANT_RATIO = 1.25
@@ -67,8 +67,8 @@ def classification_summary(df: DataFrame, actual: str, predicted: str) -> DataFr
 
 def positive_label(cells: DataFrame, actual: str) -> Column:
     """The second label in text order, or the only one."""
-    labels = cells.agg(F.array_sort(F.collect_set(col(actual).cast("string"))).alias("l"))
-    return labels.select(F.coalesce(F.get("l", F.lit(1)), F.get("l", F.lit(0)))).scalar()
+    labels = cells.groupBy(col(actual).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).where("l is not null")
+    return labels.orderBy("l").limit(2).agg(F.max("l")).scalar()
 
 
 def group_metrics(
@@ -82,10 +82,11 @@ def group_metrics(
 
     ``groupings`` lists columns, or tuples of columns for intersections. A null
     group is called ``Missing``. The positive class is ``positive``, by default the
-    second label in text order. Everything comes from one joint count.
+    second label in text order of the whole frame. Groups are counted by (attribute,
+    group, label) alone, combined in each task.
     """
     groups = [[g] if isinstance(g, str) else list(g) for g in groupings]
-    cells = joint_counts(df, [c for g in groups for c in g] + [actual, predicted])
+    cells = cell_rows(df, [c for g in groups for c in g] + [actual, predicted])
     chosen = F.lit(positive) if positive is not None else positive_label(cells, actual)
     labels = (
         long_groups(cells, groups, [actual, predicted, "n"], null_label="Missing")

@@ -22,6 +22,7 @@ from auditloom.functions.quantiles import exact_quantiles
 from auditloom.functions.ranking import ordered_codes
 from auditloom.operators.resample import class_counts
 from auditloom.operators.sampling import SEED, lowest_by_hash
+from auditloom.session import settled
 
 # The model names, their defaults, and the share of test rows.
 TEST_SHARE = 0.25
@@ -29,15 +30,17 @@ FOREST, BOOSTING, LOGISTIC, SVM = "Random Forest", "Gradient Boosting", "Logisti
 FOREST_TREES, FOREST_DEPTH = 100, 10
 BOOSTING_TREES, BOOSTING_DEPTH = 100, 3
 LOGISTIC_ITERATIONS = 1000
+# Fixed value: the deepest tree that Spark trains.
 DEEPEST = 30
-MOST_CLASSES = 10_000
 
 
-def encode_features(df: DataFrame, target: str, key: Sequence[str] = ()) -> DataFrame:
+def encode_features(df: DataFrame, target: str, key: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Numbers for every feature column: text as alphabetical codes, numbers as they are.
 
     A null text counts as ``Missing``, a null number becomes the column's median. The
-    encoded columns keep their names; ``target_code`` is the code of the target. Columns that are neither text nor number are left out.
+    encoded columns keep their names; ``target_code`` is the code of the target. Columns that
+    are neither text nor number are left out. Each column of ``carry`` comes along as it
+    was, as ``__carry_<i>``.
     """
     clean = df.where(value(df, target).isNotNull())
     features = columns_of_kind(df, "numeric", "categorical", exclude=[target, *key])
@@ -49,6 +52,7 @@ def encode_features(df: DataFrame, target: str, key: Sequence[str] = ()) -> Data
         col(target).cast("string").alias(target),
         *[F.coalesce(col(c).cast("string"), F.lit("Missing")).alias(c) for c in text],
         *[number(clean, c).alias(c) for c in numbers],
+        *[col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)],
     )
     if numbers:
         medians = exact_quantiles(filled, numbers, [0.5])
@@ -59,7 +63,8 @@ def encode_features(df: DataFrame, target: str, key: Sequence[str] = ()) -> Data
         book = book.select(F.col("value").alias(c), F.col("code").cast("double").alias("__code"))
         filled = join_lookup(filled, book, [c], "left", n_rows=size)
         filled = filled.withColumnRenamed("__code", "target_code") if c == target else filled.withColumn(c, F.col("__code")).drop("__code")
-    return filled.select(*[col(c) for c in key], *[col(c) for c in features], col(target), "target_code")
+    carried = [f"__carry_{i}" for i in range(len(carry))]
+    return filled.select(*[col(c) for c in key], *[col(c) for c in features], col(target), "target_code", *carried)
 
 
 def stratified_split(
@@ -91,20 +96,22 @@ def classifier(model_type: str, params: dict | None, n_rows: int, n_classes: int
     ``params`` uses the names n_estimators, max_depth, learning_rate and C.
     """
     p = params or {}
+    if p.get("max_depth", 0) > DEEPEST:
+        raise ValueError(f"max_depth is {p['max_depth']}; trees can be {DEEPEST} deep at most")
     if model_type == LOGISTIC:
         model = LogisticRegression(
             maxIter=p.get("max_iter", LOGISTIC_ITERATIONS), regParam=1.0 / (p.get("C", 1.0) * max(n_rows, 1)), standardization=False
         )
     elif model_type == BOOSTING:
         model = GBTClassifier(
-            maxIter=p.get("n_estimators", BOOSTING_TREES), maxDepth=min(p.get("max_depth", BOOSTING_DEPTH), DEEPEST),
+            maxIter=p.get("n_estimators", BOOSTING_TREES), maxDepth=p.get("max_depth", BOOSTING_DEPTH),
             stepSize=p.get("learning_rate", 0.1), seed=seed,
         )
     elif model_type == SVM:
         model = LinearSVC(maxIter=p.get("max_iter", 100), regParam=1.0 / (p.get("C", 1.0) * max(n_rows, 1)))
     else:
         model = RandomForestClassifier(
-            numTrees=p.get("n_estimators", FOREST_TREES), maxDepth=min(p.get("max_depth", FOREST_DEPTH), DEEPEST), seed=seed
+            numTrees=p.get("n_estimators", FOREST_TREES), maxDepth=p.get("max_depth", FOREST_DEPTH), seed=seed
         )
     if weight:
         model = model.setWeightCol(weight)
@@ -127,30 +134,29 @@ def train_and_predict(
 ) -> DataFrame:
     """(key, carried columns, y, yhat) for the test rows; labels as texts.
 
-    Sensitive columns stay among the features, as a proxy model should see them.
+    Sensitive columns stay among the features, as a proxy model should see them. The
+    encoded table is settled once, with the carried columns in it.
     """
-    skipped = [weight] if weight else []
-    encoded = encode_features(df.drop(*skipped), target, key)
-    features = [c for c in encoded.columns if c not in (*key, target, "target_code")]
+    along = list(dict.fromkeys([*carry, *([weight] if weight else [])]))
+    encoded = encode_features(df, target, key, along)
+    skipped = {*key, target, "target_code", *([weight] if weight else []), *(f"__carry_{i}" for i in range(len(along)))}
+    features = [c for c in encoded.columns if c not in skipped]
     points = stratified_split(encoded, key, target, test_share, seed, exact_split).select(
-        *[col(k) for k in key], col(target).alias("__label"), "target_code", "is_test",
+        *[col(k).alias(f"__key_{i}") for i, k in enumerate(key)],
+        col(target).alias("__label"), "target_code", "is_test",
         array_to_vector(F.array(*[col(c) for c in features])).alias("features"),
+        *[F.col(f"__carry_{i}") for i in range(len(along))],
     )
-    if weight:
-        weights = df.select(*[col(k) for k in key], col(weight))
-        points = points.join(weights, list(key))
-    points = points.persist()
-    labels = points.groupBy("target_code").agg(F.first("__label").alias("label")).limit(MOST_CLASSES + 1).collect()
-    if len(labels) > MOST_CLASSES:
-        raise ValueError(f"{target} has more than {MOST_CLASSES} values, so it is no class column")
+    points = settled(points)
+    labels = points.groupBy("target_code").agg(F.first("__label").alias("yhat"))
+    n_classes = labels.count()
     train = points.where(~F.col("is_test"))
-    model = classifier(model_type, params, train.count(), len(labels), weight, seed).setFeaturesCol("features").setLabelCol("target_code")
-    fitted = model.fit(train)
-
-    names = F.create_map(*[F.lit(x) for r in labels for x in (float(r["target_code"]), r["label"])])
-    scored = fitted.transform(points.where("is_test")).select(
-        *[col(k) for k in key], F.col("__label").alias("y"), F.try_element_at(names, F.col("prediction")).alias("yhat")
+    weight_col = f"__carry_{along.index(weight)}" if weight else None
+    model = classifier(model_type, params, train.count(), n_classes, weight_col, seed)
+    fitted = model.setFeaturesCol("features").setLabelCol("target_code").fit(train)
+
+    scored = fitted.transform(points.where("is_test")).drop("target_code").withColumnRenamed("prediction", "target_code")
+    return join_lookup(scored, labels, ["target_code"], "left", n_rows=n_classes).select(
+        *[F.col(f"__key_{i}").alias(k) for i, k in enumerate(key)], F.col("__label").alias("y"), "yhat",
+        *[F.col(f"__carry_{along.index(c)}").alias(c) for c in carry],
     )
-    if carry:
-        scored = scored.join(df.select(*[col(k) for k in key], *[col(c) for c in carry]), list(key))
-    return scored

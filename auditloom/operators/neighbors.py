@@ -1,19 +1,21 @@
-"""Exact nearest neighbours without comparing all pairs in one place.
-
-Vectors are assigned to the nearest of a few pivots; a cell with many vectors is
-split into blocks of bounded size. Each vector first searches its own block, which
-gives it a search radius. It is then sent only to those blocks that can hold a
-closer vector: a block is skipped when the triangle inequality or the plane between
-two pivots puts all of it beyond the radius. Both bounds are exact, so the result
-is too; how much is skipped depends on how clustered the data is. Queries sent to
-the same block are split into groups of bounded size as well, so a dense region
-costs more tasks and not a bigger one. What is shuffled is at most k candidates per
-vector and visited block.
+"""Nearest neighbours in blocks of bounded size.
+
+``exact``: the vectors of a class are dealt into blocks by a hash of their key, one row per
+block, and every block meets every block of its class. A pair of blocks is one small matrix
+product, of which at most k candidates per vector leave the task. The work is the square of
+a class; what is moved is blocks, never pairs of rows, and no list of classes or blocks is
+built outside Spark.
+
+``lsh``: vectors are hashed by the sides of random hyperplanes they are on, several times
+over, and only vectors of equal hash meet, again in blocks. It finds most of the nearest
+rows for a fraction of the work; what share depends on ``tables`` and ``bits``.
+
+Rows with a null key, a null vector or a null component take no part, nor do rows without a
+class where one is asked for.
 """
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Sequence
 
@@ -25,13 +27,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.functions.columns import col
-from auditloom.functions.hashing import keyed_md5
-from auditloom.functions.joins import join_lookup
 
-MOST_PIVOTS = 256
 BLOCK_ROWS = 4_096
-MOST_CLASSES = 10_000
-BLOCK = ["__class", "__cell", "__sub"]
+TABLES, BITS = 24, 4
+SEED = 42
 
 # The small functions below travel with the tasks, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -45,7 +44,7 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
 
 
-def _closest(q: np.ndarray, q_ids, b: np.ndarray, b_ids, k: int, radius=None, drop_self=False, slice_rows: int = 1024):
+def _closest(q: np.ndarray, q_ids, b: np.ndarray, b_ids, k: int, drop_self=False, slice_rows: int = 1024):
     """(query position, base position, distance) of the k nearest base rows per query.
 
     A matrix product finds who can be among the nearest, with a margin for rounding;
@@ -61,8 +60,6 @@ def _closest(q: np.ndarray, q_ids, b: np.ndarray, b_ids, k: int, radius=None, dr
         limit = np.full(len(part), np.inf)
         if near.shape[1] > k:
             limit = np.partition(near, k - 1, axis=1)[:, k - 1]
-        if radius is not None:
-            limit = np.minimum(limit, np.square(radius[start : start + slice_rows]))
         rows, cols = np.nonzero((near <= (limit + margin)[:, None]) & np.isfinite(near))
         diff = part[rows] - b[cols]
         dist = np.sqrt((diff * diff).sum(1))
@@ -74,23 +71,36 @@ def _closest(q: np.ndarray, q_ids, b: np.ndarray, b_ids, k: int, radius=None, dr
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _pivots(points: DataFrame, n: int, block_rows: int) -> np.ndarray:
-    """A bounded sample of vectors, picked by the hash of their key."""
-    wanted = 1 if n <= block_rows else min(MOST_PIVOTS, math.ceil(math.sqrt(n)))
-    rows = points.orderBy(keyed_md5("pivot", col("__id")), "__id").limit(wanted).select("__vec").collect()
-    return np.unique(np.array([r[0] for r in rows], dtype=np.float64), axis=0)
+def _sides(planes: np.ndarray, tables: int, bits: int):
+    """The hash of a vector in each table: its side of each of the table's hyperplanes."""
+
+    @F.pandas_udf("array<long>")
+    def sides(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        over = (_matrix(vectors) @ planes > 0).reshape(len(vectors), tables, bits)
+        return pd.Series(list((over @ (1 << np.arange(bits))).astype(np.int64)))
 
+    return sides
 
-def _with_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    @F.pandas_udf("struct<cell:int,gap:double>")
-    def assign(vectors: pd.Series) -> pd.DataFrame:
-        squared = _squared(_matrix(vectors), pivots)
-        cell = squared.argmin(1)
-        direct = _matrix(vectors) - pivots[cell]
-        return pd.DataFrame({"cell": cell.astype(np.int32), "gap": np.sqrt((direct * direct).sum(1))})
 
-    placed = points.withColumn("__c", assign("__vec"))
-    return placed.select(*points.columns, F.col("__c.cell").alias("__cell"), F.col("__c.gap").alias("__gap"))
+def _blocks(points: DataFrame, key_type: str, block_rows: int) -> DataFrame:
+    """One row per block of a group: (group, sub, subs, ids, vectors)."""
+    sizes = points.groupBy("__group").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__subs"))
+    dealt = points.join(sizes, "__group").withColumn("__sub", F.pmod(F.xxhash64("__id"), F.col("__subs")).cast("int"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        return pd.DataFrame(
+            {
+                "__group": [first["__group"]], "__sub": [first["__sub"]], "__subs": [first["__subs"]],
+                "__ids": [pdf["__id"].tolist()], "__vectors": [_matrix(pdf["__vec"]).tobytes()],
+            }
+        )
+
+    return dealt.groupBy("__group", "__sub", "__subs").applyInPandas(
+        pack, f"__group string, __sub int, __subs int, __ids array<{key_type}>, __vectors binary"
+    )
 
 
 def nearest_neighbours(
@@ -101,150 +111,64 @@ def nearest_neighbours(
     within: str | None = None,
     include_self: bool = False,
     block_rows: int = BLOCK_ROWS,
+    method: str = "exact",
+    tables: int = TABLES,
+    bits: int = BITS,
 ) -> DataFrame:
-    """(key, neighbour, rank, distance): the k nearest rows of each row, Euclidean, exact.
+    """(key, neighbour, rank, distance): the k nearest rows of each row, Euclidean.
 
     ``within`` restricts neighbours to rows of the same class. Ties go to the lower
     key. A row with fewer than k possible neighbours gets all there are.
     """
+    if method not in ("exact", "lsh"):
+        raise ValueError("method is 'exact' or 'lsh'")
     key_type = df.schema[key].dataType.simpleString()
-    spark = df.sparkSession
     points = df.select(
         col(key).alias("__id"),
-        (col(within).cast("string") if within else F.lit("")).alias("__class"),
+        (col(within).cast("string") if within else F.lit("")).alias("__group"),
         col(vector).cast("array<double>").alias("__vec"),
+    ).where("__id is not null and __group is not null and __vec is not null and not exists(__vec, x -> x is null)")
+    if method == "lsh":
+        dims = points.select(F.size("__vec").alias("d")).first()
+        planes = np.random.default_rng(SEED).normal(size=(dims["d"] if dims else 1, tables * bits))
+        hashed = points.withColumn("__sides", _sides(planes, tables, bits)("__vec"))
+        points = hashed.select("__id", "__vec", "__group", F.posexplode("__sides").alias("__table", "__side")).select(
+            "__id", "__vec", F.concat_ws("|", "__table", "__side", "__group").alias("__group")
+        )
+    blocks = _blocks(points, key_type, block_rows)
+    asking = blocks.select(
+        "__group", F.col("__ids").alias("q_ids"), F.col("__vectors").alias("q_vectors"),
+        F.explode(F.sequence(F.lit(0), F.col("__subs") - 1)).alias("__sub"),
     )
-    n = points.count()
-    pivots = _pivots(points, n, block_rows)
-    placed = _with_cells(points, pivots).persist()
-    cells = (
-        placed.groupBy("__class", "__cell")
-        .agg(F.count(F.lit(1)).alias("__size"), F.max("__gap").alias("__radius"))
-        .limit(MOST_CLASSES * MOST_PIVOTS + 1)
-        .collect()
-    )
-    if len({r["__class"] for r in cells}) > MOST_CLASSES:
-        raise ValueError(f"{within} has more than {MOST_CLASSES} values, so it is no class column")
-    layout: dict[str, dict] = {}
-    for r in sorted(cells, key=lambda r: (r["__class"], r["__cell"])):
-        own = layout.setdefault(r["__class"], {"cell": [], "radius": [], "subs": []})
-        own["cell"].append(r["__cell"])
-        own["radius"].append(r["__radius"])
-        own["subs"].append(math.ceil(r["__size"] / block_rows))
-
-    sizes = spark.createDataFrame(
-        [(r["__class"], r["__cell"], math.ceil(r["__size"] / block_rows)) for r in cells],
-        "__class string, __cell int, __subs int",
-    )
-    # at most MOST_CLASSES * MOST_PIVOTS rows, checked above
-    base = (
-        placed.join(F.broadcast(sizes), ["__class", "__cell"])
-        .withColumn("__sub", F.pmod(F.xxhash64("__id"), F.col("__subs")).cast("int"))
-        .select("__id", "__vec", *BLOCK)
-    )
+    met = blocks.select("__group", "__sub", F.col("__ids").alias("b_ids"), F.col("__vectors").alias("b_vectors")).join(asking, ["__group", "__sub"])
 
-    def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, m = pdf["__id"].to_numpy(), _matrix(pdf["__vec"])
-        rows, cols, dist = _closest(m, ids, m, ids, k, drop_self=not include_self)
-        cuts = np.searchsorted(rows, np.arange(len(ids) + 1))
-        spans = list(zip(cuts[:-1], cuts[1:]))
-        out = pdf[["__id", "__vec", *BLOCK]].copy()
-        out["ids"] = [ids[cols[a:b]].tolist() for a, b in spans]
-        out["dists"] = [dist[a:b].tolist() for a, b in spans]
-        out["reach"] = [dist[b - 1] if b - a == k else np.inf for a, b in spans]
-        return out
-
-    head = f"__id {key_type}, __vec array<double>, __class string, __cell int, __sub int"
-    first = base.groupBy(*BLOCK).applyInPandas(
-        own_block, f"{head}, ids array<{key_type}>, dists array<double>, reach double"
-    )
-    if sum(sum(v["subs"]) for v in layout.values()) == len(layout):
-        candidates = _unfold(first)
-    else:
-        first = first.persist()
-        rest = _other_blocks(first, base, pivots, layout, k, key_type, block_rows)
-        candidates = _unfold(first).unionByName(rest)
+    def search(batches):
+        for batch in batches:
+            for q_ids, q_vectors, b_ids, b_vectors in zip(batch["q_ids"], batch["q_vectors"], batch["b_ids"], batch["b_vectors"]):
+                q, b = (np.frombuffer(v).reshape(len(i), -1) for v, i in ((q_vectors, q_ids), (b_vectors, b_ids)))
+                q_ids, b_ids = np.asarray(q_ids), np.asarray(b_ids)
+                rows, cols, dist = _closest(q, q_ids, b, b_ids, k, drop_self=not include_self)
+                yield pd.DataFrame({"__id": q_ids[rows], "neighbour": b_ids[cols], "distance": dist})
 
+    found = met.select("q_ids", "q_vectors", "b_ids", "b_vectors").mapInPandas(
+        search, f"__id {key_type}, neighbour {key_type}, distance double"
+    )
+    if method == "lsh":  # a pair may meet in several tables
+        found = found.groupBy("__id", "neighbour").agg(F.min("distance").alias("distance"))
     order = W.partitionBy("__id").orderBy("distance", "neighbour")
     return (
-        candidates.withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select(F.col("__id").alias(key), "neighbour", "rank", "distance")
     )
 
 
-def _unfold(first: DataFrame) -> DataFrame:
-    pairs = F.explode(F.arrays_zip("ids", "dists"))
-    return first.select("__id", pairs.alias("p")).select(
-        "__id", F.col("p.ids").alias("neighbour"), F.col("p.dists").alias("distance")
-    )
-
-
-def _other_blocks(first, base, pivots, layout, k, key_type, block_rows) -> DataFrame:
-    between = np.sqrt(_squared(pivots, pivots))
-
-    @F.pandas_udf("array<struct<__cell:int,__sub:int>>")
-    def reachable(vectors: pd.Series, classes: pd.Series, cells: pd.Series, subs: pd.Series, reach: pd.Series) -> pd.Series:
-        to_pivot = np.sqrt(_squared(_matrix(vectors), pivots))
-        out = []
-        for d, c, cell, sub, r in zip(to_pivot, classes, cells, subs, reach):
-            own = layout[c]
-            target = np.asarray(own["cell"])
-            ball = d[target] - np.asarray(own["radius"])
-            gap = between[cell][target]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(gap > 0, (d[target] ** 2 - d[cell] ** 2) / (2 * gap), 0.0)
-            slack = 1e-9 * (1.0 + d.max())
-            open_cells = np.flatnonzero(np.maximum(ball, plane) <= r + slack)
-            out.append(
-                [
-                    {"__cell": int(target[i]), "__sub": s}
-                    for i in open_cells
-                    for s in range(own["subs"][i])
-                    if not (target[i] == cell and s == sub)
-                ]
-            )
-        return pd.Series(out)
-
-    visits = first.select(
-        "__id", "__vec", "__class", "reach",
-        F.inline(reachable("__vec", "__class", "__cell", "__sub", "reach")),
-    ).persist()
-    groups = (
-        visits.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("q"))
-        .select(*BLOCK, F.ceil(F.col("q") / block_rows).cast("int").alias("__parts"))
-    )
-    queries = join_lookup(visits, groups, BLOCK, "inner").withColumn(
-        "__part", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")
-    )
-    copies = join_lookup(base, groups, BLOCK, "inner").withColumn(
-        "__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
-    )
-
-    def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or b.empty:
-            return pd.DataFrame({"__id": [], "neighbour": [], "distance": []})
-        q_ids, b_ids = q["__id"].to_numpy(), b["__id"].to_numpy()
-        rows, cols, dist = _closest(
-            _matrix(q["__vec"]), q_ids, _matrix(b["__vec"]), b_ids, k, radius=q["reach"].to_numpy()
-        )
-        return pd.DataFrame({"__id": q_ids[rows], "neighbour": b_ids[cols], "distance": dist})
-
-    by = [*BLOCK, "__part"]
-    # new names for the same columns: both sides come from the same tables
-    queries = queries.select(*[F.col(c).alias(c) for c in ("__id", "__vec", "reach", *by)])
-    copies = copies.select(*[F.col(c).alias(c) for c in ("__id", "__vec", *by)])
-    return queries.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(
-        search, f"__id {key_type}, neighbour {key_type}, distance double"
-    )
-
-
 def knn_consistency(
     df: DataFrame, key: str, vector: str, target: str, k: int = 5, include_self: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, method: str = "exact",
 ) -> DataFrame:
     """1 - mean |y - mean y of the k nearest rows|; a row counts among its own neighbours."""
-    near = nearest_neighbours(df, key, vector, k, include_self=include_self, block_rows=block_rows)
+    near = nearest_neighbours(df, key, vector, k, include_self=include_self, block_rows=block_rows, method=method)
     labels = df.select(col(key).alias("id"), col(target).cast("double").alias("y"))
     mean_near = (
         near.join(labels.select(F.col("id").alias("neighbour"), F.col("y").alias("y_near")), "neighbour")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.functions.columns import (
@@ -20,7 +21,7 @@ from auditloom.functions.columns import (
 )
 from auditloom.functions.numbers import ratio, sample_kurtosis, sample_skewness
 from auditloom.functions.quantiles import exact_quantiles, quantile_frame
-from auditloom.operators.counts import distinct_counts, top_values, value_counts
+from auditloom.operators.counts import distinct_counts, top_values, typed_counts, value_counts
 
 # Below this many distinct values a numeric column is listed by value.
 FEW_VALUES = 50
@@ -80,15 +81,15 @@ def column_preview(df: DataFrame, columns: Iterable[str] | None = None) -> DataF
 
 
 def sample_values(df: DataFrame, k: int = 5, columns: Iterable[str] | None = None) -> DataFrame:
-    """The k smallest distinct values per column (a table has no first rows in Spark)."""
-    from pyspark.sql import Window as W
-
-    counts = value_counts(df, flat_columns(df) if columns is None else list(columns))
-    order = W.partitionBy("column").orderBy("value")
+    """The k smallest distinct values per column, numbers by size and texts by letters
+    (a table has no first rows in Spark). Tasks keep k values a column before the shuffle."""
+    counts = typed_counts(df, flat_columns(df) if columns is None else list(columns))
+    order = W.partitionBy("column").orderBy("whole", "real", "text")
     return (
-        counts.withColumn("rank", F.row_number().over(order))
+        counts.where(F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")).isNotNull())
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("column", "rank", "value")
+        .select("column", "rank", F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")).alias("value"))
     )
 
 
@@ -207,9 +208,9 @@ def categorical_stats(df: DataFrame, target: str | None = None) -> DataFrame:
     )
 
 
-def auto_profile(df: DataFrame, first: int = 20) -> DataFrame:
-    """A fuller profile of the first columns: missing, distinct, moments, zeros."""
-    names = flat_columns(df)[:first]
+def auto_profile(df: DataFrame) -> DataFrame:
+    """A fuller profile of all columns: missing, distinct, moments, zeros."""
+    names = flat_columns(df)
     numeric = [c for c in names if c in set(numeric_columns(df))]
     shown = {"numeric": "Numeric", "categorical": "Categorical", "temporal": "DateTime"}
     types = df.sparkSession.createDataFrame(

@@ -149,7 +149,7 @@ def oversample(df: DataFrame, key: Sequence[str], target: str, strategy: str = "
     raised = plan.where(F.col("target_n") > F.col("n")).select("label")
     label = value(df, target).cast("string")
     pool = numbered_rows(
-        df.join(F.broadcast(raised), label == F.col("label"), "left_semi"), target, key, seed
+        df.join(raised, label == F.col("label"), "left_semi"), target, key, seed
     )
     drawn = draws(plan).select(
         F.col("label").alias("__label"), "draw",
@@ -175,6 +175,7 @@ def synthetic_vectors(
     strategy: str = "auto",
     seed: int = SEED,
     block_rows: int = BLOCK_ROWS,
+    method: str = "exact",
 ) -> DataFrame:
     """(base_key, neighbour_key, draw, features, label): points between a row and a near one.
 
@@ -188,10 +189,10 @@ def synthetic_vectors(
         raise ValueError(f"classes with {k} rows or fewer have no {k} neighbours: {[r[0] for r in too_small]}")
     label = value(df, target).cast("string")
     pool = df.select(col(key).alias("id"), label.alias("y"), col(vector).cast("array<double>").alias("x")).join(
-        F.broadcast(raised.select("label")), F.col("y") == F.col("label"), "left_semi"
-    ).persist()
+        raised.select("label"), F.col("y") == F.col("label"), "left_semi"
+    )
     numbered = numbered_rows(pool, "y", ["id"], seed).select("__label", "rn", F.col("id").alias("base_key"), F.col("x").alias("a"))
-    near = nearest_neighbours(pool, "id", "x", k, within="y", block_rows=block_rows).select(
+    near = nearest_neighbours(pool, "id", "x", k, within="y", block_rows=block_rows, method=method).select(
         F.col("id").alias("base_key"), "rank", F.col("neighbour").alias("neighbour_key")
     )
     drawn = draws(plan).select(
@@ -220,12 +221,14 @@ def smote(
     strategy: str = "auto",
     seed: int = SEED,
     block_rows: int = BLOCK_ROWS,
+    method: str = "exact",
 ) -> DataFrame:
     """The table with synthetic rows for the smaller classes; ``synthetic`` marks them.
 
     Text columns take part as alphabetical codes (null is -1) and are decoded from the
     rounded result; whole-number columns stay whole. A null number is an error. The
-    key of a synthetic row is null.
+    key of a synthetic row is null; ``made_from`` tells it apart: base row, neighbour, draw
+    and class. It is null for the given rows.
     """
     features = [c for c in df.columns if c not in (key, target)]
     clean = df.select(*[value(df, c).alias(c) for c in df.columns])
@@ -248,9 +251,10 @@ def smote(
         for c in features
     ]
     points = coded.select(col(key), col(target), F.array(*parts).alias("__features"))
-    made = synthetic_vectors(points, key, "__features", target, k, strategy, seed, block_rows)
+    made = synthetic_vectors(points, key, "__features", target, k, strategy, seed, block_rows, method)
 
-    new = made.select("label", *[F.get("features", F.lit(i)).alias(c) for i, c in enumerate(features)])
+    made_from = F.concat_ws("-", "base_key", "neighbour_key", "draw", "label").alias("made_from")
+    new = made.select("label", made_from, *[F.get("features", F.lit(i)).alias(c) for i, c in enumerate(features)])
     for c in text:
         book, size = books[c]
         new = new.withColumn("__c", F.rint(col(c)).cast("bigint")).drop(c)
@@ -262,9 +266,10 @@ def smote(
             else col(c).cast(df.schema[c].dataType).alias(c)
             for c in df.columns
         ],
-        F.lit(True).alias("synthetic"),
+        F.lit(True).alias("synthetic"), "made_from",
     )
-    return clean.withColumn("synthetic", F.lit(False)).unionByName(new)
+    given = clean.withColumns({"synthetic": F.lit(False), "made_from": F.lit(None).cast("string")})
+    return given.unionByName(new)
 
 
 def mitigation_summary(before: DataFrame, after: DataFrame, target: str) -> DataFrame:

@@ -7,24 +7,22 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.columns import long_numbers, numeric_columns
 
-# Significance level, variation limit, columns looked at.
+# Significance level, variation limit.
 ALPHA = 0.05
 VARIATION_LIMIT = 2.0
-NORMALITY_COLUMNS = 10
-VARIATION_COLUMNS = 5
 NO_TEMPORAL = "No temporal columns detected - cannot assess temporal drift risk"
 DRIFT_OK = "Implement monitoring for data drift in production"
 DRIFT_RISK = "Address identified risks before deployment"
 
 
-def normality_screen(df: DataFrame, first: int = NORMALITY_COLUMNS) -> DataFrame:
-    """Jarque-Bera test of the first numeric columns over all their rows.
+def normality_screen(df: DataFrame) -> DataFrame:
+    """Jarque-Bera test of all numeric columns over all their rows.
 
     Its statistic needs only population moments, so one grouped aggregate serves
     every column, and its tail probability has the closed form exp(-JB / 2). Columns with
     three values or fewer, or without variation, are not judged.
     """
-    names = numeric_columns(df)[:first]
+    names = numeric_columns(df)
     moments = long_numbers(df, names).groupBy("column").agg(
         F.count("x").alias("n"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2")
     )
@@ -37,9 +35,9 @@ def normality_screen(df: DataFrame, first: int = NORMALITY_COLUMNS) -> DataFrame
     )
 
 
-def variation_risk(df: DataFrame, first: int = VARIATION_COLUMNS) -> DataFrame:
-    """Coefficient of variation of the first numeric columns; a negative mean never triggers."""
-    names = numeric_columns(df)[:first]
+def variation_risk(df: DataFrame) -> DataFrame:
+    """Coefficient of variation of all numeric columns; a negative mean never triggers."""
+    names = numeric_columns(df)
     out = long_numbers(df, names).groupBy("column").agg(
         F.try_divide(F.stddev_samp("x"), F.avg("x") + F.lit(1e-10)).alias("cv")
     )

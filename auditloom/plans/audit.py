@@ -1,7 +1,8 @@
 """The staged audit: quality, attributes, imbalance, fairness, treatment, comparison.
 
-A stage is a set of named, lazy results over one persisted input. Nothing is
-computed twice: all group statistics share one table of joint counts.
+A stage is a set of named results over one input. Building them runs some jobs: quality
+screens look at the data to choose their plans, the proxy is trained, and treated tables
+are written. The results themselves are lazy; the input is read by each and not kept.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators import balance, compare, fairness, metrics, profile, quality, resample
-from auditloom.operators.catalog import SENSITIVE_WORDS, TARGET_NAMES
-from auditloom.operators.counts import joint_counts
+from auditloom.operators.catalog import SENSITIVE_WORDS, TARGET_NAMES, catalog_of, sensitive_by_keyword
 from auditloom.operators.model import FOREST, train_and_predict
 from auditloom.session import settled, shared_folder
 from auditloom.sources.nulls import blank_to_null, complete_cases, null_tokens
@@ -38,6 +38,7 @@ class Proxy:
     model_type: str = FOREST
     params: dict | None = None
     test_share: float = 0.25
+    exact_split: bool = True
 
 
 def guessed_target(df: DataFrame) -> str:
@@ -50,6 +51,10 @@ def guessed_sensitive(df: DataFrame, target: str | None) -> list[str]:
     return fairness.without_target(hits, target)
 
 
+def _flagged(df: DataFrame) -> DataFrame:
+    return sensitive_by_keyword(catalog_of(df.sparkSession, {"table": df})).withColumn("flagged", F.lit(True))
+
+
 def treated(df: DataFrame, method: str, key: str, target: str, sensitive: Sequence[str], strategy: str = "auto", k: int = 5) -> DataFrame:
     """One treatment by name."""
     if method == "reweighted":
@@ -80,44 +85,49 @@ def audit(
     as sensitive. Treated tables are written to ``folder`` (by default below the
     session's shared folder) and compared as read back from there.
     """
-    df = df.persist()
     target = target or guessed_target(df)
     sensitive = fairness.without_target(sensitive, target) if sensitive is not None else guessed_sensitive(df, target)
     out = [
         Result("load", "size", df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_columns"))),
         Result("quality", "column_issue_report", quality.column_issue_report(df), ["column"]),
         Result("attributes", "column_catalog", profile.column_catalog(df), ["column", "rank"]),
+        Result("attributes", "sensitive_by_keyword", _flagged(df), ["table_name", "column"]),
         Result("imbalance", "dominant_values", balance.dominant_values(df, sensitive), ["column", "rank"]),
     ]
-    base_parity = None
+    base_parity, positive = None, None
     if proxy is not None:
-        predictions, base = _proxy_results(df, key, target, sensitive, selected_pairs, proxy)
+        # the class is that of the whole target, whatever classes the test rows hold
+        positive = df.select(metrics.positive_label(df.select(target), target).alias("p")).first()
+        positive = positive["p"] if positive else None
+        predictions, base = _proxy_results(df, key, target, sensitive, selected_pairs, proxy, positive)
         out += predictions
         base_parity = base
     out += _target_fairness(df, target, sensitive, selected_pairs)
     if methods:
         folder = folder or f"{shared_folder(df.sparkSession)}/treated-{uuid.uuid4().hex}"
-        out += _treatments(df, key, target, sensitive, methods, proxy, base_parity, strategy, folder)
+        out += _treatments(df, key, target, sensitive, methods, proxy, base_parity, strategy, folder, positive)
     return out
 
 
-def _proxy_results(df, key, target, sensitive, selected_pairs, proxy):
+def _proxy_results(df, key, target, sensitive, selected_pairs, proxy, positive):
     cleaned = blank_to_null(null_tokens(df, "rich"))
     predicted = train_and_predict(
-        cleaned, [key], target, proxy.model_type, proxy.params, proxy.test_share, carry=sensitive
+        cleaned, [key], target, proxy.model_type, proxy.params, proxy.test_share, carry=sensitive, exact_split=proxy.exact_split
     )
     predicted = settled(predicted)
-    by_group = metrics.group_metrics(predicted, list(sensitive), "y", "yhat")
+    by_group = metrics.group_metrics(predicted, list(sensitive), "y", "yhat", positive)
     parity = metrics.prediction_parity(by_group)
     out = [
         Result("imbalance", "classification_summary", metrics.classification_summary(predicted, "y", "yhat")),
+        Result("imbalance", "classification_report", metrics.classification_report(predicted, "y", "yhat"), ["label"]),
+        Result("imbalance", "confusion_matrix", metrics.confusion_matrix(predicted, "y", "yhat"), ["actual", "predicted"]),
         Result("imbalance", "group_metrics", by_group, ["attr", "grp"]),
         Result("imbalance", "prediction_parity", parity, ["attr"]),
         Result("imbalance", "error_rate_ratios", metrics.error_rate_ratios(by_group), ["attr"]),
     ]
     column_pairs = fairness.pairs(df, sensitive, selected_pairs)
     if column_pairs:
-        both = metrics.group_metrics(predicted, column_pairs, "y", "yhat")
+        both = metrics.group_metrics(predicted, column_pairs, "y", "yhat", positive)
         out.append(Result("target_fairness", "intersectional_group_metrics", both, ["attr", "grp"]))
     return out, parity
 
@@ -126,22 +136,23 @@ def _target_fairness(df, target, sensitive, selected_pairs) -> list[Result]:
     if not sensitive:
         return []
     complete = complete_cases(null_tokens(df, "rich"))
-    cells = joint_counts(complete, [*sensitive, target]).persist()
     out = [
-        Result("target_fairness", "target_distribution", fairness.group_proportions(complete, [target], cells), ["attr", "value"]),
-        Result("target_fairness", "group_proportions", fairness.group_proportions(complete, sensitive, cells), ["attr", "value"]),
-        Result("target_fairness", "target_rates_by_group", fairness.target_rates_by_group(complete, sensitive, target, cells), ["attr", "grp", "label"]),
+        Result("target_fairness", "target_distribution", fairness.group_proportions(complete, [target]), ["attr", "value"]),
+        Result("target_fairness", "group_proportions", fairness.group_proportions(complete, sensitive), ["attr", "value"]),
+        Result("target_fairness", "target_rates_by_group", fairness.target_rates_by_group(complete, sensitive, target), ["attr", "grp", "label"]),
     ]
     column_pairs = fairness.pairs(complete, sensitive, selected_pairs)
     if column_pairs:
         out += [
-            Result("target_fairness", "intersectional_rates", fairness.intersectional_rates(complete, column_pairs, target, cells), ["attr", "grp", "label"]),
-            Result("target_fairness", "scale_buckets", fairness.scale_buckets(complete, column_pairs, cells), ["attr", "grp"]),
+            Result("target_fairness", "intersectional_rates", fairness.intersectional_rates(complete, column_pairs, target), ["attr", "grp", "label"]),
+            Result("target_fairness", "scale_buckets", fairness.scale_buckets(complete, column_pairs), ["attr", "grp"]),
+            Result("target_fairness", "pair_proportions", fairness.pair_proportions(complete, column_pairs), ["attr", "value"]),
+            Result("target_fairness", "top_combinations", fairness.top_combinations(complete, column_pairs, target), ["attr", "grp", "label"]),
         ]
     return out
 
 
-def _treatments(df, key, target, sensitive, methods, proxy, base_parity, strategy, folder) -> list[Result]:
+def _treatments(df, key, target, sensitive, methods, proxy, base_parity, strategy, folder, positive) -> list[Result]:
     out, balance_rows = [], []
     for method in methods:
         path = write_mitigated(treated(df, method, key, target, sensitive, strategy), folder, method)
@@ -154,14 +165,20 @@ def _treatments(df, key, target, sensitive, methods, proxy, base_parity, strateg
             Result(stage, "compare_target", by_class(df, after, target), ["label"]),
             Result(stage, "compare_sensitive", compare.compare_sensitive(df, after, sensitive), ["attr", "value"]),
         ]
+        out.append(Result(stage, "mitigation_summary", resample.mitigation_summary(df, after, target), ["label"]))
+        if weighted:
+            out += [
+                Result(stage, "weight_stats", resample.weight_stats(after)),
+                Result(stage, "weighted_distribution", resample.weighted_distribution(after, target), ["label"]),
+            ]
         balance_rows.append(compare.compare_imbalance(df, after, target, method))
         if proxy is not None and base_parity is not None:
             numbered = _fresh_key(after, key, method)
             predicted = train_and_predict(
                 numbered, [key], target, proxy.model_type, proxy.params, proxy.test_share,
-                weight=resample.WEIGHT if weighted else None, carry=sensitive,
+                weight=resample.WEIGHT if weighted else None, carry=sensitive, exact_split=proxy.exact_split,
             )
-            parity = metrics.prediction_parity(metrics.group_metrics(settled(predicted), list(sensitive), "y", "yhat"))
+            parity = metrics.prediction_parity(metrics.group_metrics(settled(predicted), list(sensitive), "y", "yhat", positive))
             effect = compare.compare_fairness(base_parity, parity)
             out += [
                 Result(stage, "compare_fairness", effect, ["attr"]),
@@ -177,9 +194,9 @@ def _fresh_key(after: DataFrame, key: str, method: str) -> DataFrame:
         new = F.concat_ws("-", F.col(key), F.col("draw"))
         return after.withColumn(key, new).drop("draw")
     if method == "smote":
-        made = F.concat_ws("-", F.lit("made"), F.xxhash64(*[c for c in after.columns if c != key]))
+        made = F.concat_ws("-", F.lit("made"), F.col("made_from"))
         same = after.withColumn(key, F.when(F.col("synthetic"), made).otherwise(F.col(key).cast("string")))
-        return same.drop("synthetic")
+        return same.drop("synthetic", "made_from")
     extra = [c for c in (resample.GROUP,) if c in after.columns]
     return after.drop(*extra)
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from auditloom.functions.columns import string_columns
 from auditloom.operators import association, balance, catalog, fairness, profile, quality, stats
-from auditloom.operators.counts import joint_counts
 from auditloom.plans.audit import Result, guessed_sensitive, guessed_target
 from auditloom.sources.nulls import null_tokens
 
@@ -16,8 +15,8 @@ from auditloom.sources.nulls import null_tokens
 def full_evaluation(
     df: DataFrame, target: str | None = None, sensitive: Sequence[str] | None = None, name: str = "table"
 ) -> list[Result]:
-    """Every section as lazy results over one persisted input."""
-    df = null_tokens(df, "evaluator").persist()
+    """Every section; building them looks at the data, the results are lazy."""
+    df = null_tokens(df, "evaluator")
     target = target or guessed_target(df)
     sensitive = fairness.without_target(sensitive if sensitive is not None else guessed_sensitive(df, target), target)
     columns = catalog.catalog_of(df.sparkSession, {name: df})
@@ -44,10 +43,11 @@ def full_evaluation(
     ]
     if string_columns(df, exclude=[target]):
         out.append(Result("feature_analysis", "categorical_stats", profile.categorical_stats(df, target), ["column"]))
+        out.append(Result("feature_analysis", "top_text_values", profile.top_text_values(df), ["column", "rank"]))
     if sensitive:
-        cells = joint_counts(df, [*sensitive, target]).persist()
         out += [
-            Result("fairness_analysis", "modal_rate_parity", fairness.modal_rate_parity(df, sensitive, target, cells), ["attr"]),
-            Result("fairness_analysis", "binary_parity", fairness.binary_parity(df, sensitive, target, cells=cells), ["attr"]),
+            Result("fairness_analysis", "modal_rate_parity", fairness.modal_rate_parity(df, sensitive, target), ["attr"]),
+            Result("fairness_analysis", "binary_parity", fairness.binary_parity(df, sensitive, target), ["attr"]),
+            Result("fairness_analysis", "modal_group_rates", fairness.modal_group_rates(df, sensitive, target), ["attr", "grp"]),
         ]
     return out

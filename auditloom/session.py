@@ -32,11 +32,14 @@ def local_session(cores: int | str = "*", app: str = "auditloom", **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set, so that later calls agree on it.
+    Only where the session names none and runs on one machine (tests) a temporary
+    folder is made and set, so that later calls agree on it. On a cluster a folder of
+    the driver's would not be seen by the executors, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = tempfile.mkdtemp(prefix="auditloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -24,23 +24,10 @@ def read_table(spark: SparkSession, path: str, na_vocab: str = "plain") -> DataF
         text = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
         return infer_types(null_tokens(text, na_vocab))
     if ending in ("parquet", "orc", "json") or "/" in path:
-        return spread_out(spark.read.format(ending if ending in ("orc", "json") else "parquet").load(path))
+        return spark.read.format(ending if ending in ("orc", "json") else "parquet").load(path)
     return spark.table(path)
 
 
-def spread_out(df: DataFrame, at_least: int = 200_000, at_most: int = 20_000_000) -> DataFrame:
-    """Deals the rows of a small table out to all cores if it comes in fewer files.
-
-    A file of one row group is read by one task. That only matters where there are
-    enough rows to keep a core busy; large tables come in many files and stay as
-    they are. The row count is read from the files' metadata.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores and at_least <= df.count() <= at_most:
-        return df.repartition(cores)
-    return df
-
-
 def load_summary(df: DataFrame, order_by: list[str], preview: int = 3) -> DataFrame:
     """The first rows by an order, each with the size of the table beside it."""
     shown = df.orderBy(*[col(c) for c in order_by]).limit(preview)

@@ -179,7 +179,7 @@ def vc_cte(columns: list[str]) -> str:
 
 check(
     "pvc_value_counts", "fx_dirty", f"SELECT \"column\", value, n, {r6('pct')} AS pct FROM vc",
-    vc_cte(["priority_raw", "status_raw", "code_raw", "days_raw"]),
+    vc_cte(DIRTY),
 )
 
 NUM_COLUMNS = ["l_orderkey", "rare", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "net", "qty_null", "const_col"]
@@ -195,7 +195,7 @@ ORDER_TEXT = ["region", "nation", "segment", "priority", "o_orderstatus"]
 check(
     "p2_sample_values", "fx_orders",
     union(
-        f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY v) AS INTEGER) AS rank, v AS value FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM fx) QUALIFY rank <= 5"
+        f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY v) AS INTEGER) AS rank, CAST(v AS VARCHAR) AS value FROM (SELECT DISTINCT {c} AS v FROM fx) QUALIFY rank <= 5"
         for c in ORDER_COLUMNS
     ),
 )
@@ -226,7 +226,10 @@ check(
     "p4b_column_summary", "fx_docs",
     """SELECT "column", (SELECT count(*) FROM vc v WHERE v."column" = t."column") AS n_unique,
        string_agg(printf('%s(%.2f%%)', value, pct), ', ' ORDER BY rank) AS summary
-FROM (""" + TOP.format(pct="pct", k=3) + ") t GROUP BY \"column\"",
+FROM (""" + TOP.format(pct="pct", k=3) + ") t GROUP BY \"column\"\nUNION ALL\n" + union(
+        f"SELECT '{c}', count(DISTINCT {c}), (SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM fx ORDER BY v LIMIT 5)) FROM fx"
+        for c in ("doc_id", "n_chars")
+    ),
     vc_cte(["lang", "source", "toxic", "quality"]),
 )
 
@@ -246,7 +249,7 @@ def constant_row(c: str, v: int) -> str:
 
 
 check("p5_numeric_stats", "fx_num", union([*[numeric_row(c, r5) for c in NUM_COLUMNS if c not in ("l_orderkey", "const_col")], constant_row("const_col", 7)]))
-check("p5_numeric_stats_events", "fx_events", union(numeric_row(c) for c in ("value", "user_id")))
+check("p5_numeric_stats_events", "fx_events", union(numeric_row(c) for c in ("event_id", "value", "user_id")))
 check(
     "p6_categorical_stats", "fx_text",
     f"SELECT \"column\", count(*) AS n_unique, {r6('-sum(p * ln(p))')} AS entropy FROM (SELECT \"column\", n / sum(n) OVER (PARTITION BY \"column\") AS p FROM vc) GROUP BY 1",
@@ -296,7 +299,7 @@ FROM (SELECT x.{a} AS va, y.{b} AS vb, x.n * y.n / (SELECT count(*) FROM fx) AS
       LEFT JOIN (SELECT {a}, {b}, count(*) AS n FROM fx GROUP BY 1, 2) z ON z.{a} = x.{a} AND z.{b} = y.{b})"""
 
 
-check("p8b_cramers_v", "fx_orders", union(cramer_pair(a, b) for a, b in name_pairs(["region", "segment", "priority", "o_orderstatus"])))
+check("p8b_cramers_v", "fx_orders", union(cramer_pair(a, b) for a, b in name_pairs(["region", "nation", "segment", "priority", "o_orderstatus"])))
 
 # --------------------------------------------------------------------------- quality
 
@@ -614,6 +617,17 @@ check(
 )
 
 
+TESTED = f"(SELECT * FROM fx WHERE concat('0x', substr({HASH_ORDER.format(key='o_orderkey')}, 1, 8))::UBIGINT / 4294967296.0 < 0.25)"
+for m3 in ("random_forest", "gradient_boosting", "logistic_regression", "linear_svm"):
+    check(
+        f"m3_{m3}", "fx_orders",
+        union(
+            f"SELECT '{c}' AS attr, {c} AS grp, count(*) AS n, {r6('avg(big)')} AS base_rate, CAST(sum(big) AS BIGINT) AS n_pos, CAST(sum(1 - big) AS BIGINT) AS n_neg, true AS adds_up, true AS learns FROM {TESTED} GROUP BY {c}"
+            for c in ("region", "segment", "priority")
+        ),
+    )
+
+
 def per_label(source: str, group: str | None = None) -> str:
     """(group,) label, precision, recall, f1, support by comparing rows with each label."""
     by = f"{group}, " if group else ""
@@ -677,6 +691,7 @@ def weights(group: str, target: str) -> str:
 
 
 W = r6("sample_weight") + " AS sample_weight"
+check("f10_lsh_recall", "fx_emb", "SELECT 5 * count(*) AS n_pairs, true AS recalled FROM fx")
 check("r1_reweight", "fx_docs", f"SELECT {DOC_COLUMNS}, {W} FROM rw", weights("lang", "quality"))
 PAIR_GROUP = "coalesce(priority, 'nan') || '_' || status"
 check("r1_reweight_pair", "fx_groupnull", f"SELECT o_orderkey, priority, status, y, {PAIR_GROUP} AS combined_group, {W} FROM rw", weights(PAIR_GROUP, "y"))
@@ -743,8 +758,9 @@ FROM (SELECT r.vec_id AS base_key, b.vec_id AS neighbour_key, d.draw, CAST(label
 )
 check(
     "r2_smote_rows", "fx_docs",
-    "SELECT quality, false AS synthetic, n FROM s UNION ALL SELECT quality, true, m - n FROM s WHERE m > n",
-    "s AS (SELECT quality, count(*) AS n, max(count(*)) OVER () AS m FROM fx GROUP BY quality)",
+    """SELECT quality, false AS synthetic, n, CAST(0 AS BIGINT) AS n_origins, n AS n_keys, CAST(0 AS BIGINT) AS n_unknown, true AS bounded, t AS most_toxic FROM s
+    UNION ALL SELECT quality, true, m - n, m - n, CAST(0 AS BIGINT), CAST(0 AS BIGINT), true, t FROM s WHERE m > n""",
+    "s AS (SELECT quality, count(*) AS n, max(toxic) AS t, max(count(*)) OVER () AS m FROM fx GROUP BY quality)",
 )
 check(
     "r6_mitigation_summary", "fx_docs",
@@ -824,7 +840,7 @@ def pearson(columns: list[str]) -> str:
 
 VARYING = [c for c in NUM_COLUMNS if c != "const_col"]
 check("t1_high_correlations", "fx_num", f"SELECT * FROM ({pearson(VARYING)}) WHERE abs(value) > 0.8")
-check("t1_pearson", "fx_num", pearson(["l_quantity", "l_extendedprice", "qty_null", "net"]))
+check("t1_pearson", "fx_num", pearson(VARYING))
 check(
     "t2_normality_screen", "fx_num",
     "SELECT \"column\", n, " + f"{rounded('jb', 3)} AS jb, {rounded('exp(-jb / 2)', 3)} AS p_value, exp(-jb / 2) > 0.05 AS is_normal FROM (" + union(
@@ -833,7 +849,7 @@ check(
     ) + ")",
 )
 RISK = union(
-    f"SELECT '{c}' AS \"column\", stddev_samp({c}) / (avg({c}) + 1e-10) AS cv FROM fx" for c in NUM_COLUMNS[:5]
+    f"SELECT '{c}' AS \"column\", stddev_samp({c}) / (avg({c}) + 1e-10) AS cv FROM fx" for c in NUM_COLUMNS
 )
 check("t3_variation_risk", "fx_num", f"SELECT \"column\", {r6('cv')} AS cv, cv > 2 AS risky FROM ({RISK})")
 check(
@@ -876,6 +892,18 @@ def groups_compared(after: str) -> str:
     )
 
 
+def classes_changed(after: str) -> str:
+    return f"""SELECT CAST(o.big AS VARCHAR) AS label, o.n AS n_before, 100.0 * o.n / (SELECT count(*) FROM fx) AS pct_before, m.n AS n_after,
+      100.0 * m.n / (SELECT count(*) FROM {after}) AS pct_after, m.n - o.n AS change
+    FROM (SELECT big, count(*) AS n FROM fx GROUP BY big) o JOIN (SELECT big, count(*) AS n FROM {after} GROUP BY big) m ON m.big = o.big"""
+
+
+CHANGES = ["n_before", "pct_before", "n_after", "pct_after", "change"]
+WEIGHTS_SEEN = """SELECT min(sample_weight) AS min, max(sample_weight) AS max, avg(sample_weight) AS mean,
+  quantile_cont(CAST(sample_weight AS DOUBLE), 0.5) AS median, stddev_pop(sample_weight) AS std_pop FROM rw"""
+WEIGHTED = "SELECT CAST(big AS VARCHAR) AS label, w AS weighted_n, round((SELECT max(w) / min(w) FROM wr), 2) AS weighted_ratio FROM wr"
+PAIR_SHARES = f"SELECT '{AUDIT_PAIR[0][0]}' AS attr, {AUDIT_PAIR[0][1]} AS value, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM fx) AS pct FROM fx GROUP BY 2"
+
 AUDIT_METHODS = f"""SELECT *, ratio_mit < ratio_orig AS improved, row_number() OVER (ORDER BY ratio_mit, place) AS rank FROM (
   SELECT 0 AS place, 'reweighted' AS method, {FX_ROWS} AS rows_orig, {FX_ROWS} AS rows_mit, (SELECT max(n) / min(n) FROM b) AS ratio_orig, (SELECT max(w) / min(w) FROM wr) AS ratio_mit
   UNION ALL SELECT 1, 'undersampled', {FX_ROWS}, {UN_ROWS}, (SELECT max(n) / min(n) FROM b), (SELECT max(w) / min(w) FROM wu))"""
@@ -888,6 +916,12 @@ check(
             found("target_fairness", "target_rates_by_group", rates([("region", "region"), ("segment", "segment")], "big"), ["attr", "grp", "label"], ["n", "n_group", "pct"]),
             found("target_fairness", "intersectional_rates", rates(AUDIT_PAIR, "big"), ["attr", "grp", "label"], ["n", "n_group", "pct"]),
             found("target_fairness", "scale_buckets", AUDIT_BUCKETS, ["attr", "grp"], ["n"], ["bucket"]),
+            found("target_fairness", "pair_proportions", PAIR_SHARES, ["attr", "value"], ["n", "pct"]),
+            found("target_fairness", "top_combinations", rates(AUDIT_PAIR, "big"), ["attr", "grp", "label"], ["n", "n_group", "pct"]),
+            found("comparison_reweighted", "mitigation_summary", classes_changed("fx"), ["label"], CHANGES),
+            found("comparison_reweighted", "weight_stats", WEIGHTS_SEEN, [], ["min", "max", "mean", "median", "std_pop"]),
+            found("comparison_reweighted", "weighted_distribution", WEIGHTED, ["label"], ["weighted_n", "weighted_ratio"]),
+            found("comparison_undersampled", "mitigation_summary", classes_changed("un"), ["label"], CHANGES),
             found("comparison_reweighted", "compare_size", TWO_SIZES.format(a=FX_ROWS, b=FX_ROWS), [], ["n_orig", "n_mit", "difference", "pct_change"]),
             found("comparison_reweighted", "compare_target", CLASSES.format(after="wr"), ["label"], CLASS_METRICS),
             found("comparison_reweighted", "compare_sensitive", groups_compared("fx"), ["attr", "value"], CLASS_METRICS[:-1]),
@@ -921,6 +955,14 @@ check(
             found("class_balance", "class_balance", ORACLES["b1_class_balance"], ["label"], ["n", "share", "ratio"], ["status", "advice"]),
             found("fairness_analysis", "modal_rate_parity", modal(["lang", "source"], "quality"), ["attr"], ["n_groups", "max_rate", "min_rate", "disparity"], ["level"]),
             found("fairness_analysis", "binary_parity", union(parity(c, "quality", nth(c, 1), nth(c, 0)) for c in ("lang", "source")), ["attr"], PARITY_COLUMNS, ["priv", "unpriv", "status"]),
+            found(
+                "fairness_analysis", "modal_group_rates",
+                union(
+                    f"SELECT '{c}' AS attr, {c} AS grp, sum(n) AS n_group, max(n) / sum(n) AS rate FROM (SELECT {c}, quality, count(*) AS n FROM fx GROUP BY ALL) GROUP BY {c}"
+                    for c in ("lang", "source")
+                ),
+                ["attr", "grp"], ["n_group", "rate"],
+            ),
             found("drift_risk", "variation_risk", f"SELECT \"column\", cv, cv > 2 AS risky FROM ({DOC_RISK})", ["column"], ["cv"], ["risky"]),
             found(
                 "drift_risk", "drift_recommendation",

@@ -42,14 +42,10 @@ def test_formats_and_views(spark, tmp_path, people, ending):
     assert tables.read_table(spark, "people_view").count() == 400
 
 
-def test_small_single_files_are_dealt_out(spark, tmp_path):
+def test_reading_starts_no_job_and_moves_no_rows(spark, tmp_path):
     path = str(tmp_path / "one.parquet")
     spark.range(300_000).coalesce(1).write.parquet(path)
-    assert "RoundRobin" in tables.read_table(spark, path)._jdf.queryExecution().toString()
-    assert tables.read_table(spark, path).count() == 300_000
-    small = str(tmp_path / "small.parquet")
-    spark.range(10).coalesce(1).write.parquet(small)
-    assert "RoundRobin" not in tables.read_table(spark, small)._jdf.queryExecution().toString()
+    assert "Exchange" not in tables.read_table(spark, path)._jdf.queryExecution().toString()
 
 
 def test_findings_replace_only_their_own_stage(spark, tmp_path, people):
@@ -73,8 +69,9 @@ def test_smote_on_mixed_columns(spark, people):
     assert sizes == {("high", False): 50, ("low", False): 350, ("high", True): 300}
     made = out.where("synthetic")
     assert made.where("id is not null").count() == 0
+    assert made.select("made_from").distinct().count() == 300 and out.where("not synthetic and made_from is not null").count() == 0
     assert {r[0] for r in made.select("sex").distinct().collect()} <= {"f", "m"}
-    assert {f.name: f.dataType for f in out.schema if f.name != "synthetic"} == {f.name: f.dataType for f in people.schema}
+    assert {f.name: f.dataType for f in out.schema if f.name not in ("synthetic", "made_from")} == {f.name: f.dataType for f in people.schema}
     low, high = clean.where("income = 'high'").agg(F.min("pay"), F.max("pay")).first()
     assert made.where(~F.col("pay").between(low, high)).count() == 0
 
