@@ -148,6 +148,13 @@ def _unpack(rows: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), width).astype(np.float32)
 
 
+def _cut(batches):
+    """Batches of 1,000 rows at most: their numbers take more room than their packed form."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1_000):
+            yield batch.slice(at, 1_000)
+
+
 def _given(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     def column(name):
         return (F.col(f"`{name}`").cast("string") if name in docs.columns else F.lit(None).cast("string"))
@@ -210,7 +217,7 @@ def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label
         weights = (model.text, model.metadata)
 
         def sure(batches, weights=weights):
-            for batch in batches:
+            for batch in _cut(batches):
                 both = [
                     chance(logits(_unpack(batch.column(c).to_pylist(), w), weights[v]))
                     for v, (c, w) in enumerate(zip(("content", "page"), _WIDTHS, strict=True))
@@ -260,7 +267,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_
     model = docs.sparkSession.sparkContext.broadcast(co_train(seen, labels))
 
     def run(batches):
-        for batch in batches:
+        for batch in _cut(batches):
             both = [_unpack(batch.column(c).to_pylist(), w) for c, w in zip(("content", "page"), _WIDTHS, strict=True)]
             score = model.value.score(*both).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(score >= threshold)], ["id", "score", "accepted"])
