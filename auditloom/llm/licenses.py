@@ -18,6 +18,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,26 +107,33 @@ class Index:
         self.known = HashSet(np.array(list(self.places), np.uint64)) if self.places else None
 
     def candidates(self, words: Words):
-        """Text, template and offset (document word less template word) of what is worth aligning."""
+        """Text, template and offset (word of the text less template word) of what is worth aligning."""
         if self.known is None:
             return
         owner, seen = words.text_of_words(), set()
+        bounds = words.bounds.tolist()
         for size in self.sizes:
             grams = rolling(words.hashes, size)
             hits = self.known.find(grams)
             for i in hits[owner[hits] == owner[hits + size - 1]].tolist():
+                text = int(owner[i])
                 for template, place in self.places[int(grams[i])]:
-                    offset = i - place
-                    # two half-overlapping grids of offsets: near ones share a cell in one of them
-                    if not {(template, (offset + d) // BAND) for d in (0, BAND // 2)} & seen:
-                        yield int(owner[i]), template, offset
-                    seen.add((template, offset // BAND))
+                    # every offset within the text: notices that follow closely are told apart
+                    offset = i - bounds[text] - place
+                    if (text, template, offset) not in seen:
+                        seen.add((text, template, offset))
+                        yield text, template, offset
 
 
 def align(template: np.ndarray, part: np.ndarray, first: int, band: int) -> tuple[int, int, int]:
     """Template words matched in order within ``band`` of the diagonal that starts at word
-    ``first`` of ``part`` (it may be negative), and the first and last word matched."""
+    ``first`` of ``part`` (it may be negative), and the first and last word matched; of equally
+    good and short ones those that start nearest to the diagonal."""
     none = (0, 1 << 60, -1)
+
+    def good(x):
+        return x[0], x[1] - x[2], -abs(x[1] - first)
+
     row: dict[int, tuple[int, int, int]] = {}
     for t in range(len(template)):
         new: dict[int, tuple[int, int, int]] = {}
@@ -132,13 +141,13 @@ def align(template: np.ndarray, part: np.ndarray, first: int, band: int) -> tupl
         for d in range(first + t - band, first + t + band + 1):
             if not 0 <= d < len(part):
                 continue
-            best = max(row.get(d, none), left, key=lambda x: (x[0], x[1] - x[2]))
+            best = max(row.get(d, none), left, key=good)
             if part[d] == template[t]:
                 n, s, _ = row.get(d - 1, none)
-                best = max(best, (n + 1, min(s, d), d), key=lambda x: (x[0], x[1] - x[2]))
+                best = max(best, (n + 1, min(s, d), d), key=good)
             new[d] = left = best
         row = new
-    return max(row.values(), key=lambda x: (x[0], x[1] - x[2]), default=none)
+    return max(row.values(), key=good, default=none)
 
 
 def matches(index: Index, words: Words, least: float) -> dict[int, list[tuple[str, float, int, int]]]:
@@ -146,8 +155,11 @@ def matches(index: Index, words: Words, least: float) -> dict[int, list[tuple[st
     found: dict[int, list] = {}
     for text, template, offset in index.candidates(words):
         own, first = index.words[template], int(words.bounds[text])
+        offset += first
         low = max(first, offset - BAND)
         part = words.hashes[low : min(int(words.bounds[text + 1]), offset + len(own) + BAND)]
+        if np.isin(own, part).sum() < least * len(own):  # more words than those cannot match
+            continue
         n, s, e = align(own, part, offset - low, BAND)
         if n / len(own) >= least:
             found.setdefault(text, []).append((n, n / len(own), index.names[template], low + s, low + e + 1))
@@ -155,9 +167,10 @@ def matches(index: Index, words: Words, least: float) -> dict[int, list[tuple[st
     for text, some in found.items():
         kept: list = []
         for n, coverage, name, s, e in sorted(set(some), key=lambda m: (-m[0], -m[1], m[2], m[3])):
-            if all(e <= k[2] or s >= k[3] for k in kept):
-                kept.append((name, coverage, s, e))
-        out[text] = sorted(kept, key=lambda k: k[2])
+            at = bisect(kept, s, key=lambda k: k[2])  # in order and without overlaps: two neighbours decide
+            if (not at or kept[at - 1][3] <= s) and (at == len(kept) or e <= kept[at][2]):
+                kept.insert(at, (name, coverage, s, e))
+        out[text] = kept
     return out
 
 

@@ -221,6 +221,24 @@ def test_notices_with_changed_words_are_found_with_their_spans(docs_of):
     }
 
 
+def test_notices_do_not_depend_on_neighbours():
+    from auditloom.llm.words import LETTERED, Words
+
+    index = licenses.Index(licenses.TEMPLATES)
+
+    def scanned(texts):
+        words = Words([t.encode() for t in texts], LETTERED, fold=True)
+        found = licenses.matches(index, words, licenses.COVERAGE)
+        return [[(n, c, s - words.bounds[k], e - words.bounds[k]) for n, c, s, e in found.get(k, [])] for k in range(len(texts))]
+
+    short, opened = "Released under the MIT License.", "some words, licensed under the"
+    texts = [short] * 60 + [opened, "MIT License", opened, "Licensed under the MIT License", "x " + short, short * 2] * 20
+    got = scanned(texts)
+    assert got == [scanned([t])[0] for t in texts]
+    assert all(len(g) == t.count(short) for t, g in zip(texts, got, strict=True) if short in t)
+    assert [s for _, _, s, _ in scanned([" ".join([short] * 50)])[0]] == [*range(0, 250, 5)]
+
+
 def test_licenses_edge_cases(edge_docs, no_docs):
     found = licenses.licenses(edge_docs).collect()
     assert len(found) == 10 and all(r["found"] == [] for r in found)
