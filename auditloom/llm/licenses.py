@@ -6,6 +6,7 @@ hash to template and place. A document's 3-grams are looked up; a hit at nearly
 offset between document and template makes a candidate. The candidate's part of the document
 is aligned with the template inside a band around that offset, which allows for words put in,
 left out or changed, and the share of template words matched in order is its coverage.
+Words that tell licenses apart (``MARKS``: names, kinds, versions) must be there in any case.
 
 The templates are broadcast: a list of a bounded number of notices (``MOST_WORDS`` in all), not
 data. Words: A-Z in lower case, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
@@ -31,63 +32,140 @@ GRAM, WINNOW, BAND = 3, 2, 6
 COVERAGE = 0.75
 MOST_WORDS = 100_000
 
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+    " documentation files (the \"Software\"), to deal in the Software without restriction"
+)
+_MIT_RIGHTS = (
+    ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"
+    " copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+_AS_IS = " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"
+_MIT_WHOLE = (
+    ", INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN"
+    " ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER"
+    " DEALINGS IN THE SOFTWARE."
+)
+_APACHE = (
+    "you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+    " http://www.apache.org/licenses/LICENSE-2.0"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+    " the following conditions are met"
+)
+_BSD_TWO = (
+    ": Redistributions of source code must retain the above copyright notice, this list of conditions and the following"
+    " disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the"
+    " following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_ADVERTISING = (
+    " All advertising materials mentioning features or use of this software must display the following acknowledgement:"
+    " This product includes software developed by"
+)
+_BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+    " products derived from this software without specific prior written permission."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+
 #: Usual wordings of license notices.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at"
-        " http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License Version 2.0, January 2004",
+        f"Licensed under the Apache License, Version 2.0 (the \"License\"); {_APACHE}",
+        _APACHE,
     ],
     "MIT": [
         "Released under the MIT License",
         "Licensed under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-        " documentation files (the \"Software\"), to deal in the Software without restriction",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3",
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation,"
-        " either version 3 of the License, or (at your option) any later version",
-    ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2",
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation;"
-        " either version 2 of the License, or (at your option) any later version",
-    ],
-    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3"],
-    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3"],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
-        " the following conditions are met",
-        "Licensed under the BSD 3-Clause License",
+        _MIT,
+        f"{_MIT}{_MIT_RIGHTS}, subject to the following conditions: The above copyright notice and this permission notice"
+        f" shall be included in all copies or substantial portions of the Software.{_AS_IS}{_MIT_WHOLE}",
     ],
+    "MIT-0": [f"{_MIT}{_MIT_RIGHTS}.{_AS_IS}", f"{_MIT}{_MIT_RIGHTS}.{_AS_IS}{_MIT_WHOLE}"],
+    "BSD": [_BSD, "Licensed under the BSD License"],
+    "BSD-2-Clause": [f"{_BSD}{_BSD_TWO}", "Licensed under the BSD 2-Clause License", "BSD 2-Clause License"],
+    "BSD-3-Clause": [f"{_BSD}{_BSD_TWO}{_BSD_NAMES}", "Licensed under the BSD 3-Clause License", "BSD 3-Clause License"],
+    "BSD-4-Clause": [f"{_BSD}{_BSD_TWO}{_BSD_ADVERTISING}", "Licensed under the BSD 4-Clause License", "BSD 4-Clause License"],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1", "Mozilla Public License Version 1.1"],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License, version 2.0",
+        "Mozilla Public License Version 2.0",
     ],
     "ISC": [
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
-        " hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+        f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies",
+        "Licensed under the ISC License",
     ],
+    "0BSD": [f"{_ISC}. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
-    "CC0-1.0": ["dedicated to the public domain under CC0 1.0 Universal"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA-4.0": [
-        "Licensed under CC BY-SA 4.0",
-        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0",
-        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    ],
+    "CC0-1.0": ["dedicated to the public domain under CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication"],
 }
 
+for _name, _kind, _version, _date in (
+    ("GPL-1.0", "", "1", "February 1989"),
+    ("GPL-2.0", "", "2", "June 1991"),
+    ("GPL-3.0", "", "3", "29 June 2007"),
+    ("LGPL-2.0", "Library ", "2", "June 1991"),
+    ("LGPL-2.0", "Lesser ", "2", None),
+    ("LGPL-2.1", "Lesser ", "2.1", "February 1999"),
+    ("LGPL-3.0", "Lesser ", "3", "29 June 2007"),
+    ("AGPL-3.0", "Affero ", "3", "19 November 2007"),
+):
+    _title = f"GNU {_kind}General Public License"
+    _published = "as published by the Free Software Foundation"
+    TEMPLATES.setdefault(_name, []).extend(
+        [
+            f"This work is licensed under the {_title}, version {_version}",
+            f"licensed under the {_title}, version {_version}",
+            f"it under the terms of the {_title} {_published}, either version {_version} of the License,"
+            " or (at your option) any later version",
+            f"under the terms of the {_title} {_published}, version {_version}",
+            f"under the terms of the {_title} version {_version} {_published}",
+            f"under the terms of version {_version} of the {_title} {_published}",
+            f"{_title} version {_version}",
+            *([f"{_title} Version {_version}, {_date}"] if _date else []),
+        ]
+    )
+    _family = TEMPLATES.setdefault(_name.split("-")[0], [])  # no version given
+    _family += [f"licensed under the {_title}", f"under the terms of the {_title}"]
+
+for _kind, _long in (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+):
+    for _version, _port in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES[f"CC-{_kind}-{_version}"] = [
+            f"Licensed under CC {_kind} {_version}",
+            f"licensed under a Creative Commons {_long} {_version} {_port} License",
+        ]
+
+for _name, _notices in TEMPLATES.items():
+    if _name not in ("BSD", "GPL", "LGPL", "AGPL"):
+        _notices.append(f"SPDX-License-Identifier: {_name}")
+
+#: Words that tell licenses of nearly equal notices apart: a notice has all those of its template,
+#: and none of ``KINDS`` that its template has not.
+KINDS = ["lesser", "library", "affero", "nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives", "noderivs"]
+MARKS = [
+    *KINDS, *"12345", "apache", "mit", "bsd", "isc", "mozilla", "gnu", "gpl", "lgpl", "agpl", "mpl", "cc", "cc0", "unlicense", "0bsd", "creative",
+    "advertising", "endorse",
+]
+
 
 class Index:
     """Templates as word hashes, and where each winnowed gram is."""
 
     def __init__(self, templates: dict[str, list[str]]):
-        self.names, self.words = [], []
+        self.names, self.words, self.marks = [], [], []
+        kinds, marks = (Words([" ".join(w).encode()], LETTERED, fold=True).hashes for w in (KINDS, MARKS))
         self.places: dict[int, list[tuple[int, int]]] = {}
         for name, notices in sorted(templates.items()):
             for notice in notices:
@@ -101,6 +179,7 @@ class Index:
                     self.places.setdefault((int(grams[k])), []).append((len(self.words), k))
                 self.names.append(name)
                 self.words.append(hashes)
+                self.marks.append((np.intersect1d(hashes, marks), np.setdiff1d(kinds, hashes)))
         if sum(map(len, self.words)) > MOST_WORDS:
             raise ValueError(f"templates of more than {MOST_WORDS} words")
         self.sizes = {min(GRAM, len(w)) for w in self.words}
@@ -161,7 +240,9 @@ def matches(index: Index, words: Words, least: float) -> dict[int, list[tuple[st
         if np.isin(own, part).sum() < least * len(own):  # more words than those cannot match
             continue
         n, s, e = align(own, part, offset - low, BAND)
-        if n / len(own) >= least:
+        needed, barred = index.marks[template]
+        span = part[s : e + 1]
+        if n / len(own) >= least and np.isin(needed, span).all() and not np.isin(barred, span).any():
             found.setdefault(text, []).append((n, n / len(own), index.names[template], low + s, low + e + 1))
     out = {}
     for text, some in found.items():

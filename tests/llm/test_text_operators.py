@@ -239,6 +239,66 @@ def test_notices_do_not_depend_on_neighbours():
     assert [s for _, _, s, _ in scanned([" ".join([short] * 50)])[0]] == [*range(0, 250, 5)]
 
 
+GNU = (
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by"
+    " the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of"
+    " conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,"
+    " this list of conditions and the following disclaimer in the documentation and/or other materials provided with the"
+    " distribution.\n{}\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""
+)
+HEADERS = [
+    (GNU.format("General Public License", "2"), "GPL-2.0"),
+    (GNU.format("General Public License", "3"), "GPL-3.0"),
+    (GNU.format("Library General Public License", "2"), "LGPL-2.0"),
+    (GNU.format("Lesser General Public License", "2.1"), "LGPL-2.1"),
+    (GNU.format("Lesser General Public License", "3"), "LGPL-3.0"),
+    (GNU.format("Affero General Public License", "3"), "AGPL-3.0"),
+    ("it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "GPL-2.0"),
+    ("licensed under the GNU Lesser General Public License", "LGPL"),
+    ("Licensed under the GNU General Public License.", "GPL"),
+    ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "GPL-3.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999", "LGPL-2.1"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007", "AGPL-3.0"),
+    ("Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/", "Apache-2.0"),
+    (BSD.format(""), "BSD-2-Clause"),
+    (BSD.format("3. Neither the name of the Foo Corp nor the names of its contributors may be used to endorse or promote products"
+     " derived from this software without specific prior written permission."), "BSD-3-Clause"),
+    (BSD[: BSD.index(":")], "BSD"),
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+    ("/* SPDX-License-Identifier: BSD-2-Clause */", "BSD-2-Clause"),
+    ("# SPDX-License-Identifier: CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License", "CC-BY-SA-3.0"),
+    ("# SPDX-License-Identifier: CECILL-2.0", None),
+    ("Licensed under the Foo License", None),
+]
+
+
+@pytest.mark.parametrize(("text", "label"), HEADERS)
+def test_labels_of_standard_headers(text, label):
+    from auditloom.llm.words import LETTERED, Words
+
+    words = Words([f"Some words before. {text} And some after.".encode()], LETTERED, fold=True)
+    found = licenses.matches(licenses.Index(licenses.TEMPLATES), words, licenses.COVERAGE)
+    assert [f[0] for f in found.get(0, [])] == ([label] if label else [])
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_each_template_is_found_under_its_own_label(label):
+    from auditloom.llm.words import LETTERED, Words
+
+    index = licenses.Index(licenses.TEMPLATES)
+    for notice in licenses.TEMPLATES[label]:
+        found = licenses.matches(index, Words([notice.encode()], LETTERED, fold=True), licenses.COVERAGE)
+        assert [f[0] for f in found.get(0, [])] == [label], notice
+
+
 def test_licenses_edge_cases(edge_docs, no_docs):
     found = licenses.licenses(edge_docs).collect()
     assert len(found) == 10 and all(r["found"] == [] for r in found)
