@@ -11,6 +11,10 @@ Scoring and the search for sure documents cover all rows in every round. Only fi
 bounded: ``SAMPLE`` labelled rows, and of what a view is sure of in a round ``EXCHANGED`` rows
 (half of each class), without those that have a label, all in the order of a hash of the id.
 
+Toxic documents are told by single words, which trigram shares hide: words that far more of the
+toxic labelled documents have than of the others, by their log odds; the sum over a document's
+different words is calibrated on held-out labels. Without ``toxic`` labels nothing is toxic.
+
 Edge cases: a null text counts as empty; a document without a row in ``labels`` (or with a
 null one) is unlabelled; of several labels the mean decides, and a tie is good; with labels
 of one class only, or none, nothing is rejected and every score is 1; a null language or
@@ -29,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.shared import settled
-from auditloom.llm.words import SPACED, Words, slices
+from auditloom.llm.words import LETTERED, SPACED, Words, slices
 
 HASHED, LANGS, SOURCES = 512, 16, 32
 SAMPLE, EXCHANGED, ROUNDS = 6_000, 1_000, 2
 SURE, AGAINST = 0.98, 0.1
 THRESHOLD = 0.5
+TOXIC_DOCS, TOXIC_ODDS = 5, 2.5
 
 _LINE, _DIGIT, _CAPITAL, _SIGN, _LETTER = 1, 2, 4, 8, 16
 _KIND = np.zeros(256, np.uint8)
@@ -163,24 +168,112 @@ def _given(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_co
 
 
 def _views(batch: pa.RecordBatch, text: int, lang: int | None, source: int | None):
-    """The rows of a batch in turn: first row, text view, metadata view."""
+    """The rows of a batch in turn: first row, texts, text view, metadata view."""
     for at, texts in slices(batch.column(text)):
         named = [batch.column(c).slice(at, len(texts)).to_pylist() if c is not None else [None] * len(texts) for c in (lang, source)]
-        yield at, text_view(texts), metadata_view(texts, *named)
+        yield at, texts, text_view(texts), metadata_view(texts, *named)
+
+
+def _different(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each different word of each text: the number of the text, and the hash."""
+    words = Words(texts, LETTERED, fold=True)
+    of, h = words.text_of_words(), words.hashes
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    return of[new], h[new]
+
 
+def _held(ids) -> np.ndarray:
+    return np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids], bool)
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Both views of every document as packed numbers of 16 bits."""
+
+@dataclass
+class Toxicity:
+    """Words of toxic documents (hashes in order), their log odds, and what calibrates the sum; empty: nothing is toxic."""
+
+    words: np.ndarray | None = None
+    odds: np.ndarray | None = None
+    line: np.ndarray | None = None
+
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        of, h = _different(texts)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        hit = self.words[at] == h
+        return np.bincount(of[hit], weights=self.odds[at[hit]], minlength=len(texts))
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return np.zeros(len(texts)) if self.line is None else chance(logits(self.sums(texts)[:, None], self.line))
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> Toxicity:
+    """From the texts of ``sample`` labelled documents at most; words are counted in tasks."""
+    if label_col not in labels.columns or text_col not in docs.columns:
+        return Toxicity()
+    known = _known(labels, label_id, label_col)
+    some = _sampled(known, known.count(), sample)
+    y, held = np.array([r["y"] for r in some]), _held(r["id"] for r in some)
+    if len(set(y[~held])) < 2:
+        return Toxicity()
+    chosen = docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in some], known.schema)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
+
+    def rows(batches):
+        for batch in batches:
+            for at, own in slices(batch.column(1)):
+                part = batch.slice(at, len(own))
+                yield own, np.asarray(part.column(2)), _held(part.column(0).to_pylist())
+
+    def counted(batches):
+        for own, toxic, out in rows(batches):
+            of, h = _different(own)
+            of, h = of[~out[of]], h[~out[of]]
+            words, which = np.unique(h, return_inverse=True)
+            n, m = np.bincount(which, minlength=len(words)), np.bincount(which, weights=toxic[of], minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(m), pa.array(n - m)], ["word", "toxic", "other"])
+
+    total = texts.mapInArrow(counted, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    n_toxic, n_other = int(y[~held].sum()), int((1 - y[~held]).sum())
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
+    found = total.withColumn("odds", odds).filter((F.col("toxic") >= TOXIC_DOCS) & (F.col("odds") >= TOXIC_ODDS)).select("word", "odds").collect()
+    if not found:
+        return Toxicity()
+    words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    model = Toxicity(words[order], np.array([r["odds"] for r in found])[order])
+
+    def summed(batches):
+        for own, toxic, out in rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(model.sums(own)), pa.array(toxic.astype(np.int32)), pa.array(out)], ["x", "y", "held"])
+
+    seen = texts.mapInArrow(summed, "x double, y int, held boolean").collect()
+    x, y, held = (np.array([r[c] for r in seen]) for c in ("x", "y", "held"))
+    check = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
+    model.line = fit(x[check][:, None], y[check].astype(np.float64), ridge=1e-3)
+    return model
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", toxicity: Toxicity | None = None) -> DataFrame:
+    """Both views of every document as packed numbers of 16 bits, and the chance of being toxic."""
+    toxic = docs.sparkSession.sparkContext.broadcast(toxicity or Toxicity())
 
     def run(batches):
         for batch in batches:
-            for at, text, metadata in _views(batch, 1, 2, 3):
+            for at, texts, text, metadata in _views(batch, 1, 2, 3):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(text)), pa.array(_pack(text)), pa.array(_pack(metadata))], ["id", "content", "page"]
+                    [batch.column(0).slice(at, len(text)), pa.array(_pack(text)), pa.array(_pack(metadata)), pa.array(toxic.value.score(texts))],
+                    ["id", "content", "page", "toxic"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _given(docs, id_col, text_col, lang_col, source_col).mapInArrow(run, f"id {kind}, content binary, page binary")
+    return _given(docs, id_col, text_col, lang_col, source_col).mapInArrow(run, f"id {kind}, content binary, page binary, toxic double")
+
+
+def _known(labels: DataFrame, label_id: str, label_col: str) -> DataFrame:
+    """One label (0 or 1) for each id that has any."""
+    given = labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y"))
+    return given.filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
 
 
 def _below(total: int, n: int) -> Column:
@@ -196,10 +289,7 @@ def _sampled(rows: DataFrame, total: int, n: int) -> list:
 
 def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> Model:
     """The model from the ``features`` of all documents and the labels (0 or 1) of some."""
-    known = (
-        labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y"))
-        .filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    )
+    known = _known(labels, label_id, label_col)
     chosen = seen.sparkSession.createDataFrame([(r["id"], r["y"]) for r in _sampled(known, known.count(), sample)], known.schema)
     rows = seen.join(F.broadcast(chosen), "id").collect()
     rows = list({r["id"]: r for r in rows}.values())
@@ -207,7 +297,7 @@ def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label
     if len(set(y)) < 2:
         return Model()
     x = [_unpack([r[c] for r in rows], w) for c, w in zip(("content", "page"), _WIDTHS, strict=True)]
-    held = np.array([zlib.crc32(str(r["id"]).encode()) % 4 == 0 for r in rows])
+    held = _held(r["id"] for r in rows)
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     own = [(x[v][~held], y[~held]) for v in (0, 1)]
@@ -262,22 +352,29 @@ def co_train(seen: DataFrame, labels: DataFrame, label_id: str = "doc_id", label
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """Per document row: its id, ``score`` (chance of being good) and ``accepted``."""
-    seen = settled(features(docs, id_col, **columns))
+    """Per document row: its id, ``score`` (chance of being good), ``accepted`` by it, ``toxic_score``,
+    and ``kept``: accepted and not toxic."""
+    toxicity = learn_toxicity(docs, labels, id_col, columns.get("text_col", "text"))
+    seen = settled(features(docs, id_col, **columns, toxicity=toxicity))
     model = docs.sparkSession.sparkContext.broadcast(co_train(seen, labels))
 
     def run(batches):
         for batch in _cut(batches):
             both = [_unpack(batch.column(c).to_pylist(), w) for c, w in zip(("content", "page"), _WIDTHS, strict=True)]
             score = model.value.score(*both).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(score >= threshold)], ["id", "score", "accepted"])
+            good, toxic = score >= threshold, np.asarray(batch.column("toxic"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(score), pa.array(good), pa.array(toxic), pa.array(good & (toxic < threshold))],
+                ["id", "score", "accepted", "toxic_score", "kept"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return seen.mapInArrow(run, f"id {kind}, score double, accepted boolean").withColumnRenamed("id", id_col)
+    return seen.mapInArrow(run, f"id {kind}, score double, accepted boolean, toxic_score double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents, all columns, without those the classifier rejects."""
+    """The documents, all columns, without those the classifier rejects and the toxic ones."""
+    toxic = docs.sparkSession.sparkContext.broadcast(learn_toxicity(docs, labels, id_col, text_col))
     seen = settled(features(docs, id_col, text_col, lang_col, source_col))
     model = docs.sparkSession.sparkContext.broadcast(co_train(seen, labels))
     places = [docs.columns.index(c) if c in docs.columns else None for c in (text_col, lang_col, source_col)]
@@ -285,8 +382,9 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     def run(batches):
         for batch in batches:
             keep = [
-                model.value.score(_unpack(_pack(text), _WIDTHS[0]), _unpack(_pack(page), _WIDTHS[1])) >= threshold
-                for _, text, page in _views(batch, *places)
+                (model.value.score(_unpack(_pack(text), _WIDTHS[0]), _unpack(_pack(page), _WIDTHS[1])) >= threshold)
+                & (toxic.value.score(texts) < threshold)
+                for _, texts, text, page in _views(batch, *places)
             ]
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 

@@ -13,7 +13,7 @@ from auditloom.session import shared_folder
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the co-trained quality classifier rejects."""
+    """Without the documents that the co-trained quality classifier rejects, and without toxic ones."""
     return quality.accepted(docs, queries.table(spark, sf_dir, "labels"))
 
 

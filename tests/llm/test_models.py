@@ -105,6 +105,24 @@ def test_given_documents_of_good_quality_are_kept(spark):
     assert sum(not r["accepted"] for r in bad) >= 0.8 * len(bad)
 
 
+def test_toxic_documents_without_a_label_are_not_kept(spark):
+    rng, insults = random.Random(3), ["idiotx", "moronx", "scumx", "trashx"]
+    rows = []
+    for i, (_, text, lang, source, good) in enumerate(made(900, 4)):
+        toxic = rng.random() < 0.2
+        words = text.split(" ")
+        for w in rng.sample(insults, 2) if toxic else []:
+            words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words), lang, source, good, int(toxic)))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], r[4], r[5] if r[0] % 30 else None) for r in rows if r[0] % 2], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.scores(docs, labels).collect()}
+    unseen = [r for r in rows if r[0] % 2 == 0 and r[4]]
+    assert sum(not got[r[0]]["kept"] for r in unseen if r[5]) >= 0.95 * sum(r[5] for r in unseen)
+    assert sum(got[r[0]]["kept"] for r in unseen if not r[5]) >= 0.97 * sum(1 - r[5] for r in unseen)
+    assert {r["doc_id"] for r in quality.accepted(docs, labels).collect()} == {k for k, r in got.items() if r["kept"]}
+
+
 def test_views_give_a_row_for_each_text():
     texts = [b"", b"a", b"two words", b"\n"]
     text, page = quality.text_view(texts), quality.metadata_view(texts, [None, "en", "en", "de"], ["s", None, "s", "s"])
