@@ -22,6 +22,7 @@ columns are ignored; no rows give no pieces.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import cache
 
@@ -55,10 +56,12 @@ _BLANK_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 class Tokens:
     """Token ids of texts, equal to the tokenizer's, with each different part tokenised once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, marked: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder() if marked else None
+        self.added = _Added(added) if added else None
         self.tokenizer.encode_special_tokens = True
         model = json.loads(self.tokenizer.to_str())
         vocabulary = model["model"]["vocab"]
@@ -99,6 +102,11 @@ class Tokens:
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
+        if self.added and self.added.any(texts):
+            return self._split(texts)
+        return self._of(texts)
+
+    def _of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > _KEPT_PARTS:
             self.clear()
         parts = _Parts(texts)
@@ -120,6 +128,42 @@ class Tokens:
         return ids, np.diff(np.concatenate(([0], ends))[parts.bounds])
 
 
+    def _split(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``of``, with texts cut at added tokens, whose ids stand between the parts."""
+        parts, marks, owner = [], [], []
+        for k, text in enumerate(texts):
+            for part, mark in self.added.parts(text):
+                parts.append(part)
+                marks.append(mark)
+                owner.append(k)
+        ids, counts = self._of(parts)
+        marks, owner = np.array(marks, np.int64), np.array(owner)
+        after = marks >= 0
+        ids = np.insert(ids, np.cumsum(counts)[after], marks[after].astype(np.uint32))
+        return ids, np.bincount(owner, weights=counts + after, minlength=len(texts)).astype(np.int64)
+
+
+class _Added:
+    """Where a text holds added tokens, as the unmodified tokenizer cuts it."""
+
+    def __init__(self, tokens: dict):
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens.values()):
+            raise ValueError("added tokens that take in blanks or need whole words are not supported")
+        self.ids = {t.content.encode(): k for k, t in tokens.items()}
+        self.rule = re.compile(b"|".join(re.escape(n) for n in sorted(self.ids, key=len, reverse=True)))
+
+    def any(self, texts: list[bytes]) -> bool:
+        return any(name in text for name in self.ids for text in texts)
+
+    def parts(self, text: bytes):
+        """Each part with the id of the token after it, -1 after the last."""
+        at = 0
+        for m in self.rule.finditer(text):
+            yield text[at : m.start()], self.ids[m.group()]
+            at = m.end()
+        yield text[at:], -1
+
+
 def _rank_encoder(model: dict):
     """The same vocabulary and merges in a quicker encoder, where ids grow in merge order."""
     import tiktoken
@@ -167,15 +211,19 @@ class _Parts(Words):
 
 
 @cache
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, marked: bool = False) -> Tokens:
+    return Tokens(path, marked)
+
 
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, marked: bool = False) -> DataFrame:
+    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, and ``ids`` on demand.
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, and ``ids`` on demand."""
+    ``marked``: the text of an added token (``<|endoftext|>``) is that token, as the tokenizer
+    does unless told otherwise; else its characters are taken as any others.
+    """
 
     def run(batches):
-        table = tokens(tokenizer)
+        table = tokens(tokenizer, marked)
         for batch in batches:
             for at, texts in slices(batch.column(1), 2 * BLOCK):
                 ids, counts = table.of(texts)
@@ -264,9 +312,10 @@ def packed(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    marked: bool = False,
 ) -> DataFrame:
     """The rows of ``pieces`` with ``sequence_id`` and ``offset``, the piece's place in it."""
-    todo = settled(pieces(docs, tokenizer, capacity, id_col, text_col, with_ids))
+    todo = settled(pieces(docs, tokenizer, capacity, id_col, text_col, with_ids, marked))
     shards, level, done = max(1, -(-todo.count() // shard_pieces)), 0, []
     while True:
         placed = settled(_placed(todo, level, shards, capacity, id_col))

@@ -112,4 +112,4 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer(), marked=True)

@@ -36,7 +36,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
-    return packing.packed(docs, queries.tokenizer())
+    return packing.packed(docs, queries.tokenizer(), marked=True)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

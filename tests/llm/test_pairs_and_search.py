@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from auditloom.llm import neardup, packing, topk
-from auditloom.llm.queries import tokenizer
+from auditloom.llm.queries import QUERIES, tokenizer
 from auditloom.llm.shared import components
 from pyspark.sql import functions as F
 
@@ -178,6 +178,30 @@ def test_ids_are_the_tokenizers(plain, rng, quick):
             assert ids[e - n : e].tolist() == plain(t)[:-1], repr(t)
 
 
+@pytest.mark.parametrize("quick", [True, False])
+def test_marked_ids_are_those_of_the_unmodified_tokenizer(spark, tmp_path, rng, quick):
+    from tokenizers import Tokenizer
+
+    unmodified = Tokenizer.from_file(tokenizer())
+    table = packing.Tokens(tokenizer(), marked=True)
+    table.quick = table.quick if quick else None
+    mark = "<|endoftext|>"
+    bits = [*"aé \n.'1漢", "  ", " the", mark, "<|", "|>"]
+    texts = [*TRICKY, mark, mark * 2, f" {mark} ", f"a {mark}b", f"x\n{mark}\n y"]
+    texts += ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(500)]
+    for _ in range(2):
+        ids, counts = table.of([t.encode() for t in texts])
+        for t, n, e in zip(texts, counts, np.cumsum(counts), strict=True):
+            assert ids[e - n : e].tolist() == unmodified.encode(t, add_special_tokens=False).ids, repr(t)
+    if quick:
+        spark.createDataFrame([(k, t) for k, t in enumerate(texts[:25])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in QUERIES["op2_packing"](spark, str(tmp_path)).filter("piece = 0").collect()}
+        for k, t in enumerate(texts[:25]):
+            own = [*unmodified.encode(t, add_special_tokens=False).ids, 0]
+            if len(own) <= packing.CAPACITY:
+                assert got[k] == (len(own), zlib.crc32(np.array(own, "<u4").tobytes())), repr(t)
+
+
 def check_packing(found, capacity):
     sequences = {}
     for r in found:
