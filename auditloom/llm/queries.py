@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, language, licenses, neardup, packing, pii, quality, repeats, secret_scan, topk
+from auditloom.llm import decontaminate, fingerprints, language, licenses, neardup, packing, pii, quality, repeats, secret_scan, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -113,3 +113,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer(), marked=True)
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
