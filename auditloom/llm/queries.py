@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, fingerprints, language, licenses, neardup, packing, pii, quality, repeats, secret_scan, topk
+from auditloom.llm import alignment, decontaminate, fingerprints, language, licenses, neardup, packing, pii, quality, repeats, secret_scan, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -17,11 +17,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def tokenizer() -> str:
-    """The file of the byte-level tokenizer, as installed on every machine."""
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """The file of a tokenizer (the byte-level one), as installed on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,3 +118,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.alignments(table(spark, sf_dir, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
