@@ -89,3 +89,36 @@ reach AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN component USING (doc_id)
 """
+
+ORACLES["op11_prefix_trie"] = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda x:
+    list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), rows AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS turns
+  FROM rows GROUP BY c
+), heads AS (
+  SELECT c, turns, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM own, crc
+), rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+  FROM heads a LEFT JOIN own b ON b.c = a.c - a.c % 5
+), paths AS (
+  SELECT c, turns[1:d] AS path, d, d = len(turns) AS ends FROM (SELECT c, turns, unnest(generate_series(0, len(turns))) AS d FROM rebuilt)
+), nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n, string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS e
+  FROM paths GROUP BY path, d
+), kids AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (
+  SELECT n.*, coalesce(k, 0) AS k, CASE WHEN n.d = 0 THEN 0 ELSE (n.n - 1) * strlen(n.path[n.d].text) END AS saved
+  FROM nodes n LEFT JOIN kids USING (path, d)
+), above AS (
+  SELECT path[1:a] AS path, a AS d, saved, k FROM (SELECT path, saved, k, unnest(generate_series(0, d)) AS a FROM full_nodes)
+), sums AS (SELECT path, d, sum(saved) AS saved, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves FROM above GROUP BY path, d)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n AS BIGINT) AS n_convs, CAST(n.k AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.e, '')) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.path = n.path AND s.d = n.d LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+"""

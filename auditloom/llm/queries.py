@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import alignment, decontaminate, fingerprints, language, licenses, neardup, packing, pii, quality, repeats, secret_scan, topk
+from auditloom.llm import alignment, decontaminate, fingerprints, language, licenses, neardup, packing, pii, quality, repeats, secret_scan, topk, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -124,3 +124,9 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.alignments(table(spark, sf_dir, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv").cast("string")) % 9
+    return trie.tree_of_families(table(spark, sf_dir, "conversations"), heads, longest=8, family=5)

@@ -16,7 +16,7 @@ SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "labels"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     return con
 
