@@ -8,16 +8,21 @@ the key (``forward=False``).
 
 Kinds, in the order in which they claim text:
 
-- ``email``: local part and first domain label; letters and digits stay letters and digits
+- ``email``: local part and first domain label; letters and digits stay letters and digits of
+  their script, case and block of 128 code points. Parts longer than an address may have (64
+  before the sign, 63 in a label, 8 labels) are no address and are left alone
 - ``iban``: checked modulo 97; digits after the bank's country are permuted, check digits redone
 - ``ipv4``: four numbers to 255, of any address
-- ``date``: a real day as year-month-day or day.month.year or month/day/year, 1900 to 2099
+- ``date``: a real day of 1900 to 2099 as year-month-day (also with slashes), day.month.year, or
+  month/day/year (day/month/year where that is no day); one digit stays one digit
 - ``card``: 13 to 19 digits that pass the Luhn check, perhaps in groups; check digit redone
 - ``phone``: ``+`` and country code with 7 to 14 more digits, or 10 digits as (123) 456-7890
 - ``ssn``: 123-45-6789 with a number that can be issued
 
-Other digit runs are left alone, and no value stays as it is. Edge cases: a null text stays
-null, an empty one empty; repeated rows are treated as they stand; other columns are kept.
+Other digit runs are left alone, and no value stays as it is (but one whose every letter is
+alone in its block). Edge cases: a null text stays null, an empty one empty; a null id is kept;
+repeated rows are treated as they stand; texts of any length are taken whole, in time linear in
+their length; other columns are kept; no rows give none.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import datetime
 import hashlib
 import math
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +45,7 @@ ROUNDS = 8
 
 @lru_cache(100_000)
 def _round(key: bytes, kind: str, i: int, value: int, size: int) -> int:
-    data = f"{kind}|{i}|{value}|{size}".encode()
+    data = f"{kind}|{i}|{value:x}|{size:x}".encode()
     return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=16).digest(), "big") % size
 
 
@@ -75,25 +81,30 @@ def feistel(value: int, size: int, key: bytes, kind: str, forward: bool = True)
     return _network((inner + (step if forward else -step)) % size, size, key, kind, True)
 
 
-#: Characters that stay within their class.
-CLASSES = [
-    "0123456789",
-    "abcdefghijklmnopqrstuvwxyz",
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7),
-    "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7),
-]
+#: ASCII characters that stay within their class.
+CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 _CLASS = {c: group for group in CLASSES for c in group}
 
 
+@lru_cache(10_000)
+def _class_of(c: str) -> str | None:
+    """The characters that ``c`` may become: those of its kind in its block of 128 code points."""
+    if c < "\x80":
+        return _CLASS.get(c)
+    if not c.isalnum():
+        return None
+    kind, first = unicodedata.category(c), ord(c) & ~127
+    return "".join(d for d in map(chr, range(first, first + 128)) if d.isalnum() and unicodedata.category(d) == kind)
+
+
 def _characters(text: str, key: bytes, kind: str, forward: bool) -> str:
     """Every digit and letter permuted within its class, all of them as one number."""
-    groups = [_CLASS.get(c) for c in text]
+    groups = [_class_of(c) for c in text]
     value, size = 0, 1
     for c, group in zip(text, groups, strict=True):
         if group:
             value, size = value * len(group) + group.index(c), size * len(group)
-    value = feistel(value, size, key, f"{kind}{size}", forward)
+    value = feistel(value, size, key, f"{kind}{size:x}", forward)
     out = []
     for c, group in zip(reversed(text), reversed(groups), strict=True):
         if group:
@@ -154,18 +165,33 @@ def _ipv4(m, key, forward):
 _FIRST, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
+@lru_cache(16)
+def _days(short_month: bool, short_day: bool, late: bool) -> tuple[list[int], dict[int, int]]:
+    """The days of a layout, and the place of each: months or days of one digit, days after the twelfth."""
+    days = []
+    for k in range(_DAYS):
+        date = _FIRST + datetime.timedelta(days=k)
+        if (not short_month or date.month < 10) and (not short_day or date.day < 10) and (not late or date.day > 12):
+            days.append(k)
+    return days, {day: i for i, day in enumerate(days)}
+
+
 def _date(m, key, forward):
-    order = next(o for o in ("ymd", "dmy", "mdy") if m[o])
+    order = "ymd" if m["ymd"] or m["yms"] else "dmy" if m["dmy"] else "mdy"
     numbers = re.findall("[0-9]+", m[0])
-    part = dict(zip(order, map(int, numbers), strict=True))
+    if order == "mdy" and int(numbers[0]) > 12:
+        order = "dmy"  # no such month, so it is the other way round, and stays so
+    part = dict(zip(order, numbers, strict=True))
+    days, places = _days(len(part["m"]) == 1, len(part["d"]) == 1, order == "dmy" and bool(m["mdy"]))
     try:
-        day = (datetime.date(part["y"], part["m"], part["d"]) - _FIRST).days
+        day = places.get((datetime.date(*(int(part[c]) for c in "ymd")) - _FIRST).days)
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    if day is None:
         return None
-    new = _FIRST + datetime.timedelta(days=feistel(day, _DAYS, key, "date", forward))
-    value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    kind = "date" if len(days) == _DAYS else f"date{len(days)}"
+    new = _FIRST + datetime.timedelta(days=days[feistel(day, len(days), key, kind, forward)])
+    value = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(part['m'])}d}", "d": f"{new.day:0{len(part['d'])}d}"}
     return _refill(m[0], "".join(value[c] for c in order))
 
 
@@ -200,13 +226,13 @@ def _ssn(m, key, forward):
 
 #: Kind, pattern, function giving the pseudonym or None for what is no valid value.
 KINDS = [
-    ("email", r"[\w.+-]*\w@[^\W_](?:[\w-]*\w)?(?:\.[\w-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", r"(?<![\w.+-])[\w.+-]{0,63}(?<=\w)@[^\W_](?:[\w-]{0,61}\w)?(?:\.[\w-]{1,63}){0,6}\.[A-Za-z]{2,63}(?![\w-])", _email),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
     ("ipv4", r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])", _ipv4),
     (
         "date",
-        r"(?<![0-9A-Za-z.-])(?:(?P<ymd>[0-9]{4}-[0-9]{2}-[0-9]{2})|(?P<dmy>[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
-        r"|(?P<mdy>[0-9]{2}/[0-9]{2}/[0-9]{4}))(?![0-9A-Za-z]|[.-][0-9])",
+        r"(?<![0-9A-Za-z.-])(?:(?P<ymd>[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})|(?<!/)(?P<yms>[0-9]{4}/[0-9]{1,2}/[0-9]{1,2})(?!/)"
+        r"|(?P<dmy>[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})|(?<!/)(?P<mdy>[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?!/))(?![0-9A-Za-z]|[.-][0-9])",
         _date,
     ),
     ("card", r"(?<![0-9A-Za-z+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])", _card),
