@@ -51,7 +51,8 @@ HARMLESS = {
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|0+|changeme.*|your[-_ ].*|<.*>|\$\{?.*|%.*%|example.*|dummy.*|none|null|true|false|undefined)$")
 
 _TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+    r"""(?P<quote>\\["'`])|(?P<long>\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})"""
+    r"""|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
     r"""|(?P<set>:=|=>|(?<![=!<>:])=(?![=>~])|:(?![:/]))"""
     r"""|(?P<name>[A-Za-z_][\w.]*(?:-[\w.]+)*)"""
     r"""|(?P<join>\+|\\\n)|(?P<line>\n)|(?P<tag></?[A-Za-z][\w.-]*>)|(?P<mark>[\[\](){},;])|(?P<number>[0-9][\w.+/-]*)|(?P<other>\S)"""
@@ -60,9 +61,36 @@ _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _LOOKED_UP = re.compile(r"\$\{?([A-Za-z_]\w*)\}?")
 
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*\n")
+
 Literal = tuple[int, int]
 
 
+class _Constant:
+    """What was given to a name: literals and earlier constants, and the highest sensitivity
+    of a name that all of them are known to have reached."""
+
+    __slots__ = ("items", "best")
+
+    def __init__(self, items: list):
+        self.items, self.best = items, -1.0
+
+    def reached(self, score: float):
+        """The literals that no name of this sensitivity has reached through here yet.
+
+        Each constant is gone through once per rise of its score, of which there are few, so
+        texts that build on their own constants cost no more than others.
+        """
+        todo: list = [self]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, tuple):
+                yield item
+            elif item.best < score:
+                item.best = score
+                todo += reversed(item.items)
+
+
 def sensitivity(name: str) -> float:
     """0 to 1, by the words of a name in snake, kebab, dotted or camel case."""
     words = [w.lower() for w in _WORD.findall(name)]
@@ -81,9 +109,13 @@ def randomness(literal: str) -> float:
 
 
 def pairs(text: str) -> list[tuple[str, int, int]]:
-    """Target name, start and end of every literal given to it, in the order of the text."""
+    """Target name, start and end of every literal given to it, in the order of the text.
+
+    A literal that reaches names through constants is given for the first of them, and again
+    for each more sensitive one.
+    """
     out: list[tuple[str, int, int]] = []
-    constants: dict[str, list[Literal]] = {}
+    constants: dict[str, _Constant] = {}
     tokens = [m for m in _TOKEN.finditer(text)]
     i, opened = 0, None
     while i < len(tokens):
@@ -102,14 +134,16 @@ def pairs(text: str) -> list[tuple[str, int, int]]:
         target = _target(tokens, i)
         values, i = _value(text, tokens, i, constants)
         if target and values:
-            constants[target] = values
-            out += [(target, s, e) for s, e in values]
+            constants[target] = _Constant(values)
+            out += [(target, s, e) for s, e in constants[target].reached(sensitivity(target))]
     return out
 
 
 def _target(tokens: list, i: int) -> str | None:
     """The name before a sign of assignment: a name (with a type or not), a quoted key, or an index."""
     before = tokens[i - 1]
+    if before.lastgroup == "quote" and i > 1:
+        before = tokens[i - 2]
     if i > 2 and before.lastgroup == "name" and tokens[i - 2][0] == ":" and tokens[i - 3].lastgroup == "name":
         before = tokens[i - 3]
     if before.lastgroup == "mark" and before[0] == "]" and i > 2 and tokens[i - 2].lastgroup == "string":
@@ -119,21 +153,34 @@ def _target(tokens: list, i: int) -> str | None:
     return before[0] if before.lastgroup == "name" else None
 
 
-def _value(text: str, tokens: list, i: int, constants: dict[str, list[Literal]]) -> tuple[list[Literal], int]:
-    """The literals after the sign at ``i``, and the token to go on with."""
-    values: list[Literal] = []
+def _value(text: str, tokens: list, i: int, constants: dict[str, _Constant]) -> tuple[list, int]:
+    """The literals and constants after the sign at ``i``, and the token to go on with."""
+    values: list = []
     k, expects = i + 1, True
     while k < len(tokens):
         m = tokens[k]
         if m.lastgroup == "string" and m.end() - m.start() > 2:
             values.append((m.start() + 1, m.end() - 1))
-            for name in _LOOKED_UP.findall(m[0]):
-                values += constants.get(name, [])
+            values += [constants[name] for name in _LOOKED_UP.findall(m[0]) if name in constants]
+        elif m.lastgroup == "long" and m.end() - m.start() > 6:
+            values.append(_stripped(text, m.start() + 3, m.end() - 3))
+        elif m.lastgroup == "quote" and expects and not values:
+            end = next((n for n in range(k + 1, len(tokens)) if tokens[n].lastgroup in ("quote", "line")), len(tokens))
+            if end < len(tokens) and tokens[end][0] == m[0] and tokens[end].start() > m.end():
+                values.append((m.end(), tokens[end].start()))
+                k = end
+            else:
+                return values, end
+        elif m[0] in "|>" and expects and not values and (head := _BLOCK.match(text, m.start())):
+            values, end = _block(text, tokens[i].start(), head.end())
+            while k < len(tokens) and tokens[k].start() < end:
+                k += 1
+            return values, max(k, i + 1)
         elif m.lastgroup == "name" and expects:
             if k + 1 < len(tokens) and tokens[k + 1].lastgroup == "set" and tokens[k + 1].start() == m.end():
                 break  # the next pair begins
             if m[0] in constants:
-                values += constants[m[0]]
+                values.append(constants[m[0]])
             elif not values and (bare := _BARE.match(text, m.start())):
                 if not re.match(r"[(\[.]", text[bare.end() : bare.end() + 1]):
                     values.append(bare.span())
@@ -141,7 +188,7 @@ def _value(text: str, tokens: list, i: int, constants: dict[str, list[Literal]])
                     k += 1
         elif m.lastgroup in ("number", "other") and expects and not values and (bare := _BARE.match(text, m.start())):
             if m[0] == "$" and (name := _LOOKED_UP.match(text, m.start())) and name[1] in constants:
-                values += constants[name[1]]
+                values.append(constants[name[1]])
             else:
                 values.append(bare.span())
             while k + 1 < len(tokens) and tokens[k + 1].start() < bare.end():
@@ -152,11 +199,36 @@ def _value(text: str, tokens: list, i: int, constants: dict[str, list[Literal]])
         else:
             break
         expects, k = False, k + 1
-        if not (k < len(tokens) and (tokens[k].lastgroup == "join" or tokens[k].lastgroup == "string" and values)):
+        if not (k < len(tokens) and (tokens[k].lastgroup == "join" or tokens[k].lastgroup in ("string", "long") and values)):
             break
     return values, max(k, i + 1)
 
 
+def _stripped(text: str, start: int, end: int) -> Literal:
+    """The span without blanks around it."""
+    value = text[start:end]
+    start += len(value) - len(value.lstrip())
+    return start, start + len(value.strip())
+
+
+def _block(text: str, sign: int, at: int) -> tuple[list[Literal], int]:
+    """The lines of a block value from ``at`` on, those indented more than the line of its sign, and their end."""
+    first = text.rfind("\n", 0, sign) + 1
+    key = text[first:sign]
+    least = len(key) - len(key.lstrip(" \t-"))
+    lines: list[Literal] = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if line.strip():
+            if len(line) - len(line.lstrip(" \t")) <= least:
+                break
+            lines.append(_stripped(text, at, end))
+        at = end + 1
+    return lines, min(at, len(text))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
