@@ -30,6 +30,7 @@ DIMENSIONS = 512
 UNKNOWN = "und"
 _BLANK = 0x20
 _DENSE, _COLUMNS = 1 << 23, 4096
+_DENSE_CELLS, _ENTRIES = 1 << 23, 1 << 14
 
 
 @lru_cache(100_000)
@@ -37,12 +38,6 @@ def _character(code: int, dimensions: int) -> np.ndarray:
     return np.random.default_rng([7, code]).integers(0, 2, dimensions).astype(np.int8) * 2 - 1
 
 
-@lru_cache(60_000)
-def _trigram(key: int, dimensions: int) -> np.ndarray:
-    a, b, c = (_character((key >> s) & 0x1FFFFF, dimensions) for s in (42, 21, 0))
-    return np.roll(a, 2) * np.roll(b, 1) * c
-
-
 @lru_cache(1)
 def _letters() -> np.ndarray:
     """The code of each letter (lower case); zero for what is no letter."""
@@ -89,42 +84,67 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return owner, column, names, n_letters
 
 
-def counted(texts: list[bytes]):
-    """Blocks of at most ``_COLUMNS`` trigrams: their names and counts in each text."""
-    owner, column, names, n_letters = trigrams(texts)
-    blocks = []
-    for at in range(0, len(names), _COLUMNS):
-        width = min(_COLUMNS, len(names) - at)
-        some = slice(None) if len(names) <= _COLUMNS else (column >= at) & (column < at + width)
-        flat = np.bincount(owner[some].astype(np.int64) * width + column[some] - at, minlength=len(texts) * width)
-        blocks.append((names[at : at + width], flat.reshape(len(texts), width).astype(np.float32)))
-    return blocks, n_letters
+class Counts:
+    """How often each text has each of its trigrams, in the order of trigrams and texts."""
+
+    def __init__(self, texts: list[bytes]):
+        owner, column, self.names, self.n_letters = trigrams(texts)
+        self.n = len(texts)
+        keys, times = np.unique(column.astype(np.int64) * max(1, self.n) + owner, return_counts=True)
+        self.column, self.text = np.divmod(keys, max(1, self.n))
+        self.times = times.astype(np.float32)
+
+    def norms(self) -> np.ndarray:
+        return np.sqrt(np.bincount(self.text, weights=np.square(self.times), minlength=self.n))
+
+    def blocks(self):
+        """At most ``_COLUMNS`` trigrams at a time: their names, and text, column and count of each entry."""
+        for at in range(0, len(self.names), _COLUMNS):
+            s, e = np.searchsorted(self.column, (at, at + _COLUMNS))
+            yield self.names[at : at + _COLUMNS], self.text[s:e], self.column[s:e] - at, self.times[s:e]
 
 
 def _vectors(names: np.ndarray, dimensions: int) -> np.ndarray:
-    return np.stack([_trigram(k, dimensions) for k in names.tolist()]).astype(np.float32)
+    """The vectors of trigrams: the letters' vectors, shifted by their place and multiplied."""
+    codes, place = np.unique(np.stack([(names >> s) & 0x1FFFFF for s in (42, 21, 0)]), return_inverse=True)
+    letters = np.stack([_character(c, dimensions) for c in codes.tolist()])
+    first, second, third = place.reshape(3, len(names))
+    return (np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]).astype(np.float32)
+
+
+def _add(out: np.ndarray, rows: np.ndarray, columns: np.ndarray, weights: np.ndarray, vectors: np.ndarray) -> None:
+    """Adds to each row of ``out`` its weighted vectors: as a matrix product where that is small, else entry by entry."""
+    if len(out) * len(vectors) <= max(_DENSE_CELLS, 16 * len(rows)):
+        table = np.bincount(rows * len(vectors) + columns, weights=weights, minlength=len(out) * len(vectors))
+        out += table.reshape(len(out), len(vectors)).astype(np.float32) @ vectors
+        return
+    order = np.argsort(rows, kind="stable")
+    for at in range(0, len(order), _ENTRIES):
+        some = order[at : at + _ENTRIES]
+        starts = np.flatnonzero(np.diff(rows[some], prepend=-1))
+        out[rows[some][starts]] += np.add.reduceat(vectors[columns[some]] * weights[some, None], starts)
 
 
 def bundles(texts: list[bytes], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """The vector of each text (zero without trigrams) and its number of letters."""
-    blocks, n_letters = counted(texts)
+    counts = Counts(texts)
     out = np.zeros((len(texts), dimensions), np.float32)
-    for names, counts in blocks:
-        out += counts @ _vectors(names, dimensions)
-    return out, n_letters
+    for names, text, column, times in counts.blocks():
+        _add(out, text, column, times, _vectors(names, dimensions))
+    return out, counts.n_letters
 
 
 def language_sums(texts: list[bytes], languages: np.ndarray, dimensions: int) -> dict[str, np.ndarray]:
     """The sum of the texts' vectors by language, each text scaled by the length of its counts."""
-    blocks, _ = counted(texts)
-    norms = np.sqrt(sum((np.square(c).sum(1) for _, c in blocks), np.zeros(len(texts))))
+    counts = Counts(texts)
+    norms = counts.norms()
     scale = np.divide(1.0, norms, out=np.zeros_like(norms), where=norms > 0)
-    out = {name: np.zeros(dimensions) for name in set(languages)}
-    for names, counts in blocks:
-        vectors = _vectors(names, dimensions)
-        for name, total in out.items():
-            total += (((languages == name) * scale).astype(np.float32) @ counts) @ vectors
-    return out
+    known, place = np.unique(languages, return_inverse=True)
+    out = np.zeros((len(known), dimensions))
+    for names, text, column, times in counts.blocks():
+        weights = np.bincount(place[text] * len(names) + column, weights=times * scale[text], minlength=len(known) * len(names))
+        out += weights.reshape(len(known), len(names)).astype(np.float32) @ _vectors(names, dimensions)
+    return dict(zip(known.tolist(), out, strict=True))
 
 
 def prototypes(
