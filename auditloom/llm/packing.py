@@ -38,7 +38,7 @@ from auditloom.llm.words import BLOCK, Words, groups, slices
 CAPACITY = 2048
 END = 0
 SHARD_PIECES = 50_000
-_KEPT_PARTS = 500_000
+_KEPT_IDS = 4_000_000
 _JOINED = 5_000
 
 #: Fixed value: how byte-level tokenizers of this kind split text before merging.
@@ -107,7 +107,7 @@ class Tokens:
         return self._of(texts)
 
     def _of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > _KEPT_PARTS:
+        if len(self.ids) > _KEPT_IDS:  # a long part counts by its ids
             self.clear()
         parts = _Parts(texts)
         hashes, first, which = np.unique(parts.hashes, return_index=True, return_inverse=True)
