@@ -1,14 +1,20 @@
-"""Nearest neighbours in blocks of bounded size.
-
-``exact``: the vectors of a class are dealt into blocks by a hash of their key, one row per
-block, and every block meets every block of its class. A pair of blocks is one small matrix
-product, of which at most k candidates per vector leave the task. The work is the square of
-a class; what is moved is blocks, never pairs of rows, and no list of classes or blocks is
-built outside Spark.
+"""Nearest neighbours in blocks of bounded size, without meeting all pairs.
+
+``exact``: an index of cells. A row belongs to its nearest centre (centres are fitted on a
+bounded sample) and to a ring of distances around it, and the rows of a cell and ring are
+packed into blocks, one row per block. A block is first searched by itself, which bounds how
+far each row's k nearest can be. By the triangle inequality that bound proves for most rings
+that they hold nothing nearer; only rows for which it does not are sent to a ring's blocks.
+There, distances over the leading principal directions, with what the norms say of the rest,
+prove most pairs to be too far, and only the others are computed in full. Centres, directions
+and rings decide how much is skipped, never what is found. On vectors without any structure,
+nothing can be skipped between cells, and all blocks of a class meet.
 
 ``lsh``: vectors are hashed by the sides of random hyperplanes they are on, several times
-over, and only vectors of equal hash meet, again in blocks. It finds most of the nearest
-rows for a fraction of the work; what share depends on ``tables`` and ``bits``.
+over, and only vectors of equal hash meet, in blocks. A row also looks where its least certain
+sides would be turned round. The number of sides grows with the logarithm of the number of
+rows, so that buckets stay small; that of tables follows from the wanted recall of neighbours
+at a given cosine.
 
 Rows with a null key, a null vector or a null component take no part, nor do rows without a
 class where one is asked for.
@@ -16,20 +22,28 @@ class where one is asked for.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import Accumulator, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.functions.columns import col
+from auditloom.session import settled
 
 BLOCK_ROWS = 4_096
-TABLES, BITS = 24, 4
+MOST_CENTRES = 1_024
+RINGS = 4
+SAMPLE_ROWS = 8_192
+VARIANCE = 0.75
+BUCKET_ROWS = 8
+UNSURE = 2
+RECALL, NEAR = 0.95, 0.8
 SEED = 42
 
 # The small functions below travel with the tasks, so executors need no install.
@@ -71,38 +85,97 @@ def _closest(q: np.ndarray, q_ids, b: np.ndarray, b_ids, k: int, drop_self=False
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _sides(planes: np.ndarray, tables: int, bits: int):
-    """The hash of a vector in each table: its side of each of the table's hyperplanes."""
-
-    @F.pandas_udf("array<long>")
-    def sides(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        over = (_matrix(vectors) @ planes > 0).reshape(len(vectors), tables, bits)
-        return pd.Series(list((over @ (1 << np.arange(bits))).astype(np.int64)))
-
-    return sides
+def _not_too_far(q, q_ids, limits, b, b_ids, directions, drop_self=False, slice_rows: int = 1024, pairs: int = 1 << 16):
+    """(query position, base position, distance) of the pairs within each query's limit, and how many were computed.
 
-
-def _blocks(points: DataFrame, key_type: str, block_rows: int) -> DataFrame:
-    """One row per block of a group: (group, sub, subs, ids, vectors)."""
-    sizes = points.groupBy("__group").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__subs"))
-    dealt = points.join(sizes, "__group").withColumn("__sub", F.pmod(F.xxhash64("__id"), F.col("__subs")).cast("int"))
+    A pair's distance is at least that over some directions together with the difference of
+    the norms of what is left.
+    """
+    found, computed = [], 0
+    left, right = q @ directions, b @ directions
+    rest_q, rest_b = (np.sqrt(np.maximum((x * x).sum(1) - (y * y).sum(1), 0.0)) for x, y in ((q, left), (b, right)))
+    margin = 1e-9 * (1.0 + (q * q).sum(1).max() + (b * b).sum(1).max())
+    for start in range(0, len(q), slice_rows):
+        part = slice(start, start + slice_rows)
+        least = _squared(left[part], right) + (rest_q[part, None] - rest_b[None, :]) ** 2
+        if drop_self:
+            least[q_ids[part][:, None] == b_ids[None, :]] = np.inf
+        rows, cols = np.nonzero(least <= limits[part, None] ** 2 + margin)
+        computed += len(rows)
+        for at in range(0, len(rows), pairs):
+            r, c = rows[at : at + pairs] + start, cols[at : at + pairs]
+            diff = q[r] - b[c]
+            dist = np.sqrt((diff * diff).sum(1))
+            near = dist <= limits[r] * (1 + 1e-12)
+            found.append((r[near], c[near], dist[near]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), computed
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), computed
+
+
+class _Index:
+    """Centres, the width of rings and the leading directions, fitted on a bounded sample."""
+
+    def __init__(self, sample: np.ndarray, n_centres: int):
+        rng = np.random.default_rng(SEED)
+        self.centres = sample[rng.permutation(len(sample))[:n_centres]]
+        for _ in range(4):
+            own = _squared(sample, self.centres).argmin(1)
+            counts = np.bincount(own, minlength=len(self.centres))
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, own, sample)
+            self.centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+        self.width = max(float(np.sqrt(_squared(sample, self.centres).min(1)).max()) / RINGS, 1e-9)
+        self.between = np.sqrt(_squared(self.centres, self.centres))
+        values, vectors = np.linalg.eigh(np.atleast_2d(np.cov(sample.T)))
+        shares = np.cumsum(values[::-1]) / max(values.sum(), 1e-300)
+        self.directions = vectors[:, ::-1][:, : int(np.searchsorted(shares, VARIANCE)) + 1]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell and the ring of each row."""
+        far = _squared(x, self.centres)
+        cell = far.argmin(1)
+        ring = np.minimum(np.sqrt(far[np.arange(len(x)), cell]) / self.width, RINGS - 1).astype(np.int64)
+        return cell, ring
+
+    def least(self, x: np.ndarray, own: int, cells: np.ndarray, rings: np.ndarray) -> np.ndarray:
+        """No row of these cells and rings is nearer to the row of ``x``, of cell ``own``, than this."""
+        far = np.sqrt(_squared(x, self.centres))
+        to = far[:, cells]
+        inner = rings * self.width - to
+        outer = np.where(rings < RINGS - 1, to - (rings + 1) * self.width, -np.inf)
+        # a row of another cell is on that centre's side of the plane half-way
+        apart = self.between[own, cells]
+        beyond = (to**2 - far[:, [own]] ** 2) / np.where(apart > 0, 2 * apart, np.inf)
+        return np.maximum(np.maximum(inner, outer), np.maximum(beyond, 0.0)) - 1e-7 * (1.0 + to)
+
+
+def _blocks(points: DataFrame, keys: list[str], key_type: str, block_rows: int) -> DataFrame:
+    """One row per block of rows with equal ``keys``: the keys, __sub, __ids, __vectors."""
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__subs"))
+    dealt = points.join(sizes, keys).withColumn("__sub", F.pmod(F.xxhash64("__id"), F.col("__subs")).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         return pd.DataFrame(
-            {
-                "__group": [first["__group"]], "__sub": [first["__sub"]], "__subs": [first["__subs"]],
-                "__ids": [pdf["__id"].tolist()], "__vectors": [_matrix(pdf["__vec"]).tobytes()],
-            }
+            {**{k: [first[k]] for k in [*keys, "__sub", "__subs"]}, "__ids": [pdf["__id"].tolist()], "__vectors": [_matrix(pdf["__vec"]).tobytes()]}
         )
 
-    return dealt.groupBy("__group", "__sub", "__subs").applyInPandas(
-        pack, f"__group string, __sub int, __subs int, __ids array<{key_type}>, __vectors binary"
+    types = dict(points.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    return dealt.groupBy(*keys, "__sub", "__subs").applyInPandas(
+        pack, f"{schema}, __sub int, __subs int, __ids array<{key_type}>, __vectors binary"
     )
 
 
+def _points(df: DataFrame, key: str, vector: str, within: str | None) -> DataFrame:
+    return df.select(
+        col(key).alias("__id"),
+        (col(within).cast("string") if within else F.lit("")).alias("__group"),
+        col(vector).cast("array<double>").alias("__vec"),
+    ).where("__id is not null and __group is not null and __vec is not null and not exists(__vec, x -> x is null)")
+
+
 def nearest_neighbours(
     df: DataFrame,
     key: str,
@@ -112,55 +185,182 @@ def nearest_neighbours(
     include_self: bool = False,
     block_rows: int = BLOCK_ROWS,
     method: str = "exact",
-    tables: int = TABLES,
-    bits: int = BITS,
+    near: float = NEAR,
+    recall: float = RECALL,
+    bits: int | None = None,
+    tables: int | None = None,
+    work: Accumulator | None = None,
 ) -> DataFrame:
     """(key, neighbour, rank, distance): the k nearest rows of each row, Euclidean.
 
     ``within`` restricts neighbours to rows of the same class. Ties go to the lower
     key. A row with fewer than k possible neighbours gets all there are.
+
+    ``lsh`` aims at ``recall`` of the neighbours with a cosine of ``near`` or more; ``bits``
+    and ``tables`` follow from that and the number of rows unless given. ``work`` counts the
+    pairs whose distance was computed.
     """
     if method not in ("exact", "lsh"):
         raise ValueError("method is 'exact' or 'lsh'")
     key_type = df.schema[key].dataType.simpleString()
-    points = df.select(
-        col(key).alias("__id"),
-        (col(within).cast("string") if within else F.lit("")).alias("__group"),
-        col(vector).cast("array<double>").alias("__vec"),
-    ).where("__id is not null and __group is not null and __vec is not null and not exists(__vec, x -> x is null)")
-    if method == "lsh":
-        dims = points.select(F.size("__vec").alias("d")).first()
-        planes = np.random.default_rng(SEED).normal(size=(dims["d"] if dims else 1, tables * bits))
-        hashed = points.withColumn("__sides", _sides(planes, tables, bits)("__vec"))
-        points = hashed.select("__id", "__vec", "__group", F.posexplode("__sides").alias("__table", "__side")).select(
-            "__id", "__vec", F.concat_ws("|", "__table", "__side", "__group").alias("__group")
-        )
-    blocks = _blocks(points, key_type, block_rows)
-    asking = blocks.select(
-        "__group", F.col("__ids").alias("q_ids"), F.col("__vectors").alias("q_vectors"),
-        F.explode(F.sequence(F.lit(0), F.col("__subs") - 1)).alias("__sub"),
+    points = _points(df, key, vector, within)
+    if method == "exact":
+        found = _exact(points, key_type, k, include_self, block_rows, work)
+    else:
+        found = _hashed(points, key_type, k, include_self, block_rows, near, recall, bits, tables, work)
+    order = W.partitionBy("__id").orderBy("distance", "neighbour")
+    return (
+        found.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select(F.col("__id").alias(key), "neighbour", "rank", "distance")
     )
-    met = blocks.select("__group", "__sub", F.col("__ids").alias("b_ids"), F.col("__vectors").alias("b_vectors")).join(asking, ["__group", "__sub"])
+
+
+def _exact(points: DataFrame, key_type: str, k: int, include_self: bool, block_rows: int, work: Accumulator | None) -> DataFrame:
+    sizes = points.groupBy("__group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    largest, total = sizes["largest"] or 0, sizes["total"] or 0
+    index = None
+    if largest > block_rows:  # else every class is one block
+        every = max(1, total // SAMPLE_ROWS)
+        some = points.where(F.pmod(F.xxhash64("__id", F.lit(SEED)), F.lit(every)) == 0).select("__vec").limit(4 * SAMPLE_ROWS)
+        sample = _matrix(some.toPandas()["__vec"])
+        index = _Index(sample, min(MOST_CENTRES, -(-largest // (RINGS * block_rows))))  # a bin has about a block's rows
+
+    def place(batches):
+        for batch in batches:
+            cell, ring = index.place(_matrix(batch["__vec"])) if index and len(batch) else (np.zeros(len(batch), int),) * 2
+            yield batch.assign(__cell=cell, __ring=ring)
+
+    bin_keys = ["__group", "__cell", "__ring"]
+    placed = points.mapInPandas(place, f"__id {key_type}, __group string, __vec array<double>, __cell int, __ring int")
+    blocks = _blocks(placed, bin_keys, key_type, block_rows)
+    result = f"__id {key_type}, neighbour {key_type}, distance double"
+
+    def in_block(ids, vectors):
+        x, names = np.frombuffer(vectors).reshape(len(ids), -1), np.asarray(ids)
+        return (x, names, *_closest(x, names, x, names, k, drop_self=not include_self))
+
+    def own(batches):
+        for batch in batches:
+            for ids, vectors in zip(batch["__ids"], batch["__vectors"]):
+                _, names, rows, cols, dist = in_block(ids, vectors)
+                if work is not None:
+                    work.add(len(names) ** 2)
+                yield pd.DataFrame({"__id": names[rows], "neighbour": names[cols], "distance": dist})
+
+    if index is None:
+        return blocks.select("__ids", "__vectors").mapInPandas(own, result)
+
+    blocks = settled(blocks)
+    bins = blocks.groupBy(*bin_keys).agg(F.max("__subs").alias("subs"))
+    bins = bins.groupBy("__group").agg(F.collect_list(F.struct("__cell", "__ring", "subs")).alias("bins"))  # at most cells x rings
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                group, cell, ring, sub, ids, vectors, there = row
+                x, names, rows, _, dist = in_block(ids, vectors)
+                limits = np.full(len(x), np.inf)
+                counts = np.bincount(rows, minlength=len(x))
+                full = counts == k
+                limits[full] = dist[np.cumsum(counts)[full] - 1]
+                cells, rings, subs = (np.array([b[f] for b in there]) for f in ("__cell", "__ring", "subs"))
+                needed = index.least(x, cell, cells, rings) <= limits[:, None]
+                out = []
+                for at in np.flatnonzero(needed.any(0)):
+                    some = needed[:, at]
+                    part = (names[some].tolist(), x[some].tobytes(), limits[some].tobytes())
+                    same = (cells[at], rings[at]) == (cell, ring)
+                    out += [(group, cells[at], rings[at], n, *part) for n in range(subs[at]) if not (same and n == sub)]
+                yield pd.DataFrame(out, columns=[*bin_keys, "__sub", "q_ids", "q_vectors", "q_limits"])
+
+    asked = blocks.drop("__subs").join(bins, "__group").select(*bin_keys, "__sub", "__ids", "__vectors", "bins")
+    asked = asked.mapInPandas(ask, f"__group string, __cell int, __ring int, __sub int, q_ids array<{key_type}>, q_vectors binary, q_limits binary")
+    met = blocks.drop("__subs").join(asked, [*bin_keys, "__sub"]).select("q_ids", "q_vectors", "q_limits", "__ids", "__vectors")
 
     def search(batches):
         for batch in batches:
-            for q_ids, q_vectors, b_ids, b_vectors in zip(batch["q_ids"], batch["q_vectors"], batch["b_ids"], batch["b_vectors"]):
+            for q_ids, q_vectors, q_limits, b_ids, b_vectors in batch.itertuples(index=False):
+                q, b = (np.frombuffer(v).reshape(len(i), -1) for v, i in ((q_vectors, q_ids), (b_vectors, b_ids)))
+                q_ids, b_ids, limits = np.asarray(q_ids), np.asarray(b_ids), np.frombuffer(q_limits)
+                bound = np.isfinite(limits)
+                for some, within in ((bound, True), (~bound, False)):
+                    if not some.any():
+                        continue
+                    names = q_ids[some]
+                    if within:
+                        rows, cols, dist, n = _not_too_far(q[some], names, limits[some], b, b_ids, index.directions, not include_self)
+                    else:
+                        rows, cols, dist = _closest(q[some], names, b, b_ids, k, drop_self=not include_self)
+                        n = len(names) * len(b_ids)
+                    if work is not None:
+                        work.add(n)
+                    yield pd.DataFrame({"__id": names[rows], "neighbour": b_ids[cols], "distance": dist})
+
+    return blocks.select("__ids", "__vectors").mapInPandas(own, result).unionAll(met.mapInPandas(search, result))
+
+
+def tables_for(near: float, recall: float, bits: int, unsure: int) -> int:
+    """How many tables find ``recall`` of the rows at a cosine of ``near``, by simulation.
+
+    A table finds a row if all sides agree but the asking row's ``unsure`` least certain ones.
+    """
+    rng = np.random.default_rng(SEED)
+    x, z = rng.normal(size=(2, 100_000, bits))
+    differ = (x > 0) != (near * x + math.sqrt(1 - near * near) * z > 0)
+    sure = np.argsort(np.abs(x), axis=1)[:, min(unsure, bits) :]
+    once = float((~np.take_along_axis(differ, sure, axis=1)).all(1).mean())
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(once, 1 - 1e-9)))) if once > 0 else 1_000
+
+
+def _hashed(points, key_type, k, include_self, block_rows, near, recall, bits, tables, work) -> DataFrame:
+    first = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__vec")).alias("d")).first()
+    bits = bits or max(1, round(math.log2(max(2, first["n"] / BUCKET_ROWS))))
+    tables = tables or tables_for(near, recall, bits, UNSURE)
+    planes = np.random.default_rng(SEED).normal(size=(first["d"] or 1, tables * bits))
+    unsure = min(UNSURE, bits)
+
+    def sides(asking: bool):
+        """The bucket of a vector in each table; of an asking one, all that differ in its least certain sides."""
+
+        @F.pandas_udf("array<array<long>>")
+        def of(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            over = (_matrix(vectors) @ planes).reshape(len(vectors), tables, bits)
+            buckets = ((over > 0) @ (1 << np.arange(bits))).astype(np.int64)[:, :, None]
+            if asking:
+                turned = 1 << np.argsort(np.abs(over), axis=2)[:, :, :unsure]
+                for t in range(unsure):
+                    buckets = np.concatenate([buckets, buckets ^ turned[:, :, [t]]], axis=2)
+            return pd.Series([list(b) for b in buckets])
+
+        return of
+
+    def dealt(asking: bool) -> DataFrame:
+        hashed = points.select("__id", "__vec", "__group", F.posexplode(sides(asking)("__vec")).alias("__table", "__sides"))
+        spread = hashed.select("__id", "__vec", "__group", "__table", F.explode("__sides").alias("__side"))
+        keyed = spread.select("__id", "__vec", F.concat_ws("|", "__table", "__side", "__group").alias("__group"))
+        return _blocks(keyed, ["__group"], key_type, block_rows)
+
+    asking = dealt(True).select("__group", F.col("__ids").alias("q_ids"), F.col("__vectors").alias("q_vectors"))
+    met = dealt(False).select("__group", F.col("__ids").alias("b_ids"), F.col("__vectors").alias("b_vectors")).join(asking, "__group")
+
+    def search(batches):
+        for batch in batches:
+            for q_ids, q_vectors, b_ids, b_vectors in batch.itertuples(index=False):
                 q, b = (np.frombuffer(v).reshape(len(i), -1) for v, i in ((q_vectors, q_ids), (b_vectors, b_ids)))
                 q_ids, b_ids = np.asarray(q_ids), np.asarray(b_ids)
                 rows, cols, dist = _closest(q, q_ids, b, b_ids, k, drop_self=not include_self)
+                if work is not None:
+                    work.add(len(q) * len(b))
                 yield pd.DataFrame({"__id": q_ids[rows], "neighbour": b_ids[cols], "distance": dist})
 
     found = met.select("q_ids", "q_vectors", "b_ids", "b_vectors").mapInPandas(
         search, f"__id {key_type}, neighbour {key_type}, distance double"
     )
-    if method == "lsh":  # a pair may meet in several tables
-        found = found.groupBy("__id", "neighbour").agg(F.min("distance").alias("distance"))
-    order = W.partitionBy("__id").orderBy("distance", "neighbour")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(F.col("__id").alias(key), "neighbour", "rank", "distance")
-    )
+    # a pair may meet in several tables
+    return found.groupBy("__id", "neighbour").agg(F.min("distance").alias("distance"))
 
 
 def knn_consistency(

@@ -598,6 +598,11 @@ check(
     f"SELECT vec_id, neighbour, CAST(rank AS INTEGER) AS rank, {r6('sqrt(d)')} AS distance FROM near WHERE rank <= 5",
     ALL_NEAR.format(test="a.y = b.y AND a.vec_id <> b.vec_id"),
 )
+check(
+    "f10_nearest_of_all", "fx_emb",
+    f"SELECT vec_id, neighbour, CAST(rank AS INTEGER) AS rank, {r6('sqrt(d)')} AS distance FROM near WHERE rank <= 7",
+    ALL_NEAR.format(test="a.vec_id <> b.vec_id"),
+)
 
 # ------------------------------------------------------------------ the proxy's metrics
 

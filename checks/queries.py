@@ -229,13 +229,14 @@ simple("f9_binary_parity", "fx_docs", lambda d: fairness.binary_parity(d, ["lang
 simple("f9_binary_parity_nulls", "fx_groupnull", lambda d: fairness.binary_parity(d, ["priority", "status"], "y", privileged={"priority": ("1-URGENT", "Unknown")}))
 simple("f10_knn_consistency", "fx_emb", lambda d: neighbors.knn_consistency(d, "vec_id", "embedding", "y", 5))
 simple("f10_nearest_neighbours", "fx_emb", lambda d: neighbors.nearest_neighbours(d, "vec_id", "embedding", 5, within="y", block_rows=128))
+simple("f10_nearest_of_all", "fx_emb", lambda d: neighbors.nearest_neighbours(d, "vec_id", "embedding", 7, block_rows=64))
 
 
 @on("f10_lsh_recall", "fx_emb")
 def _(d):
     """How many of the five nearest rows the hashed search finds: nine of ten or more."""
     exact = neighbors.nearest_neighbours(d, "vec_id", "embedding", 5).select("vec_id", "neighbour")
-    hashed = neighbors.nearest_neighbours(d, "vec_id", "embedding", 5, method="lsh").select("vec_id", "neighbour", F.lit(1).alias("hit"))
+    hashed = neighbors.nearest_neighbours(d, "vec_id", "embedding", 5, method="lsh", near=0.3).select("vec_id", "neighbour", F.lit(1).alias("hit"))
     joined = exact.join(hashed, ["vec_id", "neighbour"], "left")
     return joined.agg(F.count(F.lit(1)).alias("n_pairs"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
 
