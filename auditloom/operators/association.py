@@ -4,24 +4,24 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.functions.columns import col, long_numbers, number, numeric_columns, per_column, value
-from auditloom.functions.joins import join_lookup
 from auditloom.functions.numbers import ratio
-from auditloom.functions.ranking import running_totals
+from auditloom.session import settled
 
 # A correlation above this, in absolute value, is reported.
 HIGH_CORRELATION = 0.8
 
 ROUNDING = 1e-12
+FREQUENT = 10_000
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 # The row reducer below travels with the tasks, so executors need no install.
@@ -95,63 +95,110 @@ def high_correlations(df: DataFrame, threshold: float = HIGH_CORRELATION) -> Dat
 PAIR = ["column_a", "column_b"]
 
 
-def spearman(df: DataFrame, columns: Sequence[str] | None = None, values_per_task: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, columns: Sequence[str] | None = None, parts: int | None = None) -> DataFrame:
     """Spearman correlation: Pearson correlation of average ranks, pairwise complete.
 
-    Columns without nulls share one ranking over all rows. Pairs with nullable columns
-    are ranked over the rows that have those columns. The average rank of a value is
-    the number of smaller rows plus (n + 1) / 2, from running totals over the distinct
-    values, so equal rows never meet in one task; ranks are then looked up by value.
+    One ranking serves all columns. Values are counted by column, in all rows and in the
+    rows that have each of the columns with nulls, so that a value held by many rows is one
+    row; these are sorted by range, and ranks are running totals of the counts, one for all
+    rows and one for each column with nulls. Each row then gets its ranks back, and a pair is
+    correlated over the ranks among the rows that have both. The plan has one scan, and grows
+    with the number of columns, not of pairs.
     """
     names = numeric_columns(df) if columns is None else list(columns)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, value double")
     numbers = df.select(*[number(df, c).alias(c) for c in names])
-    full = per_column(
-        numbers, names, "full boolean", lambda c: {"full": F.count(col(c)) == F.count(F.lit(1))}
-    ).where("full").collect()
-    nullable = set(names) - {r["column"] for r in full}
-    by_rows: dict[frozenset, list[tuple[str, str]]] = {}
-    for pair in all_pairs(names):
-        by_rows.setdefault(frozenset(nullable & set(pair)), []).append(pair)
-    selections = [
-        (i, sorted(needed), [c for c in names if any(c in p for p in pairs)], pairs)
-        for i, (needed, pairs) in enumerate(by_rows.items())
-    ]
-    ranks = _rank_table(numbers, selections, values_per_task).persist()
-    sizes = {
-        (r["sel"], r["column"]): (r["values"], r["rows"])
-        for r in ranks.groupBy("sel", "column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).collect()
-    }
-    parts = []
-    for i, needed, used, pairs in selections:
-        rows = numbers.select(*[col(c) for c in used])
-        rows = rows.dropna("any", subset=needed) if needed else rows
-        for k, c in enumerate(used):
-            lookup = ranks.where((F.col("sel") == i) & (F.col("column") == c)).select(F.col("x").alias(c), F.col("rank").alias(f"__rank_{k}"))
-            rows = join_lookup(rows, lookup, [c], "inner", n_rows=sizes.get((i, c), (0, 0))[0])
-        ranked = rows.select(*[F.col(f"__rank_{k}").alias(c) for k, c in enumerate(used)])
-        found = correlations(ranked, {c: (sizes.get((i, c), (0, 0))[1] + 1) / 2.0 for c in used})
-        wanted = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs]
-        parts.append(found.where(F.struct(*PAIR).isin(wanted)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _rank_table(numbers: DataFrame, selections, values_per_task: int | None) -> DataFrame:
-    """(sel, column, x, n, rank): average ranks of all columns in all row selections, in one job."""
-    cells = []
-    for i, needed, used, _ in selections:
-        known = reduce(lambda a, b: a & b, [col(c).isNotNull() for c in needed], F.lit(True))
-        for c in used:
-            cells += [F.lit(i), F.lit(c), F.when(known, col(c))]
-    counts = (
-        numbers.select(F.stack(F.lit(len(cells) // 3), *cells).alias("sel", "column", "x"))
-        .where(F.col("x").isNotNull())
-        .groupBy("sel", "column", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
+    full = {r["column"] for r in per_column(numbers, names, "full boolean", lambda c: {"full": F.count(col(c)) == F.count(F.lit(1))}).where("full").collect()}
+    nullable = [c for c in names if c not in full]
+    ranks, sizes = _ranks(numbers, names, nullable, parts)
+    # the number of a row comes first, or each of its cells would get its own
+    cells = numbers.withColumn("__row", F.monotonically_increasing_id()).select(
+        F.col("__row").alias("row"),
+        F.stack(F.lit(len(names)), *[e for k, c in enumerate(names) for e in (F.lit(k), col(c))]).alias("column", "x"),
+    ).where(F.col("x").isNotNull())
+    rank_names = [f"rank_{k}" for k in range(len(nullable) + 1)]
+    # values of more than a FREQUENT-th of all cells, of which there are fewer, need no shuffle
+    limit = max(sum(v[0] for v in sizes.values()) // FREQUENT, 1)
+    often, seldom = ranks.where(F.col("n_0") > limit), ranks.where(F.col("n_0") <= limit)
+    cells = cells.join(F.broadcast(often.select("column", "x", F.array(*rank_names).alias("often"))), ["column", "x"], "left")
+    rest = cells.where("often is null").drop("often").join(seldom.select("column", "x", F.array(*rank_names).alias("ranks")), ["column", "x"])
+    ranked = rest.select("row", "column", "ranks").unionAll(cells.where("often is not null").select("row", "column", F.col("often").alias("ranks")))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = ranked.repartition(tasks, "row").sortWithinPartitions("row")
+    sums = ranked.mapInArrow(_rank_products(names, nullable, sizes), "i int, j int, sxx double, syy double, sxy double")
+    sums = sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in ("sxx", "syy", "sxy")])
+    label = F.array(*[F.lit(c) for c in names])
+    return sums.select(
+        F.get(label, F.col("i")).alias("column_a"), F.get(label, F.col("j")).alias("column_b"),
+        F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("value"),
     )
-    limits = {} if values_per_task is None else {"values_per_task": values_per_task}
-    return running_totals(counts, ["sel", "column"], value="x", **limits).select(
-        "sel", "column", "x", "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank")
+
+
+def _ranks(numbers: DataFrame, names: list[str], nullable: list[str], parts: int | None) -> tuple[DataFrame, dict]:
+    """(column, x, n_0.., rank_0..): the average rank of every value in all rows and in those that
+    have each of ``nullable``, and the number of rows behind each ranking of a column."""
+    known = [F.lit(True), *[col(c).isNotNull() for c in nullable]]
+    counts = [f"n_{k}" for k in range(len(known))]
+    cells = numbers.select(
+        *[k.cast("long").alias(f"k_{i}") for i, k in enumerate(known)],
+        F.stack(F.lit(len(names)), *[e for k, c in enumerate(names) for e in (F.lit(k), col(c))]).alias("column", "x"),
+    ).where(F.col("x").isNotNull())
+    counted = cells.groupBy("column", "x").agg(*[F.sum(f"k_{i}").alias(n) for i, n in enumerate(counts)])
+    parts = parts or int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(counted.repartitionByRange(parts, "column", "x").withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("column", "part").agg(*[F.sum(n).alias(n) for n in counts])
+    before = W.partitionBy("column").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    starts = totals.select("column", "part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"start_{n}") for n in counts])
+    inside = W.partitionBy("part", "column").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    local = ranged.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"local_{n}") for n in counts])
+    ranks = local.join(starts, ["column", "part"]).select(
+        "column", "x", *counts,
+        *[(F.col(f"start_{n}") + F.col(f"local_{n}") + (F.col(n) + 1) / 2.0).alias(f"rank_{k}") for k, n in enumerate(counts)],
     )
+    sizes = totals.groupBy("column").agg(*[F.sum(n).alias(n) for n in counts]).collect()
+    return settled(ranks), {r["column"]: [r[n] for n in counts] for r in sizes}
+
+
+def _rank_products(names: list[str], nullable: list[str], sizes: dict):
+    """Per task the sums of squares and products of each pair's ranks about their mean."""
+    which = [nullable.index(c) + 1 if c in nullable else 0 for c in names]
+    n_ranks = len(nullable) + 1
+    # the mean rank of column i among the rows that have column j
+    means = [[(sizes[i][which[j]] + 1) / 2.0 if i in sizes else 0.0 for j in range(len(names))] for i in range(len(names))]
+    pairs = list(combinations(range(len(names)), 2))
+
+    def run(batches):
+        total = np.zeros((len(pairs), 3))
+        held = None  # cells of a row that the next batch may go on with
+        for batch in batches:
+            row, column = batch.column("row").to_numpy(), batch.column("column").to_numpy()
+            ranks = batch.column("ranks").flatten().to_numpy().reshape(len(row), n_ranks)
+            if held is not None:
+                row, column, ranks = (np.concatenate(x) for x in zip(held, (row, column, ranks), strict=True))
+            last = np.searchsorted(row, row[-1]) if len(row) else 0
+            add(total, row[:last], column[:last], ranks[:last])
+            held = row[last:], column[last:], ranks[last:]
+        if held is not None:
+            add(total, *held)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p[k] for p in pairs], pa.int32()) for k in (0, 1)] + [pa.array(total[:, k]) for k in range(3)],
+            ["i", "j", "sxx", "syy", "sxy"],
+        )
+
+    def add(total, row, column, ranks):
+        if not len(row):
+            return
+        place = np.cumsum(np.append(0, row[1:] != row[:-1]))
+        table = np.full((n_ranks, len(names), place[-1] + 1), np.nan)
+        table[:, column, place] = ranks.T
+        for k, (i, j) in enumerate(pairs):
+            x, y = table[which[j], i] - means[i][j], table[which[i], j] - means[j][i]
+            both = ~(np.isnan(x) | np.isnan(y))
+            x, y = x[both], y[both]
+            total[k] += x @ x, y @ y, x @ y
+
+    return run
 
 
 def _pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

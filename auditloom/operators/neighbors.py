@@ -41,7 +41,7 @@ MOST_CENTRES = 1_024
 RINGS = 4
 SAMPLE_ROWS = 8_192
 VARIANCE = 0.75
-BUCKET_ROWS = 8
+BUCKET_ROWS = 4
 UNSURE = 2
 RECALL, NEAR = 0.95, 0.8
 SEED = 42

@@ -286,7 +286,13 @@ def name_pairs(columns: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
 
-check("p8a_spearman", "fx_num", union(spearman_pair(a, b) for a, b in name_pairs(["l_quantity", "l_extendedprice", "l_discount", "qty_null"])))
+NUM_COLUMNS = ["l_orderkey", "rare", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "net", "qty_null", "const_col"]
+check("p8a_spearman", "fx_num", union(spearman_pair(a, b) for a, b in name_pairs(NUM_COLUMNS)))
+FEW = "(SELECT *, CASE WHEN days_raw < 50 THEN o_orderkey % 7 END AS few FROM fx)"
+check(
+    "p8a_spearman_nulls", "fx_dirty",
+    union(spearman_pair(a, b).replace("FROM fx ", f"FROM {FEW} ") for a, b in name_pairs(["o_orderkey", "price_raw", "days_raw", "few"])),
+)
 
 
 def cramer_pair(a: str, b: str) -> str:

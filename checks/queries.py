@@ -149,7 +149,8 @@ simple("p5_numeric_stats", "fx_num", lambda d: profile.numeric_stats(d, "l_order
 simple("p5_numeric_stats_events", "fx_events", profile.numeric_stats)
 simple("p6_categorical_stats", "fx_text", profile.categorical_stats)
 simple("p7_auto_profile", "fx_dirty", profile.auto_profile)
-simple("p8a_spearman", "fx_num", lambda d: association.spearman(d, ["l_quantity", "l_extendedprice", "l_discount", "qty_null"]))
+simple("p8a_spearman", "fx_num", association.spearman)
+simple("p8a_spearman_nulls", "fx_dirty", lambda d: association.spearman(d.withColumn("few", F.when(F.col("days_raw") < 50, F.col("o_orderkey") % 7))))
 simple("p8b_cramers_v", "fx_orders", lambda d: association.cramers_v(d, ["region", "nation", "segment", "priority", "o_orderstatus"]))
 
 # --------------------------------------------------------------------------- quality
@@ -236,7 +237,7 @@ simple("f10_nearest_of_all", "fx_emb", lambda d: neighbors.nearest_neighbours(d,
 def _(d):
     """How many of the five nearest rows the hashed search finds: nine of ten or more."""
     exact = neighbors.nearest_neighbours(d, "vec_id", "embedding", 5).select("vec_id", "neighbour")
-    hashed = neighbors.nearest_neighbours(d, "vec_id", "embedding", 5, method="lsh", near=0.3).select("vec_id", "neighbour", F.lit(1).alias("hit"))
+    hashed = neighbors.nearest_neighbours(d, "vec_id", "embedding", 5, method="lsh", near=0.3, recall=0.91).select("vec_id", "neighbour", F.lit(1).alias("hit"))
     joined = exact.join(hashed, ["vec_id", "neighbour"], "left")
     return joined.agg(F.count(F.lit(1)).alias("n_pairs"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
 

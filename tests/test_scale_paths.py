@@ -80,20 +80,37 @@ def test_ordered_codes(spark, rows):
     assert rows(codes) == [("a", 0), ("b", 1), ("c", 2)] and size == 3
 
 
-@pytest.mark.parametrize("limit", [10**6, 20])
-def test_spearman_equals_pandas(spark, limit):
+@pytest.mark.parametrize(("parts", "frequent"), [(1, 1), (7, 10_000), (3, 40)])
+def test_spearman_equals_pandas(spark, parts, frequent, monkeypatch):
+    """However values are cut into ranges, and whichever of them are broadcast."""
+    monkeypatch.setattr(association, "FREQUENT", frequent)
     rng = np.random.default_rng(5)
     n = 1500
     x = rng.integers(0, 40, n).astype(float)
     pdf = pd.DataFrame({"x": x, "y": x + rng.normal(size=n) * 9, "z": np.where(rng.random(n) < 0.3, np.nan, -x), "w": np.where(rng.random(n) < 0.2, np.nan, rng.random(n))})
     df = spark.createDataFrame(pdf)
-    got = {(r["column_a"], r["column_b"]): r["value"] for r in association.spearman(df, values_per_task=limit).collect()}
+    got = {(r["column_a"], r["column_b"]): r["value"] for r in association.spearman(df, parts=parts).collect()}
     for (a, b), v in got.items():
         both = pdf[[a, b]].dropna().rank()
         assert v == pytest.approx(np.corrcoef(both[a], both[b])[0, 1], abs=1e-9)
     assert len(got) == 6
 
 
+def test_spearman_of_constant_empty_and_single_columns(spark):
+    rows = [(float(i), 1.0, None, float(i) if i < 3 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "a double, same double, none double, few double")
+    got = {(r[0], r[1]): r[2] for r in association.spearman(df).collect()}
+    assert len(got) == 6 and got.pop(("a", "few")) == pytest.approx(1.0) and set(got.values()) == {None}
+    assert association.spearman(df.select("a")).collect() == []
+    assert {r["value"] for r in association.spearman(df.limit(0)).collect()} <= {None}
+
+
+def test_the_plan_of_spearman_grows_with_columns_only(spark):
+    df = spark.range(200).select(*[F.when(F.col("id") % (k + 2) > 0, F.col("id") * k % 17).alias(f"c{k}") for k in range(12)])
+    plan = association.spearman(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 4 and plan.count("Range (0") == 0 + plan.count("Range (0, 200") <= 2
+
+
 def test_pearson_of_awkward_columns(spark):
     rng = np.random.default_rng(11)
     n = 900
