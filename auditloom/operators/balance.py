@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.columns import string_columns, value
 from auditloom.functions.numbers import ratio
-from auditloom.operators.counts import top_values, value_counts
+from auditloom.operators.counts import leading_values
 
 # Imbalance levels by the ratio of largest to smallest class.
 LEVELS = [
@@ -56,7 +56,7 @@ def dominant_values(df: DataFrame, sensitive: Iterable[str] | None = None, k: in
     if sensitive is not None:
         wanted = set(sensitive)
         names = [c for c in names if c in wanted]
-    top = top_values(value_counts(df, names), k)
+    top, _ = leading_values(df, names, k)
     flagged = top.where((F.col("rank") == 1) & (F.round("pct", 2) > DOMINANT_PCT)).select("column")
     return top.join(F.broadcast(flagged), "column", "left_semi").select(
         "column", F.col("rank"), "value", F.round("pct", 2).alias("pct")

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions.columns import col, flat_columns, per_column, value
+from auditloom.functions.joins import join_lookup
 from auditloom.functions.numbers import pct
+from auditloom.session import settled
 
 # Texts of more bytes are told apart by their digests where only their number counts.
 LONG_TEXT = 48
+PREFIX = 16
+KEY = ["column", "whole", "real", "text", "digest"]
 
 
 def typed_counts(df: DataFrame, columns: list[str], digests: bool = False) -> DataFrame:
@@ -27,24 +31,113 @@ def typed_counts(df: DataFrame, columns: list[str], digests: bool = False) -> Da
         return df.sparkSession.createDataFrame([], "column string, whole bigint, real double, text string, n bigint")
 
     def parts(c: str) -> list[Column]:
-        dtype = df.schema[c].dataType
-        whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        real = isinstance(dtype, (T.FloatType, T.DoubleType))
-        x = value(df, c)
-        text = x.cast("string")
+        whole, real, text = _parts(df, c)
         if digests:
             text = F.when(F.octet_length(text) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
-        return [
-            (x if whole else F.lit(None)).cast("bigint"),
-            (x if real else F.lit(None)).cast("double"),
-            (F.lit(None).cast("string") if whole or real else text),
-        ]
+        return [whole, real, text]
 
     cells = [e for c in columns for e in (F.lit(c), *parts(c))]
     long = df.select(F.stack(F.lit(len(columns)), *cells).alias("column", "whole", "real", "text"))
     return long.groupBy("column", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
+def keyed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, whole, real, text, digest, n): :func:`typed_counts` that shuffle no long text.
+
+    Of a text of more than ``LONG_TEXT`` bytes only its first characters stand in ``text``,
+    and ``digest`` tells it apart. Everything a report says of single columns follows from
+    these counts, so that it needs one scan and one shuffle, combined in each task first.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, whole bigint, real double, text string, digest string, n bigint")
+    cells = [e for c in columns for e in (F.lit(c), *_parts(df, c))]
+    long = df.select(F.stack(F.lit(len(columns)), *cells).alias("column", "whole", "real", "text"))
+    is_long = F.octet_length("text") > LONG_TEXT
+    keyed = long.select(
+        "column", "whole", "real", F.when(is_long, F.substring("text", 1, PREFIX)).otherwise(F.col("text")).alias("text"),
+        F.when(is_long, F.md5("text")).alias("digest"),
+    )
+    return keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _parts(df: DataFrame, c: str) -> list[Column]:
+    """The column as whole number, as real number, as text: one of them."""
+    dtype = df.schema[c].dataType
+    whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    real = isinstance(dtype, (T.FloatType, T.DoubleType))
+    x = value(df, c)
+    return [
+        (x if whole else F.lit(None)).cast("bigint"),
+        (x if real else F.lit(None)).cast("double"),
+        (F.lit(None).cast("string") if whole or real else x.cast("string")),
+    ]
+
+
+def column_facts(df: DataFrame, columns: list[str], counts: DataFrame | None = None, moments: bool = False) -> DataFrame:
+    """(column, n_rows, n_null, n_unique, n_single, mean, min, max, n_zeros, and on demand std, g1, g2).
+
+    All from the value counts; ``n_single`` values occur once, and moments are about the
+    mean, which is known by then. Numbers are null for columns of other kinds.
+    """
+    counts = keyed_counts(df, columns) if counts is None else counts
+    decimals = [c for c in columns if isinstance(df.schema[c].dataType, T.DecimalType)]
+    known = F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("real").isNotNull()
+    x = F.coalesce(F.col("whole").cast("double"), "real", F.when(F.col("column").isin(decimals), F.expr("try_cast(text as double)")))
+    n = F.when(x.isNotNull(), F.col("n"))
+    facts = counts.groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_null"),
+        F.count_if(known).alias("n_unique"), F.count_if(known & (F.col("n") == 1)).alias("n_single"),
+        F.try_divide(F.sum(x * n), F.sum(n).cast("double")).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.when(F.sum(n) > 0, F.coalesce(F.sum(F.when(x == 0, n)), F.lit(0))).alias("n_zeros"),
+    )
+    if not moments:
+        return facts
+    centred = counts.join(F.broadcast(facts.select("column", "mean")), "column").withColumn("d", x - F.col("mean"))
+    weighted = [F.sum(F.when(F.col("d").isNotNull(), F.col("n")) * F.pow("d", F.lit(k))).alias(f"m{k}") for k in (2, 3, 4)]
+    sums = centred.groupBy("column").agg(F.sum(F.when(F.col("d").isNotNull(), F.col("n"))).cast("double").alias("k"), *weighted)
+    k, m2 = F.col("k"), F.col("m2")
+    spread = sums.select(
+        "column", F.when(k > 1, F.sqrt(F.try_divide(m2, k - 1))).alias("std"),
+        F.when(m2 > 0, F.sqrt(k) * F.col("m3") / F.pow(m2, F.lit(1.5))).alias("g1"),
+        F.when(m2 > 0, k * F.col("m4") / (m2 * m2) - 3.0).alias("g2"),
+    )
+    return facts.join(F.broadcast(spread), "column", "left")
+
+
+def leading_values(
+    df: DataFrame, columns: list[str], k: int, smallest: bool = False, facts: bool = False, moments: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
+    """(column, rank, value, n, pct): the k most frequent values of each column, or the k smallest.
+
+    Ties go by value. The counts decide with the first characters of long texts; only what
+    can still be among the first k, ties included, is looked up in the table by its digest.
+    With ``facts`` the second result is :func:`column_facts`, from the same scan.
+    """
+    counts = keyed_counts(df, columns)
+    shown = F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string"))
+    by = ["whole", "real", "text"] if smallest else [F.col("n").desc(), shown]
+    found = counts.where(shown.isNotNull()).withColumn("place", F.rank().over(W.partitionBy("column").orderBy(*by))).where(F.col("place") <= k)
+    kept = found.select(*KEY, "n", F.lit(None).cast("bigint").alias("n_rows"))
+    told = column_facts(df, columns, counts, moments)
+    kept = settled(kept.unionByName(told if facts else told.select("column", "n_rows"), allowMissingColumns=True))
+    near, told = kept.where("n_rows is null"), kept.where("n_rows is not null")
+    totals = told.select("column", F.col("n_rows").alias("of"))
+    near = near.select(*KEY, "n").join(F.broadcast(totals), "column").withColumn("value", shown)
+    long = near.where("digest is not null").select("column", "digest", "n", "of")
+    n_long = long.count()
+    if n_long:
+        names = [c for c in columns if not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
+        cells = [e for c in names for e in (F.lit(c), _parts(df, c)[2])]
+        texts = df.select(F.stack(F.lit(len(names)), *cells).alias("column", "value")).where(F.octet_length("value") > LONG_TEXT)
+        texts = join_lookup(texts.withColumn("digest", F.md5("value")), long, ["column", "digest"], "inner", n_rows=n_long)
+        whole = texts.groupBy("column", "digest", "n", "of").agg(F.any_value("value").alias("value"))
+        near = near.where("digest is null").unionByName(whole, allowMissingColumns=True)
+    order = ["whole", "real", "value"] if smallest else [F.col("n").desc(), F.col("value")]
+    top = near.withColumn("rank", F.row_number().over(W.partitionBy("column").orderBy(*order))).where(F.col("rank") <= k)
+    top = top.select("column", "rank", "value", "n", pct(F.col("n"), F.col("of")).alias("pct"))
+    return top, told.drop("whole", "real", "text", "digest", "n") if facts else None
+
+
 def _all_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) with a row for nulls too."""
     as_text = F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string"))

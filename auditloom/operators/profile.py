@@ -11,17 +11,14 @@ from pyspark.sql import functions as F
 from auditloom.functions.columns import (
     flat_columns,
     kind_of,
-    long_numbers,
     number,
     numeric_columns,
-    per_column,
     row_count,
     string_columns,
-    value,
 )
 from auditloom.functions.numbers import ratio, sample_kurtosis, sample_skewness
 from auditloom.functions.quantiles import exact_quantiles, quantile_frame
-from auditloom.operators.counts import distinct_counts, top_values, typed_counts, value_counts
+from auditloom.operators.counts import column_facts, keyed_counts, leading_values, top_values, value_counts
 
 # Below this many distinct values a numeric column is listed by value.
 FEW_VALUES = 50
@@ -52,51 +49,28 @@ def _dtype_table(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _number_facts(df: DataFrame, columns: list[str]) -> DataFrame:
-    x = F.col("x")
-    return long_numbers(df, columns).groupBy("column").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x == 0).alias("n_zeros"),
-    )
-
-
-def _null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    return per_column(
-        df, columns, "n_rows bigint, n_null bigint",
-        lambda c: {"n_rows": F.count(F.lit(1)), "n_null": F.count_if(value(df, c).isNull())},
-    )
-
-
 def column_preview(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Type, distinct and null counts per column; min, max and mean where numeric."""
     names = flat_columns(df) if columns is None else list(columns)
-    numeric = [c for c in names if c in set(numeric_columns(df))]
-    return (
-        _dtype_table(df, names)
-        .join(_null_counts(df, names), "column", "left")
-        .join(distinct_counts(df, names), "column", "left")
-        .join(_number_facts(df, numeric), "column", "left")
-        .select("column", "dtype", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "n_null", "min", "max", "mean")
+    return _preview(df, names, column_facts(df, names))
+
+
+def _preview(df: DataFrame, names: list[str], facts: DataFrame) -> DataFrame:
+    return _dtype_table(df, names).join(facts, "column", "left").select(
+        "column", "dtype", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), F.coalesce("n_null", F.lit(0)).alias("n_null"), "min", "max", "mean"
     )
 
 
 def sample_values(df: DataFrame, k: int = 5, columns: Iterable[str] | None = None) -> DataFrame:
     """The k smallest distinct values per column, numbers by size and texts by letters
     (a table has no first rows in Spark). Tasks keep k values a column before the shuffle."""
-    counts = typed_counts(df, flat_columns(df) if columns is None else list(columns))
-    order = W.partitionBy("column").orderBy("whole", "real", "text")
-    return (
-        counts.where(F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")).isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("column", "rank", F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")).alias("value"))
-    )
+    names = flat_columns(df) if columns is None else list(columns)
+    return leading_values(df, names, k, smallest=True)[0].select("column", "rank", "value")
 
 
 def top_text_values(df: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent values of every text column."""
-    names = string_columns(df)
-    return top_values(value_counts(df, names), k).select("column", "rank", "value", "n", "pct")
+    return leading_values(df, string_columns(df), k)[0]
 
 
 def sensitive_column(df: DataFrame, column: str, k: int = 20) -> DataFrame:
@@ -134,8 +108,8 @@ def column_catalog(df: DataFrame, k: int = 5) -> DataFrame:
     """
     names = flat_columns(df)
     text = string_columns(df)
-    facts = column_preview(df, names).select("column", "dtype", "n_unique", "n_null")
-    top = top_values(value_counts(df, names), k)
+    top, facts = leading_values(df, names, k, facts=True)
+    facts = _preview(df, names, facts).select("column", "dtype", "n_unique", "n_null")
     return (
         facts.join(top, "column", "left")
         .withColumn("shown", F.col("column").isin(text) | (F.col("n_unique") < FEW_VALUES))
@@ -178,27 +152,19 @@ def numeric_stats(df: DataFrame, target: str | None = None, direct_rows: int | N
     names = numeric_columns(df, exclude=[target] if target else [])
     limits = {} if direct_rows is None else {"direct_rows": direct_rows}
     medians = quantile_frame(df, exact_quantiles(df, names, [0.5], **limits), ["median"])
-    x = F.col("x")
-    moments = long_numbers(df, names).groupBy("column").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
-    )
-    return (
-        moments.join(F.broadcast(medians), "column", "left")
-        .join(distinct_counts(df, names), "column", "left")
-        .select(
-            "column", "n", "mean", "std", "min", "max", "median",
-            sample_skewness(F.col("g1"), F.col("n")).alias("skew"),
-            sample_kurtosis(F.col("g2"), F.col("n")).alias("kurt"),
-            F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
-        )
+    facts = column_facts(df, names, moments=True).withColumn("n", F.col("n_rows") - F.col("n_null"))
+    return facts.join(F.broadcast(medians), "column", "left").select(
+        "column", "n", "mean", "std", "min", "max", "median",
+        sample_skewness(F.col("g1"), F.col("n")).alias("skew"),
+        sample_kurtosis(F.col("g2"), F.col("n")).alias("kurt"),
+        "n_unique",
     )
 
 
 def categorical_stats(df: DataFrame, target: str | None = None) -> DataFrame:
     """Distinct count and Shannon entropy in nats of every text column."""
     names = string_columns(df, exclude=[target] if target else [])
-    counts = value_counts(df, names)
+    counts = keyed_counts(df, names).where(F.col("text").isNotNull())
     totals = counts.groupBy("column").agg(F.sum("n").alias("n_all"))
     p = F.col("n") / F.col("n_all")
     return (
@@ -211,22 +177,15 @@ def categorical_stats(df: DataFrame, target: str | None = None) -> DataFrame:
 def auto_profile(df: DataFrame) -> DataFrame:
     """A fuller profile of all columns: missing, distinct, moments, zeros."""
     names = flat_columns(df)
-    numeric = [c for c in names if c in set(numeric_columns(df))]
     shown = {"numeric": "Numeric", "categorical": "Categorical", "temporal": "DateTime"}
     types = df.sparkSession.createDataFrame(
         [(c, shown[kind_of(df.schema[c].dataType)]) for c in names], "column string, type string"
     )
-    distinct = value_counts(df, names).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("n") == 1).alias("n_single")
-    )
-    joined = (
-        types.join(_null_counts(df, names), "column", "left")
-        .join(distinct, "column", "left")
-        .join(_number_facts(df, numeric).drop("n"), "column", "left")
-    )
+    facts = column_facts(df, names, moments=True).withColumnRenamed("n_unique", "n_distinct")
+    joined = types.join(facts, "column", "left")
     n_distinct = F.coalesce("n_distinct", F.lit(0))
     return joined.select(
-        "column", "type", F.col("n_null").alias("n_missing"),
+        "column", "type", F.coalesce("n_null", F.lit(0)).alias("n_missing"),
         ratio(F.col("n_null"), F.col("n_rows")).alias("p_missing"),
         n_distinct.alias("n_distinct"),
         ((n_distinct > 0) & (n_distinct == F.col("n_rows") - F.col("n_null"))).alias("is_unique"),

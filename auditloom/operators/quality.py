@@ -23,7 +23,8 @@ from auditloom.functions.columns import (
 )
 from auditloom.functions.numbers import pct
 from auditloom.functions.quantiles import exact_quantiles, quantile_frame
-from auditloom.operators.counts import approx_distinct_counts, distinct_counts, value_counts
+from auditloom.operators.counts import approx_distinct_counts, distinct_counts
+from auditloom.operators.profile import sample_values
 from auditloom.sources.nulls import BLANK, blank_to_null, infer_types, null_tokens, tokens
 
 # Numbers that often stand for "unknown", and score limits.
@@ -145,25 +146,21 @@ def type_inconsistency(df: DataFrame, columns: Iterable[str] | None = None) -> D
 
 def mixed_type_samples(df: DataFrame, k: int = 5) -> DataFrame:
     """Up to k of the non-numeric texts of every column that mixes both kinds."""
-    from pyspark.sql import Window as W
-
     names = _text_columns(df)
     mixed = type_inconsistency(df, names).where("mixed").select("column")
-    others = value_counts(df, names).where(~_reads_as_number(F.col("value")))
-    order = W.partitionBy("column").orderBy("value")
-    return (
-        others.join(F.broadcast(mixed), "column", "left_semi")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("column", "rank", "value")
-    )
+    # only the texts in question are counted, and k of them per column and task are shuffled
+    others = df.select(*[F.when(~_reads_as_number(col(c)), col(c)).alias(c) for c in names])
+    return sample_values(others, k, names).join(F.broadcast(mixed), "column", "left_semi")
 
 
 def single_char_values(df: DataFrame) -> DataFrame:
     """Texts of one character (after trimming) that occur more than once."""
-    found = value_counts(df, _text_columns(df)).where(
-        (F.length(F.regexp_replace("value", r"^\s+|\s+$", "")) == 1) & (F.col("n") > 1)
+    names = _text_columns(df)
+    single = long_values(df, names, "value", "string", lambda c: value(df, c)).where(
+        F.length(F.regexp_replace("value", r"^\s+|\s+$", "")) == 1
     )
+    found = single.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    found = found.withColumn("pct", pct(F.col("n"), row_count(df)))
     return found.select(
         "column", F.format_string("Single character '%s'", "value").alias("pattern"), "n", "pct"
     )
@@ -297,6 +294,16 @@ def duplicates(df: DataFrame) -> DataFrame:
 # -------------------------------------------------------- columns with odd content
 
 
+def table_profile(df: DataFrame) -> DataFrame:
+    """The table as a whole: its size, missing cells and repeated rows."""
+    missing, repeated = missing_overall(df), duplicates(df)
+    return missing.crossJoin(repeated.drop("n_rows")).select(  # one row each
+        F.lit(len(df.columns)).cast("bigint").alias("n_variables"), F.col("n_rows").alias("n_observations"),
+        F.col("n_cells_missing").alias("missing_cells"), F.col("pct_missing").alias("missing_cells_pct"),
+        F.col("n_duplicates").alias("duplicate_rows"), F.col("pct").alias("duplicate_rows_pct"),
+    )
+
+
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with exactly one distinct value, nulls aside.
 

@@ -273,6 +273,40 @@ def profile_row(c: str, numeric: bool) -> str:
 
 check("p7_auto_profile", "fx_dirty", union(profile_row(c, c not in DIRTY_TEXT) for c in DIRTY))
 
+TABLE_PROFILE = """SELECT CAST({k} AS BIGINT) AS n_variables, n AS n_observations, CAST(m AS BIGINT) AS missing_cells,
+  {pm} AS missing_cells_pct, n - d AS duplicate_rows, {pd} AS duplicate_rows_pct
+FROM (SELECT count(*) AS n, sum({nulls}) AS m, (SELECT count(*) FROM (SELECT DISTINCT * FROM fx)) AS d FROM fx)"""
+
+
+def table_profile(columns: list[str]) -> str:
+    nulls = " + ".join(f"({c} IS NULL)::INT" for c in columns)
+    return TABLE_PROFILE.format(k=len(columns), nulls=nulls, pm=r6(f"100.0 * m / (n * {len(columns)})"), pd=r6("100.0 * (n - d) / n"))
+
+
+def first_values(source: str, columns: list[str], k: int) -> str:
+    return union(
+        f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY v) AS INTEGER) AS rank, CAST(v AS VARCHAR) AS value FROM (SELECT DISTINCT {c} AS v FROM {source} WHERE {c} IS NOT NULL) QUALIFY rank <= {k}"
+        for c in columns
+    )
+
+
+check("p7_table_profile", "fx_dirty", table_profile(DIRTY))
+check("p7_table_profile_repeats", "fx_dup", table_profile(["l_returnflag", "l_linestatus", "l_quantity"]))
+check("p4_first_values", "fx_docs", first_values("fx", ["doc_id", "lang", "source", "n_chars", "toxic", "quality"], 10))
+ORACLES["p2_first_texts"] = union([first_values("documents", ["text"], 6), first_values("pages", ["url", "html"], 6)])
+
+
+def table_counts(name: str, columns: list[str]) -> str:
+    return vc(columns).replace("FROM fx", f"FROM {name}")
+
+
+DOC_TEXTS, PAGE_TEXTS = table_counts("documents", ["text", "lang", "source"]), table_counts("pages", ["url", "html"])
+ORACLES["p2_top_texts"] = union(f"SELECT * FROM ({TOP.format(pct=r6('pct'), k=4).replace('FROM vc', f'FROM ({t})')})" for t in (DOC_TEXTS, PAGE_TEXTS))
+ORACLES["p6_texts"] = union(
+    f"SELECT \"column\", count(*) AS n_unique, {r6('-sum(p * ln(p))')} AS entropy FROM (SELECT \"column\", n / sum(n) OVER (PARTITION BY \"column\") AS p FROM ({t})) GROUP BY 1"
+    for t in (DOC_TEXTS, PAGE_TEXTS)
+)
+
 
 def spearman_pair(a: str, b: str) -> str:
     complete = f"SELECT CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM fx WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
@@ -479,6 +513,9 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v
              max(round(pct, 2)) OVER (PARTITION BY "column") AS lead FROM vc)
 WHERE rank <= 5 AND lead > 65"""
 check("b2_dominant_values", "fx_text", DOMINANT, vc_cte(["c_name", "c_mktsegment", "skewed"]))
+ORACLES["b2_dominant_texts"] = union(
+    DOMINANT.replace("FROM vc", f"FROM ({t})") for t in (DOC_TEXTS, table_counts("conversations", ["role", "text"]))
+)
 check("b2_dominant_sensitive", "fx_docs", DOMINANT, vc_cte(["lang", "source"]))
 
 # --------------------------------------------------------------------------- catalog

@@ -149,6 +149,34 @@ simple("p5_numeric_stats", "fx_num", lambda d: profile.numeric_stats(d, "l_order
 simple("p5_numeric_stats_events", "fx_events", profile.numeric_stats)
 simple("p6_categorical_stats", "fx_text", profile.categorical_stats)
 simple("p7_auto_profile", "fx_dirty", profile.auto_profile)
+simple("p7_table_profile", "fx_dirty", quality.table_profile)
+simple("p7_table_profile_repeats", "fx_dup", quality.table_profile)
+simple("p4_first_values", "fx_docs", lambda d: profile.sample_values(d, 10))
+
+
+@query("p2_top_texts")
+def _(spark, sf_dir):
+    """Whole texts and web pages, of which only the leading ones are shuffled."""
+    return profile.top_text_values(table(spark, sf_dir, "documents"), 4).unionByName(profile.top_text_values(table(spark, sf_dir, "pages"), 4))
+
+
+@query("p2_first_texts")
+def _(spark, sf_dir):
+    return profile.sample_values(table(spark, sf_dir, "documents").select("text"), 6).unionByName(
+        profile.sample_values(table(spark, sf_dir, "pages").select("url", "html"), 6)
+    )
+
+
+@query("p6_texts")
+def _(spark, sf_dir):
+    return profile.categorical_stats(table(spark, sf_dir, "documents")).unionByName(profile.categorical_stats(table(spark, sf_dir, "pages")))
+
+
+@query("b2_dominant_texts")
+def _(spark, sf_dir):
+    return balance.dominant_values(table(spark, sf_dir, "documents")).unionByName(balance.dominant_values(table(spark, sf_dir, "conversations")))
+
+
 simple("p8a_spearman", "fx_num", association.spearman)
 simple("p8a_spearman_nulls", "fx_dirty", lambda d: association.spearman(d.withColumn("few", F.when(F.col("days_raw") < 50, F.col("o_orderkey") % 7))))
 simple("p8b_cramers_v", "fx_orders", lambda d: association.cramers_v(d, ["region", "nation", "segment", "priority", "o_orderstatus"]))
