@@ -17,6 +17,7 @@ from auditloom.session import settled
 # Texts of more bytes are told apart by their digests where only their number counts.
 LONG_TEXT = 48
 PREFIX = 16
+KINDS = ["whole", "real", "text"]
 KEY = ["column", "whole", "real", "text", "digest"]
 
 
@@ -50,26 +51,38 @@ def keyed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, whole bigint, real double, text string, digest string, n bigint")
-    cells = [e for c in columns for e in (F.lit(c), *_parts(df, c))]
-    long = df.select(F.stack(F.lit(len(columns)), *cells).alias("column", "whole", "real", "text"))
-    is_long = F.octet_length("text") > LONG_TEXT
-    keyed = long.select(
-        "column", "whole", "real", F.when(is_long, F.substring("text", 1, PREFIX)).otherwise(F.col("text")).alias("text"),
-        F.when(is_long, F.md5("text")).alias("digest"),
+    # keys are as narrow as the columns allow: a number for the column, and only the kinds that occur
+    kinds = [kind for kind in KINDS if any(_kind(df, c) == kind for c in columns)]
+    cells = [e for i, c in enumerate(columns) for e in (F.lit(i), *[_parts(df, c)[KINDS.index(kind)] for kind in kinds])]
+    long = df.select(F.stack(F.lit(len(columns)), *cells).alias("place", *kinds))
+    if "text" in kinds:
+        is_long = F.octet_length("text") > LONG_TEXT
+        long = long.withColumn("digest", F.when(is_long, F.md5("text")))
+        long = long.withColumn("text", F.when(is_long, F.substring("text", 1, PREFIX)).otherwise(F.col("text")))
+        kinds = [*kinds, "digest"]
+    counts = long.groupBy("place", *kinds).agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in columns])
+    empty = {"whole": "bigint", "real": "double", "text": "string", "digest": "string"}
+    return counts.select(
+        F.get(names, F.col("place")).alias("column"),
+        *[F.col(k) if k in kinds else F.lit(None).cast(t).alias(k) for k, t in empty.items()], "n",
     )
-    return keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _kind(df: DataFrame, c: str) -> str:
+    dtype = df.schema[c].dataType
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "whole"
+    return "real" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "text"
 
 
 def _parts(df: DataFrame, c: str) -> list[Column]:
     """The column as whole number, as real number, as text: one of them."""
-    dtype = df.schema[c].dataType
-    whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    real = isinstance(dtype, (T.FloatType, T.DoubleType))
-    x = value(df, c)
+    kind, x = _kind(df, c), value(df, c)
     return [
-        (x if whole else F.lit(None)).cast("bigint"),
-        (x if real else F.lit(None)).cast("double"),
-        (F.lit(None).cast("string") if whole or real else x.cast("string")),
+        (x if kind == "whole" else F.lit(None)).cast("bigint"),
+        (x if kind == "real" else F.lit(None)).cast("double"),
+        (x.cast("string") if kind == "text" else F.lit(None).cast("string")),
     ]
 
 

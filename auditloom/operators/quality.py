@@ -294,9 +294,9 @@ def duplicates(df: DataFrame) -> DataFrame:
 # -------------------------------------------------------- columns with odd content
 
 
-def table_profile(df: DataFrame) -> DataFrame:
-    """The table as a whole: its size, missing cells and repeated rows."""
-    missing, repeated = missing_overall(df), duplicates(df)
+def table_profile(df: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """The table as a whole: its size, missing cells and repeated rows (``duplicates``, if at hand)."""
+    missing, repeated = missing_overall(df), duplicates(df) if repeated is None else repeated
     return missing.crossJoin(repeated.drop("n_rows")).select(  # one row each
         F.lit(len(df.columns)).cast("bigint").alias("n_variables"), F.col("n_rows").alias("n_observations"),
         F.col("n_cells_missing").alias("missing_cells"), F.col("pct_missing").alias("missing_cells_pct"),
@@ -353,12 +353,20 @@ def iqr_outliers(df: DataFrame, factor: float = 1.5, direct_rows: int | None = N
 # ------------------------------------------------------------------ overall grades
 
 
-def quality_flag(df: DataFrame) -> DataFrame:
-    """GOOD without duplicates, constant columns or high cardinality; outliers do not count."""
+def quality_flag(
+    df: DataFrame, repeated: DataFrame | None = None, constant: DataFrame | None = None, many: DataFrame | None = None
+) -> DataFrame:
+    """GOOD without duplicates, constant columns or high cardinality; outliers do not count.
+
+    What is already computed of these can be given.
+    """
+    repeated = duplicates(df) if repeated is None else repeated
+    constant = constant_columns(df) if constant is None else constant
+    many = high_cardinality(df) if many is None else many
     found = (
-        duplicates(df).select((F.col("n_duplicates") > 0).cast("bigint").alias("issue"))
-        .unionAll(constant_columns(df).agg((F.count(F.lit(1)) > 0).cast("bigint").alias("issue")))
-        .unionAll(high_cardinality(df).agg((F.count(F.lit(1)) > 0).cast("bigint").alias("issue")))
+        repeated.select((F.col("n_duplicates") > 0).cast("bigint").alias("issue"))
+        .unionAll(constant.agg((F.count(F.lit(1)) > 0).cast("bigint").alias("issue")))
+        .unionAll(many.agg((F.count(F.lit(1)) > 0).cast("bigint").alias("issue")))
     )
     return found.agg(F.sum("issue").alias("n_issues")).select(
         F.when(F.col("n_issues") == 0, "GOOD").otherwise("NEEDS_ATTENTION").alias("flag"), "n_issues"
@@ -372,10 +380,12 @@ def grade(score: Column) -> Column:
     return out.otherwise(GRADES[-1][1])
 
 
-def quality_score(df: DataFrame, target: str | None = None) -> DataFrame:
+def quality_score(
+    df: DataFrame, target: str | None = None, repeated: DataFrame | None = None, missing: DataFrame | None = None
+) -> DataFrame:
     """100 minus penalties for missing cells, duplicates, class imbalance and few rows."""
-    missing = missing_overall(df).select("pct_missing", "n_rows")
-    dup = duplicates(df).select("pct").scalar()
+    missing = (missing_overall(df) if missing is None else missing).select("pct_missing", "n_rows")
+    dup = (duplicates(df) if repeated is None else repeated).select("pct").scalar()
     imbalance = F.lit(0.0)
     if target is not None:
         classes = (

@@ -22,6 +22,8 @@ from auditloom.session import settled, shared_folder
 from auditloom.sources.nulls import blank_to_null, complete_cases, null_tokens
 from auditloom.sources.tables import findings, write_findings, write_mitigated
 
+SAMPLES = 10
+
 
 @dataclass
 class Result:
@@ -91,6 +93,7 @@ def audit(
         Result("load", "size", df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_columns"))),
         Result("quality", "column_issue_report", quality.column_issue_report(df), ["column"]),
         Result("attributes", "column_catalog", profile.column_catalog(df), ["column", "rank"]),
+        Result("attributes", "sample_values", profile.sample_values(df, SAMPLES), ["column", "rank"]),
         Result("attributes", "sensitive_by_keyword", _flagged(df), ["table_name", "column"]),
         Result("imbalance", "dominant_values", balance.dominant_values(df, sensitive), ["column", "rank"]),
     ]

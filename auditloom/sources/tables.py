@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,15 +14,17 @@ from auditloom.sources.nulls import infer_types, null_tokens
 METHODS = ["reweighted", "smote", "oversampled", "undersampled"]
 
 
-def read_table(spark: SparkSession, path: str, na_vocab: str = "plain") -> DataFrame:
+def read_table(spark: SparkSession, path: str, na_vocab: str = "plain", multi_line: bool = False) -> DataFrame:
     """A catalog table name, or a path to Parquet, ORC, JSON or CSV by its ending.
 
     CSV is read as text; null tokens are then turned into null and columns of
-    numbers into numbers, so the vocabulary decides the types.
+    numbers into numbers, so the vocabulary decides the types. Large CSV files are split
+    among tasks at line ends; ``multi_line`` reads quoted texts that hold line ends, and
+    then takes one task per file.
     """
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending == "csv":
-        text = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        text = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
         return infer_types(null_tokens(text, na_vocab))
     if ending in ("parquet", "orc", "json") or "/" in path:
         return spark.read.format(ending if ending in ("orc", "json") else "parquet").load(path)
@@ -62,6 +65,18 @@ def inventory_outputs(spark: SparkSession, folder: str, methods: list[str]) -> D
     return parts
 
 
+def preview_outputs(spark: SparkSession, folder: str, methods: list[str], order_by: list[str], rows: int = 5) -> DataFrame:
+    """(method, rank, row): the first rows of each written treatment by an order, as JSON."""
+    parts = None
+    for m in methods:
+        df = spark.read.parquet(f"{folder.rstrip('/')}/method={m}")
+        first = df.orderBy(*[col(c) for c in order_by]).limit(rows)  # each task keeps that many
+        ranked = first.withColumn("__rank", F.row_number().over(W.orderBy(*[col(c) for c in order_by])))
+        row = ranked.select(F.lit(m).alias("method"), F.col("__rank").alias("rank"), F.to_json(F.struct(*[col(c) for c in df.columns])).alias("row"))
+        parts = row if parts is None else parts.unionByName(row)
+    return parts
+
+
 def findings(result: DataFrame, stage: str, operator: str, subject: list[str]) -> DataFrame:
     """A result in long form: (stage, operator, subject, metric, value_double, value_string).
 

@@ -389,10 +389,10 @@ check(
 )
 
 
-def single_chars(source: str) -> str:
+def single_chars(source: str, columns: list[str] = DIRTY_TEXT) -> str:
     return union(
         f"SELECT '{c}' AS \"column\", 'Single character ''' || {c} || '''' AS pattern, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM fx) AS pct FROM {source} WHERE length(trim({c})) = 1 GROUP BY {c} HAVING count(*) > 1"
-        for c in DIRTY_TEXT
+        for c in columns
     )
 
 
@@ -906,6 +906,16 @@ check(
     'No temporal columns detected - cannot assess temporal drift risk' AS notice FROM ({RISK})""",
 )
 
+DOC_JSON = "concat('{\"doc_id\":', doc_id, ',\"lang\":\"', lang, '\",\"source\":\"', source, '\",\"n_chars\":', n_chars, ',\"toxic\":', toxic, ',\"quality\":', quality, '}')"
+check(
+    "c8_preview_outputs", "fx_docs",
+    union(
+        f"SELECT '{m}' AS method, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS rank, {DOC_JSON} AS \"row\" FROM {t} QUALIFY rank <= 5"
+        for m, t in (("given", "fx"), ("undersampled", "un"))
+    ),
+    UNDER_DOCS,
+)
+
 # ------------------------------------------------------------------------ whole audits
 
 
@@ -955,10 +965,31 @@ PAIR_SHARES = f"SELECT '{AUDIT_PAIR[0][0]}' AS attr, {AUDIT_PAIR[0][1]} AS value
 AUDIT_METHODS = f"""SELECT *, ratio_mit < ratio_orig AS improved, row_number() OVER (ORDER BY ratio_mit, place) AS rank FROM (
   SELECT 0 AS place, 'reweighted' AS method, {FX_ROWS} AS rows_orig, {FX_ROWS} AS rows_mit, (SELECT max(n) / min(n) FROM b) AS ratio_orig, (SELECT max(w) / min(w) FROM wr) AS ratio_mit
   UNION ALL SELECT 1, 'undersampled', {FX_ROWS}, {UN_ROWS}, (SELECT max(n) / min(n) FROM b), (SELECT max(w) / min(w) FROM wu))"""
+
+
+def catalog_rows(p4: str, types: dict[str, str]) -> str:
+    """The catalogue with the columns' types."""
+    listed = ", ".join(f"('{c}', '{t}')" for c, t in types.items())
+    return found(
+        "attributes", "column_catalog", f"SELECT p.*, t.dtype FROM ({p4}) p JOIN (VALUES {listed}) t(c, dtype) ON t.c = p.\"column\"",
+        ["column", "rank"], ["n_unique", "n_null", "n", "pct"], ["dtype", "value"],
+    )
+
+
+ORDER_TYPES = {c: "string" for c in ORDER_TEXT} | {"o_orderkey": "bigint", "o_totalprice": "double", "c_acctbal": "double", "big": "int"}
+ORDER_ISSUES = f"""SELECT "column", 0 AS n_missing, 0.0 AS pct_missing, false AS mixed, count(*) AS n_patterns,
+  string_agg(printf('%s: %d occurrences (%.2f%%)', pattern, n, pct), ' | ' ORDER BY pattern) AS issues
+FROM ({single_chars('fx', ORDER_TEXT)} UNION ALL {sentinels(['o_orderkey', 'o_totalprice', 'c_acctbal', 'big'])}) GROUP BY 1"""
+ISSUE_METRICS = (["n_missing", "pct_missing", "n_patterns"], ["mixed", "issues"])
 check(
     "o1_audit", "fx_orders",
     union(
         [
+            found("load", "size", "SELECT count(*) AS n_rows, 9 AS n_columns FROM fx", [], ["n_rows", "n_columns"]),
+            found("quality", "column_issue_report", ORDER_ISSUES, ["column"], *ISSUE_METRICS),
+            catalog_rows(ORACLES["p4_column_catalog"], ORDER_TYPES),
+            found("attributes", "sample_values", first_values("fx", ORDER_COLUMNS, 10), ["column", "rank"], [], ["value"]),
+            found("imbalance", "dominant_values", "WITH " + vc_cte(["region", "segment"]) + DOMINANT, ["column", "rank"], ["pct"], ["value"]),
             found("target_fairness", "target_distribution", proportions(["big"]), ["attr", "value"], ["n", "pct"]),
             found("target_fairness", "group_proportions", proportions(["region", "segment"]), ["attr", "value"], ["n", "pct"]),
             found("target_fairness", "target_rates_by_group", rates([("region", "region"), ("segment", "segment")], "big"), ["attr", "grp", "label"], ["n", "n_group", "pct"]),
@@ -985,18 +1016,98 @@ check(
     "wr AS (SELECT big, sum(sample_weight) AS w FROM rw GROUP BY big)",
     "wu AS (SELECT big, CAST(count(*) AS DOUBLE) AS w FROM un GROUP BY big)",
 )
-ORACLES["o1_audit_quality"] = union(
-    [
-        found("load", "size", "SELECT count(*) AS n_rows, 6 AS n_columns FROM orders", [], ["n_rows", "n_columns"]),
-        found("quality", "column_issue_report", ORACLES["q8_column_issue_report"], ["column"], ["n_missing", "pct_missing", "n_patterns"], ["mixed", "issues"]),
-    ]
+DIRTY_TYPES = {c: "string" for c in DIRTY_TEXT} | {"o_orderkey": "bigint", "price_raw": "double", "days_raw": "bigint"}
+DIRTY_CATALOG = with_fixture(
+    "fx_dirty",
+    union(
+        [
+            f"SELECT t.\"column\", d.n_unique, d.n_null, rank, value, n, pct FROM ({TOP.format(pct='pct', k=5)}) t JOIN d ON t.\"column\" = d.\"column\"",
+            *[f"SELECT '{c}', count(DISTINCT {c}), count(*) - count({c}), NULL, NULL, NULL, NULL FROM fx" for c in DIRTY_NUMBERS],
+        ]
+    ),
+    vc_cte(DIRTY_TEXT),
+    "d AS (" + union(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, count(*) - count({c}) AS n_null FROM fx" for c in DIRTY_TEXT) + ")",
+)
+check(
+    "o1_audit_quality", "fx_dirty",
+    union(
+        [
+            found("load", "size", "SELECT count(*) AS n_rows, 6 AS n_columns FROM fx", [], ["n_rows", "n_columns"]),
+            found("quality", "column_issue_report", ORACLES["q8_column_issue_report"], ["column"], *ISSUE_METRICS),
+            catalog_rows(DIRTY_CATALOG, DIRTY_TYPES),
+            found("attributes", "sample_values", first_values("fx", DIRTY, 10), ["column", "rank"], [], ["value"]),
+            found("imbalance", "dominant_values", "WITH " + vc_cte(["priority_raw"]) + DOMINANT, ["column", "rank"], ["pct"], ["value"]),
+            *[
+                part.replace("FROM fx", "FROM cc")
+                for part in (
+                    found("target_fairness", "target_distribution", proportions(["status_raw"]), ["attr", "value"], ["n", "pct"]),
+                    found("target_fairness", "group_proportions", proportions(["priority_raw"]), ["attr", "value"], ["n", "pct"]),
+                    found("target_fairness", "target_rates_by_group", rates([("priority_raw", "priority_raw")], "status_raw"), ["attr", "grp", "label"], ["n", "n_group", "pct"]),
+                )
+            ],
+        ]
+    ),
+    cleaned(RICH),
+    "cc AS (SELECT * FROM cl WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in DIRTY) + ")",
 )
+
+
+def outliers(columns: list[str]) -> str:
+    return "SELECT * FROM (" + union(
+        f"""SELECT '{c}' AS "column", any_value(q1) AS q1, any_value(q3) AS q3,
+        count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+        100.0 * count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) / count(*) AS pct
+        FROM (SELECT CAST({c} AS DOUBLE) AS v, quantile_cont(CAST({c} AS DOUBLE), 0.25) OVER () AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) OVER () AS q3 FROM fx)"""
+        for c in columns
+    ) + ") WHERE n_outliers > 0"
+
+
+def normality(columns: list[str]) -> str:
+    return "SELECT \"column\", n, jb, exp(-jb / 2) AS p_value, exp(-jb / 2) > 0.05 AS is_normal FROM (" + union(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, count({c}) / 6 * (pow(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1)), 2) + pow(kurtosis_pop({c}), 2) / 4) AS jb FROM fx"
+        for c in columns
+    ) + ")"
+
+
 DOC_RISK = union(f"SELECT '{c}' AS \"column\", stddev_samp({c}) / (avg({c}) + 1e-10) AS cv FROM fx" for c in ("doc_id", "n_chars", "toxic", "quality"))
 PARITY_COLUMNS = ["base_priv", "base_unpriv", "di", "spd"]
+DOC_TYPES = [("doc_id", "bigint", "numeric"), ("lang", "string", "categorical"), ("source", "string", "categorical"), ("n_chars", "bigint", "numeric"), ("toxic", "int", "numeric"), ("quality", "int", "numeric")]
+DOC_NUMBERS, DOC_FEATURES = ["doc_id", "n_chars", "toxic", "quality"], ["doc_id", "n_chars", "toxic"]
+ANY_DUPLICATE = "(SELECT count(*) FROM fx) > (SELECT count(*) FROM (SELECT DISTINCT * FROM fx))"
 check(
     "o2_full_evaluation", "fx_docs",
     union(
         [
+            found(
+                "basic_info", "basic_info",
+                union(
+                    f"SELECT '{c}' AS \"column\", 'docs' AS table_name, {i} AS ordinal, '{t}' AS dtype, '{k}' AS kind, (SELECT count(*) FROM fx) AS n_rows, 6 AS n_columns, 5 AS n_features"
+                    for i, (c, t, k) in enumerate(DOC_TYPES)
+                ),
+                ["column"], ["ordinal", "n_rows", "n_columns", "n_features"], ["table_name", "dtype", "kind"],
+            ),
+            found("data_quality", "duplicates", "SELECT n AS n_rows, n - d AS n_duplicates, 100.0 * (n - d) / n AS pct FROM (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM fx)) AS d FROM fx)", [], ["n_rows", "n_duplicates", "pct"]),
+            found("data_quality", "constant_columns", "SELECT * FROM (" + union(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique FROM fx" for c, *_ in DOC_TYPES) + ") WHERE n_unique = 1", ["column"], ["n_unique"]),
+            found("data_quality", "high_cardinality", "SELECT * FROM (" + union(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique FROM fx" for c in ("lang", "source")) + ") WHERE 2 * n_unique > (SELECT count(*) FROM fx)", ["column"], ["n_unique"]),
+            found("data_quality", "iqr_outliers", outliers(DOC_NUMBERS), ["column"], ["q1", "q3", "n_outliers", "pct"]),
+            found(
+                "data_quality", "quality_flag",
+                f"""SELECT CASE WHEN k = 0 THEN 'GOOD' ELSE 'NEEDS_ATTENTION' END AS flag, k AS n_issues FROM (SELECT ({ANY_DUPLICATE})::INT
+                + (least({', '.join(f'count(DISTINCT {c})' for c, *_ in DOC_TYPES)}) = 1)::INT + (2 * greatest(count(DISTINCT lang), count(DISTINCT source)) > count(*))::INT AS k FROM fx)""",
+                [], ["n_issues"], ["flag"],
+            ),
+            found("feature_analysis", "numeric_stats", union(numeric_row(c) for c in DOC_FEATURES), ["column"], ["n", "mean", "std", "min", "max", "median", "skew", "kurt", "n_unique"]),
+            found("feature_analysis", "categorical_stats", "WITH " + vc_cte(["lang", "source"]) + " SELECT \"column\", count(*) AS n_unique, -sum(p * ln(p)) AS entropy FROM (SELECT \"column\", n / sum(n) OVER (PARTITION BY \"column\") AS p FROM vc) GROUP BY 1", ["column"], ["n_unique", "entropy"]),
+            found("feature_analysis", "top_text_values", "WITH " + vc_cte(["lang", "source"]) + " " + TOP.format(pct="pct", k=3), ["column", "rank"], ["n", "pct"], ["value"]),
+            found("sensitive_labels", "sensitive_by_category", "SELECT 'docs' AS table_name, 'doc_id' AS \"column\", 'personal_identifiers' AS category", ["table_name", "column"], [], ["category"]),
+            found("sensitive_labels", "privacy_warning", "SELECT 'docs' AS table_name, 1 AS n_columns, 'PRIVACY WARNING: Sensitive attributes detected. Ensure proper anonymization and compliance with regulations (GDPR, HIPAA, etc.)' AS warning", ["table_name"], ["n_columns"], ["warning"]),
+            found("statistical_tests", "normality_screen", normality(DOC_NUMBERS), ["column"], ["n", "jb", "p_value"], ["is_normal"]),
+            found("statistical_tests", "high_correlations", f"SELECT * FROM ({pearson(DOC_NUMBERS)}) WHERE abs(value) > 0.8", ["column_a", "column_b"], ["value"]),
+            found("automated_profiling", "table_profile", table_profile(["doc_id", "lang", "source", "n_chars", "toxic", "quality"]), [], ["n_variables", "n_observations", "missing_cells", "missing_cells_pct", "duplicate_rows", "duplicate_rows_pct"]),
+            found(
+                "automated_profiling", "auto_profile", union(profile_row(c, c in DOC_NUMBERS) for c, *_ in DOC_TYPES), ["column"],
+                ["n_missing", "p_missing", "n_distinct", "mean", "std", "min", "max", "n_zeros", "n_categories"], ["type", "is_unique"],
+            ),
             found("missing_data", "missing_overall", "SELECT count(*) AS n_rows, 0 AS n_cells_missing, 0.0 AS pct_missing, count(*) AS n_complete, 0 AS n_incomplete FROM fx", [], ["n_rows", "n_cells_missing", "pct_missing", "n_complete", "n_incomplete"]),
             found("missing_data", "missing_pattern", "SELECT '000000' AS pattern, count(*) AS n FROM fx", ["pattern"], ["n"]),
             found("missing_data", "missing_recommendation", "SELECT 'No missing data detected. Dataset is complete.' AS recommendation", [], [], ["recommendation"]),
@@ -1021,3 +1132,33 @@ check(
         ]
     ),
 )
+
+def proxy_rows(stage: str, operator: str, sql: str, subject: list[str], values: list[str], shares: list[str]) -> str:
+    """As ``found``: values that do not hang on the model, and names of shares that do."""
+    about = "concat_ws(' / ', " + ", ".join(f"'{c}=' || CAST({c} AS VARCHAR)" for c in subject) + ")" if subject else "''"
+    head = f"SELECT '{stage}' AS stage, '{operator}' AS operator, {about} AS subject"
+    return union(
+        [f"{head}, '{m}' AS metric, {r6(m)} AS value, CAST(NULL AS BOOLEAN) AS is_share FROM ({sql})" for m in values]
+        + [f"{head}, '{m}' AS metric, CAST(NULL AS DOUBLE) AS value, true AS is_share FROM ({sql})" for m in shares]
+    )
+
+
+def tested_groups(pairs: list[tuple[str, str]]) -> str:
+    return union(f"SELECT '{a}' AS attr, {g} AS grp, count(*) AS n, avg(big) AS base_rate FROM te GROUP BY 2" for a, g in pairs)
+
+
+GROUP_SHARES = ["accuracy", "f1_macro", "selection_rate", "tpr", "tnr", "fpr", "fnr"]
+check(
+    "o1_audit_proxy", "fx_orders",
+    union(
+        [
+            proxy_rows("imbalance", "classification_report", "SELECT big AS label, count(*) AS support FROM te GROUP BY 1", ["label"], ["support"], ["precision", "recall", "f1"]),
+            proxy_rows("imbalance", "classification_summary", "SELECT 1", [], [], ["accuracy", "f1_macro", "f1_weighted"]),
+            proxy_rows("imbalance", "group_metrics", tested_groups([("region", "region"), ("segment", "segment")]), ["attr", "grp"], ["n", "base_rate"], GROUP_SHARES),
+            proxy_rows("imbalance", "prediction_parity", "SELECT unnest(['region', 'segment']) AS attr", ["attr"], [], ["spd"]),
+            proxy_rows("target_fairness", "intersectional_group_metrics", tested_groups(AUDIT_PAIR), ["attr", "grp"], ["n", "base_rate"], GROUP_SHARES),
+        ]
+    ),
+    f"""te AS (SELECT * FROM fx QUALIFY row_number() OVER (PARTITION BY big ORDER BY {HASH_ORDER.format(key='o_orderkey')})
+        <= round(0.25 * count(*) OVER (PARTITION BY big)))""",
+)

@@ -23,7 +23,7 @@ from auditloom.operators import (
     resample,
     stats,
 )
-from auditloom.plans.audit import audit, audit_findings
+from auditloom.plans.audit import Proxy, audit, audit_findings
 from auditloom.plans.evaluation import full_evaluation
 from auditloom.session import shared_folder
 from auditloom.sources import nulls, tables
@@ -380,6 +380,15 @@ def _(spark, sf_dir):
     return tables.inventory_outputs(spark, folder, ["reweighted", "undersampled"])
 
 
+@query("c8_preview_outputs")
+def _(spark, sf_dir):
+    docs = fixture(spark, sf_dir, "fx_docs")
+    folder = f"{shared_folder(spark)}/{sf_dir.strip('/').replace('/', '-')}-preview"
+    tables.write_mitigated(resample.undersample(docs, ["doc_id"], "quality"), folder, "undersampled")
+    tables.write_mitigated(docs, folder, "given")
+    return tables.preview_outputs(spark, folder, ["given", "undersampled"], ["doc_id"])
+
+
 # ------------------------------------------------------------------------- statistics
 
 simple("t1_high_correlations", "fx_num", association.high_correlations)
@@ -393,21 +402,39 @@ simple("t3_drift_recommendation", "fx_num", stats.drift_recommendation)
 
 @on("o1_audit", "fx_orders")
 def _(d):
-    d = d.drop("nation", "c_acctbal")
-    results = audit(d, "o_orderkey", "big", ["region", "segment", "big"], methods=["reweighted", "undersampled"])
-    return audit_findings(results, ["target_fairness", "comparison_reweighted", "comparison_undersampled", "comparison"])
+    return audit_findings(audit(d, "o_orderkey", "big", ["region", "segment", "big"], methods=["reweighted", "undersampled"]))
 
 
 @on("o1_audit_quality", "fx_dirty")
 def _(d):
-    results = audit(d, "o_orderkey", "status_raw", ["priority_raw"])
-    return audit_findings(results, ["load", "quality"])
+    return audit_findings(audit(d, "o_orderkey", "status_raw", ["priority_raw"]))
+
+
+#: What of a classifier's findings does not hang on the model.
+SETTLED_METRICS = ["n", "base_rate", "support", "n_orig", "n_mit"]
+
+
+@on("o1_audit_proxy", "fx_orders")
+def _(d):
+    """The audit with a proxy model, before and after a treatment: all rows of its findings;
+    values that hang on the model are checked to be shares, or left out."""
+    results = audit(d, "o_orderkey", "big", ["region", "segment"], methods=["reweighted"], proxy=Proxy(model.LOGISTIC))
+    kept = ["classification_report", "classification_summary", "group_metrics", "prediction_parity", "error_rate_ratios", "compare_fairness"]
+    found = audit_findings([r for r in results if r.operator in [*kept, "intersectional_group_metrics"]])
+    is_share = F.col("metric").isin(SHARES)
+    return found.where(is_share | F.col("metric").isin(SETTLED_METRICS)).select(
+        "stage", "operator", "subject", "metric",
+        F.when(F.col("metric").isin(SETTLED_METRICS), F.col("value_double")).alias("value"),
+        F.when(is_share, F.coalesce(F.col("value_double").between(0.0, 1.0), F.lit(True))).alias("is_share"),
+    )
+
+
+SHARES = ["accuracy", "f1_macro", "f1_weighted", "precision", "recall", "f1", "selection_rate", "tpr", "tnr", "fpr", "fnr", "spd"]
 
 
 @on("o2_full_evaluation", "fx_docs")
 def _(d):
-    kept = ["missing_data", "class_balance", "fairness_analysis", "overall_quality_score", "drift_risk"]
-    return audit_findings(full_evaluation(d, "quality", DOC_SENS, "docs"), kept)
+    return audit_findings(full_evaluation(d, "quality", DOC_SENS, "docs"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
