@@ -61,10 +61,10 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scores AS (
-  SELECT q.vec_id AS query_id, v.vec_id, v.r, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  SELECT q.r AS q, q.vec_id AS query_id, v.vec_id, v.r, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
   FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, r) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r) AS INTEGER) AS rank, vec_id, score
   FROM scores
 )
 SELECT * FROM ranked WHERE rank <= 20

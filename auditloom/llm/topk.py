@@ -13,8 +13,9 @@ queries times the number of vectors at most, spread over (block, shard) tasks.
 
 Edge cases: a vector that is null or has a null or non-finite component, or a null id, takes
 no part; of vectors of unlike length the missing components count as zero; rows that share
-the query's id are its own rows and no candidates; other repeated rows are candidates each;
-ties go to the smaller id; scores are 64-bit and wrap beyond; other columns are ignored.
+the query's id are its own rows and no candidates; other repeated rows are candidates each,
+and a query row that is repeated gets a list for each of its rows; no rows give no lists; ties go
+to the smaller id; scores are 64-bit and wrap beyond; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +36,17 @@ FEW = 0.03
 
 
 def _whole_numbers(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """Ids and components floor(scale * x) of the vectors that take part."""
+    """Ids and components floor(scale * x) of the vectors that take part, and a number for each row."""
     x = F.col(f"`{vector_col}`")
     usable = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     numbers = F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
-    return vectors.filter(usable & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), numbers.alias("v"))
+    return vectors.filter(usable & F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), numbers.alias("v"), F.monotonically_increasing_id().alias("row")
+    )
 
 
 def _blocks(vectors: DataFrame, count: int, name: str) -> DataFrame:
-    """Vectors dealt into ``count`` blocks by hash, one row each: ids, numbers, dimensions."""
+    """Vectors dealt into ``count`` blocks by hash, one row each: ids, row numbers, numbers, dimensions."""
 
     def run(batches):
         for table in groups(batches, name):
@@ -58,15 +61,16 @@ def _blocks(vectors: DataFrame, count: int, name: str) -> DataFrame:
                 [
                     pa.array([table.column(name)[0].as_py()], pa.int64()),
                     pa.array([np.asarray(table.column("id")).tobytes()]),
+                    pa.array([np.asarray(table.column("row")).tobytes()]),
                     pa.array([matrix.tobytes()]),
                     pa.array([dims], pa.int32()),
                 ],
-                [name, f"{name}_ids", f"{name}_numbers", f"{name}_dims"],
+                [name, f"{name}_ids", f"{name}_rows", f"{name}_numbers", f"{name}_dims"],
             )
 
-    dealt = vectors.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count)))
-    return dealt.repartition(name).sortWithinPartitions(name, "id").mapInArrow(
-        run, f"{name} long, {name}_ids binary, {name}_numbers binary, {name}_dims int"
+    dealt = vectors.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(count)))
+    return dealt.repartition(name).sortWithinPartitions(name, "row").mapInArrow(
+        run, f"{name} long, {name}_ids binary, {name}_rows binary, {name}_numbers binary, {name}_dims int"
     )
 
 
@@ -144,19 +148,21 @@ def top_k(
             for row in batch.to_pylist():
                 here = Shard(*_unpacked(row["shard_ids"], row["shard_numbers"], row["shard_dims"]))
                 ids, numbers = _unpacked(row["block_ids"], row["block_numbers"], row["block_dims"])
+                rows = np.frombuffer(row["block_rows"], np.int64)
                 for at in range(0, len(ids), BATCH):
                     some = ids[at : at + BATCH]
                     found = list(here.best(some, numbers[at : at + BATCH], k))
-                    sizes = [len(f[1]) for f in found]
+                    sizes, which = [len(f[1]) for f in found], [f[0] for f in found]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.repeat(some[[f[0] for f in found]], sizes), pa.int64()),
+                            pa.array(np.repeat(rows[at : at + BATCH][which], sizes), pa.int64()),
+                            pa.array(np.repeat(some[which], sizes), pa.int64()),
                             *(pa.array(np.concatenate([f[c] for f in found]), pa.int64()) for c in (1, 2)),
                         ],
-                        ["query_id", "vec_id", "score"],
+                        ["query_row", "query_id", "vec_id", "score"],
                     )
 
-    found = index.join(asked.hint("shuffle_hash"), ["shard", "block"]).mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = index.join(asked.hint("shuffle_hash"), ["shard", "block"]).mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

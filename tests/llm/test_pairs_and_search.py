@@ -146,6 +146,15 @@ def test_top_k_edge_cases(spark):
     assert len(got) == 4 and {r[2] for r in got} == {1}  # rows of the query's own id are no candidates
 
 
+@pytest.mark.parametrize(("shard", "queries"), [(16_384, 2_048), (9, 2)])
+def test_rows_that_share_a_query_id_get_a_list_each(spark, rng, shard, queries):
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1, 60)]
+    rows += [(0, [1.0, 0.0, 0.0, 0.0]), (0, [0.0, -1.0, 0.0, 0.0]), (0, [0.0, -1.0, 0.0, 0.0]), (40, [0.0, 0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, shard=shard, queries=queries).collect())
+    assert got == brute_top(rows) and sum(r[0] == 0 for r in got) == 60
+
+
 # ------------------------------------------------------------------ packing
 
 
