@@ -142,6 +142,8 @@ def without_repeats(
     if window % 2 == 0:
         raise ValueError("the window is an odd number of words")
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # rows without an id match nothing, and must not meet in one chunk
+    lone, given = given.filter("id IS NULL"), given.filter("id IS NOT NULL")
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, ranges = max(1, -(-total // chunk_bytes)), max(1, -(-total // range_bytes))
     shift = _shift(ranges)
@@ -263,4 +265,12 @@ def without_repeats(
     out = chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
         cut, "id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string"
     )
-    return out.withColumnRenamed("id", id_col)
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    lone = lone.select(
+        "id",
+        F.when(words == "", 0).otherwise(F.size(F.split(words, " "))).cast("long").alias("n_words"),
+        F.lit(0).cast("long").alias("n_removed"),
+        F.array().cast("array<struct<start: long, end: long>>").alias("spans"),
+        words.alias("kept"),
+    )
+    return out.unionAll(lone).withColumnRenamed("id", id_col)

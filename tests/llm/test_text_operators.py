@@ -364,3 +364,11 @@ def test_pii_edge_cases(edge_docs, no_docs):
 
 def test_clashing_fixture_has_all_names():
     assert len(document(1, "x")) == len(SCHEMA.split(","))
+
+
+def test_rows_without_an_id_keep_their_words(spark):
+    texts = [None, "", " \t ", "a  b\x0bc\r\n", " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(40)), "é\u00a0x y"]
+    rows = [(None, t) for t in texts] + [(1, texts[4]), (2, texts[4])]
+    got = sorted(map(tuple, repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept").collect()), key=repr)
+    words = [[w.decode() for w in (t or "").encode().split()] for t in texts]
+    assert got == sorted([(None, len(w), 0, " ".join(w)) for w in words] + [(1, 40, 0, texts[4]), (2, 40, 40, "")], key=repr)
