@@ -85,23 +85,29 @@ def _closest(q: np.ndarray, q_ids, b: np.ndarray, b_ids, k: int, drop_self=False
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _not_too_far(q, q_ids, limits, b, b_ids, directions, drop_self=False, slice_rows: int = 1024, pairs: int = 1 << 16):
-    """(query position, base position, distance) of the pairs within each query's limit, and how many were computed.
+def _not_too_far(q, q_ids, limits, b, b_ids, basis, leading, drop_self=False, slice_rows: int = 1024, pairs: int = 1 << 16):
+    """(query position, base position, distance) of the pairs within each query's limit, and how many no bound excludes.
 
-    A pair's distance is at least that over some directions together with the difference of
-    the norms of what is left.
+    A pair's distance is at least that over the leading directions together with the
+    difference of the norms of what is left. Where that leaves more than a few pairs, the other
+    directions are a matrix product too, and only what is still near is computed directly.
     """
     found, computed = [], 0
-    left, right = q @ directions, b @ directions
-    rest_q, rest_b = (np.sqrt(np.maximum((x * x).sum(1) - (y * y).sum(1), 0.0)) for x, y in ((q, left), (b, right)))
+    (left, left_rest), (right, right_rest) = ((x[:, :leading], x[:, leading:]) for x in (q @ basis, b @ basis))
+    rest_q, rest_b = (np.sqrt((x * x).sum(1)) for x in (left_rest, right_rest))
     margin = 1e-9 * (1.0 + (q * q).sum(1).max() + (b * b).sum(1).max())
     for start in range(0, len(q), slice_rows):
         part = slice(start, start + slice_rows)
-        least = _squared(left[part], right) + (rest_q[part, None] - rest_b[None, :]) ** 2
+        near, limit = _squared(left[part], right), limits[part, None] ** 2 + margin
+        alive = near + (rest_q[part, None] - rest_b[None, :]) ** 2 <= limit
         if drop_self:
-            least[q_ids[part][:, None] == b_ids[None, :]] = np.inf
-        rows, cols = np.nonzero(least <= limits[part, None] ** 2 + margin)
-        computed += len(rows)
+            alive &= q_ids[part][:, None] != b_ids[None, :]
+        n_alive = int(np.count_nonzero(alive))
+        computed += n_alive
+        if n_alive > alive.size // 16:
+            near += _squared(left_rest[part], right_rest)
+            alive &= near <= limit
+        rows, cols = np.nonzero(alive)
         for at in range(0, len(rows), pairs):
             r, c = rows[at : at + pairs] + start, cols[at : at + pairs]
             diff = q[r] - b[c]
@@ -129,7 +135,7 @@ class _Index:
         self.between = np.sqrt(_squared(self.centres, self.centres))
         values, vectors = np.linalg.eigh(np.atleast_2d(np.cov(sample.T)))
         shares = np.cumsum(values[::-1]) / max(values.sum(), 1e-300)
-        self.directions = vectors[:, ::-1][:, : int(np.searchsorted(shares, VARIANCE)) + 1]
+        self.basis, self.leading = vectors[:, ::-1].copy(), int(np.searchsorted(shares, VARIANCE)) + 1
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell and the ring of each row."""
@@ -198,7 +204,7 @@ def nearest_neighbours(
 
     ``lsh`` aims at ``recall`` of the neighbours with a cosine of ``near`` or more; ``bits``
     and ``tables`` follow from that and the number of rows unless given. ``work`` counts the
-    pairs whose distance was computed.
+    pairs that no bound excludes.
     """
     if method not in ("exact", "lsh"):
         raise ValueError("method is 'exact' or 'lsh'")
@@ -289,7 +295,7 @@ def _exact(points: DataFrame, key_type: str, k: int, include_self: bool, block_r
                         continue
                     names = q_ids[some]
                     if within:
-                        rows, cols, dist, n = _not_too_far(q[some], names, limits[some], b, b_ids, index.directions, not include_self)
+                        rows, cols, dist, n = _not_too_far(q[some], names, limits[some], b, b_ids, index.basis, index.leading, not include_self)
                     else:
                         rows, cols, dist = _closest(q[some], names, b, b_ids, k, drop_self=not include_self)
                         n = len(names) * len(b_ids)
