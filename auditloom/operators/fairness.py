@@ -130,14 +130,12 @@ def bucket_ranges(buckets: DataFrame) -> DataFrame:
 def top_combinations(df: DataFrame, column_pairs: Sequence[Pair], target: str, k: int = 50, cells: DataFrame | None = None) -> DataFrame:
     """The k largest combinations of each pair with their target distribution."""
     rates = _rates(df, [list(p) for p in column_pairs], target, cells, None)
-    per_group = rates.groupBy("attr", "key").agg(
-        F.first("n_group").alias("size"), F.collect_list(F.struct("label", "n", "n_group", "pct")).alias("labels")
-    )
+    sizes = rates.groupBy("attr", "key").agg(F.first("n_group").alias("size"))
     order = W.partitionBy("attr").orderBy(F.col("size").desc(), group_label(F.col("key")), "key")
-    return (
-        per_group.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("attr", group_label(F.col("key")).alias("grp"), F.inline("labels"))
+    # k groups a pair are left before their labels are looked up
+    largest = sizes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("attr", "key")
+    return rates.join(F.broadcast(largest), ["attr", "key"]).select(
+        "attr", group_label(F.col("key")).alias("grp"), "label", "n", "n_group", "pct"
     )
 
 
