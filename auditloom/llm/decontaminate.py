@@ -12,7 +12,8 @@ part takes one pass over the documents per part, with the parts dealt by window
 Edge cases: a null or empty text has no words and no hits; an item without words has no
 windows; an item with a null id marks words but is never listed; repeated rows of either
 table count as they stand (items are listed once); extra columns are ignored by ``leaks``
-and kept by ``decontaminate``; an empty benchmark hits nothing.
+and kept by ``decontaminate``; an empty benchmark hits nothing; no documents give no
+rows; a null document id is kept; texts of any length are taken whole.
 """
 
 from __future__ import annotations

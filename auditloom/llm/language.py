@@ -12,7 +12,8 @@ prototypes are added up in each task before one row per task and language is shu
 Texts are lower-cased; runs of anything but letters are one blank. Edge cases: a null text or
 one without letters is ``und`` with score 0; texts of no known language train nothing; with
 no training texts everything is ``und``; equal cosines go to the smaller name; repeated rows
-count as they stand; other columns are ignored.
+count as they stand; a null id is kept; texts of any length are taken whole; other columns
+are ignored; no rows train nothing and give none.
 """
 
 from __future__ import annotations

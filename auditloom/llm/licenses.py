@@ -14,7 +14,8 @@ data. Words: A-Z in lower case, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 Edge cases: a null or empty text matches nothing; a template of fewer than 3 words is one
 gram; of overlapping matches the one with more matched words stays (then the higher coverage,
 then the smaller name), so a notice counts once; repeated rows are reported as they stand;
-other columns are ignored.
+a null id is kept; texts of any length are taken whole; other columns are ignored; no rows
+give none.
 """
 
 from __future__ import annotations

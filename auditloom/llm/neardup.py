@@ -15,7 +15,8 @@ emits only the links that join new ones, never all pairs.
 Edge cases: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer words
 than a shingle is one shingle; a null or empty text has an empty set, is linked with
 nothing and is kept; rows repeated with the same id are one document; a row with a null id
-is linked with nothing, its component is null and it is kept; other columns are ignored.
+is linked with nothing, its component is null and it is kept; texts of any length
+are taken whole; other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ looked up one by one; each different part is tokenised once per task.
 
 Edge cases: a null or empty text is the end mark alone; repeated rows are packed as often
 as they stand; pieces of equal length are placed in the order of id and piece; other
-columns are ignored; no rows give no pieces.
+columns are ignored; a null id is kept; texts of any length are taken whole; no rows give no pieces.
 """
 
 from __future__ import annotations

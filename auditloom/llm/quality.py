@@ -18,8 +18,9 @@ different words is calibrated on held-out labels. Without ``toxic`` labels nothi
 Edge cases: a null text counts as empty; a document without a row in ``labels`` (or with a
 null one) is unlabelled; of several labels the mean decides, and a tie is good; with labels
 of one class only, or none, nothing is rejected and every score is 1; a null language or
-source is a value of its own, and so is a missing column; other columns are ignored by
-``scores`` and kept by ``accepted``.
+source is a value of its own, and so is a missing column; a document with a
+null id is scored and unlabelled; texts of any length are taken whole; no documents give no
+rows; other columns are ignored by ``scores`` and kept by ``accepted``.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ a passage in very many documents is one question per chunk.
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Edge cases: a null or empty text has no words;
 documents of fewer words than a window lose nothing; a document with a null id neither loses
 words nor makes others lose any; rows repeated with one id keep theirs, as neither id is
-smaller; other columns are ignored.
+smaller; texts of any length are taken whole; other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations

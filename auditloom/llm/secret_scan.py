@@ -10,7 +10,8 @@ Besides, three base kinds are always reported as they stand: ``assign``, ``acces
 
 Spans are code points of the given text, the end exclusive. Edge cases: a null or empty text
 has no spans; two targets of one literal report it once, with the higher score; repeated rows
-are reported as they stand; other columns are ignored.
+are reported as they stand; a null id is kept; texts of any length are taken whole, in time
+linear in their length; other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
