@@ -13,29 +13,40 @@ from auditloom.session import shared_folder
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the co-trained quality classifier rejects, and without toxic ones."""
+    """Without the documents that the co-trained quality classifier rejects, and without toxic ones.
+
+    A null text counts as empty; a document with a null id is judged by its text alone; repeated
+    rows are judged alike; without labels of both kinds nothing is rejected.
+    """
     return quality.accepted(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8)."""
+    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8).
+
+    Empty and null texts and documents with a null id are linked with nothing and stay; rows
+    that repeat the kept document's id stay with it.
+    """
     found = neardup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
     dropped = found.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without benchmark passages."""
+    """Without benchmark passages.
+
+    Texts without a hit, null and empty ones too, stay as they are; an empty benchmark changes nothing.
+    """
     return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With pseudonyms for personal data."""
+    """With pseudonyms for personal data; null stays null, and equal values get equal pseudonyms everywhere."""
     return pii.pseudonymised(docs, queries.PII_KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
+    """The pieces of the documents and their places in sequences; a null or empty text is its end mark alone."""
     return packing.packed(docs, queries.tokenizer(), marked=True)
 
 
