@@ -15,7 +15,7 @@ from auditloom.session import shared_folder
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the co-trained quality classifier rejects, and without toxic ones.
 
-    A null text counts as empty; a document with a null id is judged by its text alone; repeated
+    A null text counts as empty; a document with a null id is judged like any other; repeated
     rows are judged alike; without labels of both kinds nothing is rejected.
     """
     return quality.accepted(docs, queries.table(spark, sf_dir, "labels"))
