@@ -129,7 +129,15 @@ def leading_values(
     counts = keyed_counts(df, columns)
     shown = F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string"))
     by = ["whole", "real", "text"] if smallest else [F.col("n").desc(), shown]
-    found = counts.where(shown.isNotNull()).withColumn("place", F.rank().over(W.partitionBy("column").orderBy(*by))).where(F.col("place") <= k)
+    known = counts.where(shown.isNotNull())
+    # k keys a column and task meet in one task, which says where the first k end; ties with the last are taken in by a filter
+    first = known.withColumn("place", F.row_number().over(W.partitionBy("column").orderBy(*by))).where(F.col("place") <= k)
+    ends = first.withColumn("shown", shown).groupBy("column").agg(F.max_by(F.struct("whole", "real", "text", "n", "shown"), "place").alias("end"))
+    end = lambda c: F.col("end")[c]
+    up_to = (F.col("n") > end("n")) | ((F.col("n") == end("n")) & (shown <= end("shown")))
+    if smallest:
+        up_to = F.coalesce(*[F.col(c) <= end(c) for c in KINDS])
+    found = known.join(F.broadcast(ends), "column").where(up_to)
     kept = found.select(*KEY, "n", F.lit(None).cast("bigint").alias("n_rows"))
     told = column_facts(df, columns, counts, moments)
     kept = settled(kept.unionByName(told if facts else told.select("column", "n_rows"), allowMissingColumns=True))
