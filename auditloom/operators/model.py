@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from auditloom.functions.hashing import keyed_md5, unit_interval
 from auditloom.functions.joins import join_lookup
 from auditloom.functions.quantiles import exact_quantiles
 from auditloom.functions.ranking import ordered_codes
+from auditloom.operators.kernel import CALIBRATION_SHARE, COMPONENTS, GaussianFeatures, platt, probabilities
 from auditloom.operators.resample import class_counts
 from auditloom.operators.sampling import SEED, lowest_by_hash
 from auditloom.session import settled
@@ -27,6 +28,8 @@ from auditloom.session import settled
 # The model names, their defaults, and the share of test rows.
 TEST_SHARE = 0.25
 FOREST, BOOSTING, LOGISTIC, SVM = "Random Forest", "Gradient Boosting", "Logistic Regression", "SVM"
+#: Without a kernel; not among the fixed names.
+LINEAR_SVM = "Linear SVM"
 FOREST_TREES, FOREST_DEPTH = 100, 10
 BOOSTING_TREES, BOOSTING_DEPTH = 100, 3
 LOGISTIC_ITERATIONS = 1000
@@ -93,7 +96,8 @@ def stratified_split(
 def classifier(model_type: str, params: dict | None, n_rows: int, n_classes: int, weight: str | None, seed: int = SEED):
     """The Spark estimator for a model name; any unknown name means a random forest.
 
-    ``params`` uses the names n_estimators, max_depth, learning_rate and C.
+    ``params`` uses the names n_estimators, max_depth, learning_rate and C. The estimator of
+    ``SVM`` is the linear one that is trained over the features of its kernel.
     """
     p = params or {}
     if p.get("max_depth", 0) > DEEPEST:
@@ -107,7 +111,7 @@ def classifier(model_type: str, params: dict | None, n_rows: int, n_classes: int
             maxIter=p.get("n_estimators", BOOSTING_TREES), maxDepth=p.get("max_depth", BOOSTING_DEPTH),
             stepSize=p.get("learning_rate", 0.1), seed=seed,
         )
-    elif model_type == SVM:
+    elif model_type in (SVM, LINEAR_SVM):
         model = LinearSVC(maxIter=p.get("max_iter", 100), regParam=1.0 / (p.get("C", 1.0) * max(n_rows, 1)))
     else:
         model = RandomForestClassifier(
@@ -115,7 +119,7 @@ def classifier(model_type: str, params: dict | None, n_rows: int, n_classes: int
         )
     if weight:
         model = model.setWeightCol(weight)
-    if n_classes > 2 and model_type in (BOOSTING, SVM):
+    if n_classes > 2 and model_type in (BOOSTING, SVM, LINEAR_SVM):
         return OneVsRest(classifier=model, weightCol=weight) if weight else OneVsRest(classifier=model)
     return model
 
@@ -131,11 +135,16 @@ def train_and_predict(
     carry: Sequence[str] = (),
     exact_split: bool = False,
     seed: int = SEED,
+    probability: bool = False,
 ) -> DataFrame:
     """(key, carried columns, y, yhat) for the test rows; labels as texts.
 
     Sensitive columns stay among the features, as a proxy model should see them. The
-    encoded table is settled once, with the carried columns in it.
+    encoded table is settled once, with the carried columns in it. ``SVM`` has a Gaussian
+    kernel (``gamma``, by default one over the number of features, which are standardised;
+    ``n_components`` random cosines). ``probability`` adds that of the predicted label; models
+    without probabilities of their own are fitted on four fifths of the training rows and
+    calibrated on the rest.
     """
     along = list(dict.fromkeys([*carry, *([weight] if weight else [])]))
     encoded = encode_features(df, target, key, along)
@@ -152,11 +161,27 @@ def train_and_predict(
     n_classes = labels.count()
     train = points.where(~F.col("is_test"))
     weight_col = f"__carry_{along.index(weight)}" if weight else None
+    if model_type == SVM:
+        p = params or {}
+        kernel = GaussianFeatures(train, "features", seed, p.get("gamma"), p.get("n_components", COMPONENTS))
+        points, train = (kernel.transform(t, "features", "features") for t in (points, train))
+    calibrate = probability and (model_type in (SVM, LINEAR_SVM) or (model_type == BOOSTING and n_classes > 2))
+    if calibrate:
+        draw = unit_interval(keyed_md5(*[F.col(f"__key_{i}") for i in range(len(key))], f"calibration-{seed}"))
+        train, held_out = train.where(draw >= CALIBRATION_SHARE), train.where(draw < CALIBRATION_SHARE)
     model = classifier(model_type, params, train.count(), n_classes, weight_col, seed)
     fitted = model.setFeaturesCol("features").setLabelCol("target_code").fit(train)
 
-    scored = fitted.transform(points.where("is_test")).drop("target_code").withColumnRenamed("prediction", "target_code")
+    scored = fitted.transform(points.where("is_test"))
+    chances = []
+    if probability:
+        known = vector_to_array("probability") if not calibrate else probabilities(
+            platt(fitted.transform(held_out), "target_code", n_classes, weight_col), n_classes
+        )
+        scored = scored.withColumn("__chance", F.get(known, F.col("prediction").cast("int")))
+        chances = [F.col("__chance").alias("probability")]
+    scored = scored.drop("target_code").withColumnRenamed("prediction", "target_code")
     return join_lookup(scored, labels, ["target_code"], "left", n_rows=n_classes).select(
         *[F.col(f"__key_{i}").alias(k) for i, k in enumerate(key)], F.col("__label").alias("y"), "yhat",
-        *[F.col(f"__carry_{along.index(c)}").alias(c) for c in carry],
+        *[F.col(f"__carry_{along.index(c)}").alias(c) for c in carry], *chances,
     )

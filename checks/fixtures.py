@@ -98,6 +98,12 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderpriority E
 FROM orders""",
     "fx_emb": """
 SELECT vec_id, embedding, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings""",
+    "fx_lines": """
+SELECT l.l_orderkey, o.o_orderpriority AS priority, o.o_orderstatus AS status,
+       sum(l.l_quantity) AS quantity, sum(l.l_extendedprice) AS price, max(l.l_tax) AS tax,
+       CASE WHEN count(*) BETWEEN 3 AND 5 THEN 1 ELSE 0 END AS middling
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+GROUP BY l.l_orderkey, o.o_orderpriority, o.o_orderstatus""",
     "fx_events": "SELECT event_id, ts, user_id, event_type, value FROM events",
 }
 

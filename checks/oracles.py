@@ -674,6 +674,16 @@ for m3 in ("random_forest", "gradient_boosting", "logistic_regression", "linear_
             for c in ("region", "segment", "priority")
         ),
     )
+TESTED_LINES = TESTED.replace("o_orderkey", "l_orderkey")
+for m3 in ("kernel_svm", "random_forest_lines"):
+    check(
+        f"m3_{m3}", "fx_lines",
+        f"SELECT 'priority' AS attr, priority AS grp, count(*) AS n, {r6('avg(middling)')} AS base_rate, CAST(sum(middling) AS BIGINT) AS n_pos, CAST(sum(1 - middling) AS BIGINT) AS n_neg, true AS adds_up, true AS learns FROM {TESTED_LINES} GROUP BY priority",
+    )
+check(
+    "m3_svm_probability", "fx_lines",
+    f"SELECT CAST(middling AS VARCHAR) AS y, count(*) AS n, count(*) AS n_between, true AS calibrated FROM {TESTED_LINES} GROUP BY middling",
+)
 
 
 def per_label(source: str, group: str | None = None) -> str:
