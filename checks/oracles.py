@@ -1172,3 +1172,4 @@ check(
     f"""te AS (SELECT * FROM fx QUALIFY row_number() OVER (PARTITION BY big ORDER BY {HASH_ORDER.format(key='o_orderkey')})
         <= round(0.25 * count(*) OVER (PARTITION BY big)))""",
 )
+ORACLES["o1_audit_resumed"] = ORACLES["o1_audit"]

@@ -23,7 +23,7 @@ from auditloom.operators import (
     resample,
     stats,
 )
-from auditloom.plans.audit import Proxy, audit, audit_findings
+from auditloom.plans.audit import Proxy, audit, audit_findings, run_audit
 from auditloom.plans.evaluation import full_evaluation
 from auditloom.session import shared_folder
 from auditloom.sources import nulls, tables
@@ -431,6 +431,16 @@ def _(d):
     return audit_findings(audit(d, "o_orderkey", "status_raw", ["priority_raw"]))
 
 
+@query("o1_audit_resumed")
+def _(spark, sf_dir):
+    """An audit run twice over the same rows in another order: the second reads what is there."""
+    orders = fixture(spark, sf_dir, "fx_orders")
+    folder = f"{shared_folder(spark)}/{sf_dir.strip('/').replace('/', '-')}-audits"
+    for rows in (orders, orders.repartition("segment")):
+        found = run_audit(rows, "o_orderkey", folder, "big", ["region", "segment", "big"], methods=["reweighted", "undersampled"])
+    return found.select("stage", "operator", "subject", "metric", "value_double", "value_string")
+
+
 #: What of a classifier's findings does not hang on the model.
 SETTLED_METRICS = ["n", "base_rate", "support", "n_orig", "n_mit"]
 
