@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,3 +54,37 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+# Acklam's rational approximation of the normal quantile (relative error 1.2e-9).
+CENTRE_TOP = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+CENTRE_BOTTOM = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+TAIL_TOP = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+TAIL_BOTTOM = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+TAIL = 0.02425
+# Abramowitz and Stegun's approximation of the normal tail (error 7.5e-8).
+TAIL_STEP = 0.2316419
+TAIL_SERIES = [1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530, 0.0]
+
+
+def _polynomial(coefficients: list[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The value below which a standard normal variable falls with probability ``p`` in (0, 1)."""
+    q = p - 0.5
+    centre = q * _polynomial(CENTRE_TOP, q * q) / _polynomial(CENTRE_BOTTOM, q * q)
+    far = F.sqrt(-2.0 * F.log(F.least(p, 1.0 - p)))
+    tail = _polynomial(TAIL_TOP, far) / _polynomial(TAIL_BOTTOM, far)
+    return F.when(p < TAIL, tail).when(p > 1.0 - TAIL, -tail).otherwise(centre)
+
+
+def normal_upper_tail(z: Column) -> Column:
+    """The probability that a standard normal variable exceeds ``z``."""
+    far = F.abs(z)
+    tail = F.exp(-far * far / 2.0) / (2.0 * math.pi) ** 0.5 * _polynomial(TAIL_SERIES, 1.0 / (1.0 + TAIL_STEP * far))
+    return F.when(z >= 0, tail).otherwise(1.0 - tail)

@@ -1,11 +1,13 @@
-"""Statistical screens: normality and unstable variation."""
+"""Statistical screens: normality by moments and by order statistics, and unstable variation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.columns import long_numbers, numeric_columns
+from auditloom.functions.numbers import normal_quantile, normal_upper_tail
+from auditloom.functions.ranking import VALUES_PER_TASK, running_totals
 
 # Significance level, variation limit.
 ALPHA = 0.05
@@ -35,6 +37,52 @@ def normality_screen(df: DataFrame) -> DataFrame:
     )
 
 
+#: Ranks of one value that are scored together; longer runs of ties are cut.
+RUN = 4096
+
+
+def shapiro_francia(df: DataFrame, values_per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """Shapiro-Francia test of all numeric columns over all their rows.
+
+    ``w`` is the squared correlation of the ordered values with the normal scores of their
+    ranks (Blom's positions). Values are counted first, so that ranks are running totals of
+    counts over ranges of values; a run of equal values is cut into pieces, which are dealt
+    anew, and only then unfolded into ranks. ``p_value`` follows Royston's normal
+    approximation of ln(1 - w), fitted for 5 to 5,000 rows and extrapolated beyond. Columns
+    with fewer than five values, without variation, or with an infinite value are not judged.
+    """
+    names = numeric_columns(df)
+    counted = long_numbers(df, names).where("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counted, ["column"], "x", values_per_task=values_per_task)
+    means = placed.groupBy("column").agg(F.sum("n").alias("n_all"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+    pieces = (
+        placed.join(F.broadcast(means), "column")
+        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))))
+        .repartition("column", "before", "piece")
+    )
+    first = F.col("before") + F.col("piece") * RUN
+    last = F.col("before") + F.least("n", (F.col("piece") + 1) * RUN)
+    ranked = pieces.select(
+        "column", "n_all", (F.col("x") - F.col("mean")).alias("d"), F.explode(F.sequence(first + 1, last)).alias("rank")
+    ).withColumn("m", normal_quantile((F.col("rank") - 0.375) / (F.col("n_all") + 0.25)))
+    d, m = F.col("d"), F.col("m")
+    sums = ranked.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(d * m).alias("dm"), F.sum(d * d).alias("dd"), F.sum(m * m).alias("mm")
+    )
+    w = F.col("dm") * F.col("dm") / (F.col("dd") * F.col("mm"))
+    judged = sums.where((F.col("n") >= 5) & (F.col("dd") > 0) & ~F.isnan("dd")).select("column", "n", w.alias("w"))
+    p = normal_upper_tail(_royston(F.col("w"), F.col("n")))
+    return judged.withColumn("p_value", p).withColumn("is_normal", F.col("p_value") > ALPHA)
+
+
+def _royston(w: Column, n: Column) -> Column:
+    # Royston's approximation of mean and deviation of ln(1 - w).
+    log_n = F.log(n.cast("double"))
+    mean = -1.2725 + 1.0521 * (F.log(log_n) - log_n)
+    deviation = 1.0308 - 0.26758 * (F.log(log_n) + 2.0 / log_n)
+    return (F.log(F.greatest(1.0 - w, F.lit(1e-300))) - mean) / deviation
+
+
 def variation_risk(df: DataFrame) -> DataFrame:
     """Coefficient of variation of all numeric columns; a negative mean never triggers."""
     names = numeric_columns(df)

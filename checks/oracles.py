@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from auditloom.functions import numbers
 from checks.fixtures import FIXTURES, TABLES
 
 ORACLES: dict[str, str] = {}
@@ -906,6 +907,37 @@ check(
         for c in VARYING
     ) + ")",
 )
+
+def horner(coefficients: list[float], x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def francia(fixture_name: str, columns: list[str]) -> None:
+    """Every row ranked by itself, its score by the published approximation."""
+    cells = union(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS x FROM fx WHERE {c} IS NOT NULL" for c in columns)
+    tail = f"({horner(numbers.TAIL_TOP, 'far')} / {horner(numbers.TAIL_BOTTOM, 'far')})"
+    centre = f"((p - 0.5) * {horner(numbers.CENTRE_TOP, 'qq')} / {horner(numbers.CENTRE_BOTTOM, 'qq')})"
+    z_tail = f"(exp(-z * z / 2) / sqrt(2 * pi()) * {horner(numbers.TAIL_SERIES, f'(1 / (1 + {numbers.TAIL_STEP} * abs(z)))')})"
+    name = "t2_shapiro_francia" + ("" if fixture_name == "fx_num" else "_events")
+    check(
+        name, fixture_name,
+        f"""SELECT "column", n, {r6('w')} AS w, {r6('p_value')} AS p_value, p_value > 0.05 AS is_normal
+        FROM (SELECT *, CASE WHEN z >= 0 THEN {z_tail} ELSE 1 - {z_tail} END AS p_value FROM zs)""",
+        f"cells AS ({cells})",
+        """ps AS (SELECT "column", x - avg(x) OVER (PARTITION BY "column") AS d,
+          (row_number() OVER (PARTITION BY "column" ORDER BY x) - 0.375::DOUBLE) / (count(*) OVER (PARTITION BY "column") + 0.25::DOUBLE) AS p FROM cells)""",
+        "qs AS (SELECT *, (p - 0.5) * (p - 0.5) AS qq, sqrt(-2 * ln(least(p, 1 - p))) AS far FROM ps)",
+        f"ms AS (SELECT \"column\", d, CASE WHEN p < {numbers.TAIL} THEN {tail} WHEN p > 1 - {numbers.TAIL} THEN -{tail} ELSE {centre} END AS m FROM qs)",
+        """ws AS (SELECT "column", count(*) AS n, pow(sum(d * m), 2) / (sum(d * d) * sum(m * m)) AS w FROM ms GROUP BY 1 HAVING sum(d * d) > 0)""",
+        "zs AS (SELECT *, (ln(1 - w) - (-1.2725 + 1.0521 * (ln(ln(n)) - ln(n)))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS z FROM ws)",
+    )
+
+
+francia("fx_num", VARYING)
+francia("fx_events", ["event_id", "user_id", "value"])
 RISK = union(
     f"SELECT '{c}' AS \"column\", stddev_samp({c}) / (avg({c}) + 1e-10) AS cv FROM fx" for c in NUM_COLUMNS
 )

@@ -415,6 +415,8 @@ def _(spark, sf_dir):
 simple("t1_high_correlations", "fx_num", association.high_correlations)
 simple("t1_pearson", "fx_num", lambda d: association.pearson(d, [c for c in d.columns if c != "const_col"]))
 simple("t2_normality_screen", "fx_num", stats.normality_screen, digits=3)
+simple("t2_shapiro_francia", "fx_num", stats.shapiro_francia)
+simple("t2_shapiro_francia_events", "fx_events", stats.shapiro_francia)
 simple("t3_variation_risk", "fx_num", stats.variation_risk)
 simple("t3_drift_recommendation", "fx_num", stats.drift_recommendation)
 
