@@ -249,3 +249,20 @@ def test_rows_without_target_stay(spark):
     df = labelled(spark).withColumn("y", F.when(F.col("id") % 100 != 1, F.col("y")))
     for made in (resample.oversample(df, ["id"], "y"), resample.undersample(df, ["id"], "y")):
         assert made.where("y is null").count() == 30
+
+
+def test_narrowing_reads_the_rows_a_few_times(spark):
+    """Values over many magnitudes, of which no range holds few rows at first."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=95_000) * 10.0 ** rng.integers(-30, 30, 95_000), np.zeros(5_000), [-0.0, np.inf, -np.inf]])
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(4).mapInPandas(counted, "x double")
+    got = narrowed_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.9], interval_rows=10)["x"]
+    assert got == [pytest.approx(v, rel=1e-12) for v in np.quantile(x, [0.1, 0.25, 0.5, 0.9])]
+    assert read.value <= 3 * len(x)
