@@ -71,6 +71,14 @@ def test_given_vectors_exact_and_hashed(spark, given):
     assert exact.value < 0.9 * len(given) ** 2 and hashed.value < len(given) ** 2
 
 
+def test_few_distances_are_computed_in_full_without_structure(spark):
+    """Small blocks give loose bounds, which shrink with what is found, and no pair is given on that is not needed."""
+    x = np.random.default_rng(6).normal(size=(2500, 64))
+    work = spark.sparkContext.accumulator(0)
+    assert found(nb.nearest_neighbours(frame(spark, x), "id", "v", 7, block_rows=64, work=work)) == brute(x, 7)
+    assert work.value < 0.15 * len(x) ** 2
+
+
 def test_hashing_of_clustered_vectors_compares_a_part(spark):
     x = clustered(1000, np.random.default_rng(2))
     work = spark.sparkContext.accumulator(0)
