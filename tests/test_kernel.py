@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.operators import model
+from auditloom.operators import kernel, model
 from auditloom.operators.kernel import GaussianFeatures, platt, probabilities
 
 
@@ -74,3 +74,11 @@ def test_platt_without_rows_or_with_one_class(spark):
     fitted = platt(one.select("label", vector(one)), "label", 2)
     p = one.select(vector(one)).select(F.get(probabilities(fitted, 2), F.lit(1)).alias("p"))
     assert all(abs(r["p"] - 0.9) < 0.02 for r in p.collect())  # (8 + 1) / (8 + 2)
+
+
+def test_training_rows_are_dealt_by_the_size_of_their_cosines(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    dealt = kernel.spread(rows, components=256, task_bytes=100 * 256 * 8)
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 150
+    assert kernel.spread(rows).count() == 1000
