@@ -2,7 +2,8 @@
 
 A stage is a set of named results over one input. Building them runs some jobs: quality
 screens look at the data to choose their plans, the proxy is trained, and treated tables
-are written. The results themselves are lazy; the input is read by each and not kept.
+are written. The results themselves are lazy and each reads the input, so its rows are settled
+first: a view's joins are made once, not by every result.
 
 ``audit`` builds all stages. ``run_audit`` builds and writes one after the other, and where it
 was ended goes on: findings, predictions and treated tables are kept under a digest of the
@@ -24,7 +25,7 @@ from auditloom.operators import balance, compare, fairness, metrics, profile, qu
 from auditloom.operators.catalog import SENSITIVE_WORDS, TARGET_NAMES, catalog_of, sensitive_by_keyword
 from auditloom.operators.model import FOREST, train_and_predict
 from auditloom.plans.kept import Kept, table_fingerprint
-from auditloom.session import shared_folder
+from auditloom.session import settled, shared_folder
 from auditloom.sources.nulls import blank_to_null, complete_cases, null_tokens
 from auditloom.sources.tables import findings, write_findings
 
@@ -94,6 +95,7 @@ def audit(
     session's shared folder) and compared as read back from there.
     """
     folder = folder or f"{shared_folder(df.sparkSession)}/treated-{uuid.uuid4().hex}"
+    df = settled(df)
     stages = audit_stages(df, Kept(df, folder, resume=False), key, target, sensitive, selected_pairs, methods, proxy, strategy)
     return [result for stage in stages.values() for result in stage()]
 
@@ -118,6 +120,8 @@ def run_audit(
     settings = repr((key, target, None if sensitive is None else list(sensitive), selected_pairs, list(methods), proxy, strategy))
     run_id = "run-" + hashlib.sha256(f"{table_fingerprint(df)} {settings}".encode()).hexdigest()[:32]
     kept = Kept(df, f"{folder.rstrip('/')}/runs/{run_id}", resume=True)
+    given = df
+    df = kept.table("input", lambda: given)
     stages = audit_stages(df, kept, key, target, sensitive, selected_pairs, methods, proxy, strategy)
     path = f"{folder.rstrip('/')}/findings"
     for name, stage in stages.items():

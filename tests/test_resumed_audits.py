@@ -60,3 +60,12 @@ def test_an_ended_audit_goes_on(people, tmp_path, monkeypatch):
     whole = content(plan.audit_findings(plan.audit(people, "id", folder=str(tmp_path / "plain"), **given)))
     assert content(resumed) == content(again) == whole
     assert {"load", "quality", "attributes", "imbalance", "target_fairness", "comparison_undersampled", "comparison"} == {r[0] for r in whole}
+
+
+def test_results_read_settled_rows_instead_of_the_joins_of_a_view(spark):
+    left = spark.range(200).selectExpr("id", "id % 3 as g", "id % 2 as y")
+    right = spark.range(3).selectExpr("id as g", "concat('group', id) as sex")
+    results = plan.audit(left.join(right, "g"), "id", "y", ["sex"])
+    size = next(r.frame for r in results if r.operator == "size")
+    assert "Join" not in size._jdf.queryExecution().optimizedPlan().toString()
+    assert size.first()["n_rows"] == 200
