@@ -118,3 +118,27 @@ def test_tables_grow_with_the_sides_and_the_recall():
     assert nb.tables_for(0.8, 0.9, 4, 1) < nb.tables_for(0.8, 0.9, 12, 1) < nb.tables_for(0.8, 0.99, 12, 1)
     assert nb.tables_for(0.8, 0.9, 12, 3) < nb.tables_for(0.8, 0.9, 12, 0)
     assert nb.tables_for(1.0, 0.9, 12, 0) == 1
+
+
+def test_hashing_into_many_tables_compares_a_pair_once(spark):
+    """More buckets than tiles: vectors are sent to the tiles, whose rows meet once however many tables they share."""
+    x = np.random.default_rng(9).normal(size=(600, 16))
+    work = spark.sparkContext.accumulator(0)
+    got, want = found(nb.nearest_neighbours(frame(spark, x), "id", "v", 5, method="lsh", bits=5, tables=60, work=work)), brute(x, 5)
+    assert sum(len({*got.get(i, [])} & {*w}) for i, w in want.items()) >= 0.9 * 5 * len(x)
+    assert 0 < work.value <= len(x) ** 2
+
+
+@pytest.mark.parametrize("coarse", [3, 16])
+def test_tiles_and_buckets_find_the_same(spark, coarse, monkeypatch):
+    monkeypatch.setattr(nb, "COARSE_BITS", coarse)
+    rng = np.random.default_rng(10)
+    x, groups = clustered(600, rng, dims=6), np.where(rng.random(600) < 0.8, 0, rng.integers(1, 9, 600))
+    df = frame(spark, x, groups)
+    df = df.unionAll(df.where("id % 50 = 0"))  # ids that come twice
+    points, few = nb._points(df, "id", "v", "g"), np.random.default_rng(11).normal(size=(6, 4 * 5))
+    kept = [
+        sorted(map(tuple, f(points, "bigint", 600, False, 32, few, 5, 2, None).distinct().collect()))
+        for f in (nb._hashed_tiles, nb._hashed_buckets)
+    ]
+    assert kept[0] == kept[1] and 600 < len(kept[0]) < 600 * 599
