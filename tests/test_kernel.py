@@ -82,3 +82,77 @@ def test_training_rows_are_dealt_by_the_size_of_their_cosines(spark):
     sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 1000 and max(sizes) <= 150
     assert kernel.spread(rows).count() == 1000
+
+
+@pytest.fixture(scope="module")
+def coded(ring):
+    """The ring with weights, two classes and three."""
+    from pyspark.ml.feature import VectorAssembler
+
+    third = F.when((F.col("y") == "in") & (F.col("a") > 0), 2.0).when(F.col("y") == "in", 1.0).otherwise(0.0)
+    points = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(ring)
+    return points.withColumns({"two": (F.col("y") == "in").cast("double"), "three": third, "w": 0.5 + F.col("id") % 3}).persist()
+
+
+def test_training_holds_no_cosines_and_reads_its_input_once(spark, ring, monkeypatch):
+    monkeypatch.setattr(GaussianFeatures, "transform", lambda *_: pytest.fail("cosines are made as rows of a table"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    df = ring.select("id", counted("a").alias("a"), "b", "y")
+    scored = model.train_and_predict(df, ["id"], "y", model.SVM, {"max_iter": 3}, probability=True)
+    assert scored.count() > 0 and read.value == ring.count()
+
+
+@pytest.mark.parametrize(("label", "classes", "weight"), [("two", 2, None), ("two", 2, "w"), ("three", 3, "w")])
+def test_the_machine_is_the_one_that_spark_trains_over_held_cosines(coded, label, classes, weight):
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    gaussian, reg = GaussianFeatures(coded, "features", 3, components=32), 1.0 / coded.count()
+    svc = LinearSVC(maxIter=40, regParam=reg, labelCol=label)
+    svc = svc.setWeightCol(weight) if weight else svc
+    held = gaussian.transform(coded, "features", "features")
+    spark_s = (svc if classes == 2 else OneVsRest(classifier=svc, labelCol=label, weightCol=weight)).fit(held)
+    ours = kernel.fit_machine(gaussian, coded, classes, reg, 40, "features", label, weight)
+
+    def predicted(scored):
+        return np.array([r["prediction"] for r in scored.orderBy("id").collect()])
+
+    assert (predicted(spark_s.transform(held)) == predicted(ours.transform(coded))).mean() > 0.97
+    raw = np.array([r["rawPrediction"].toArray() for r in ours.transform(coded).orderBy("id").collect()])
+    if classes == 2:  # the loss is as low as Spark's
+        rows = held.orderBy("id").collect()
+        z, y, w = np.array([r["features"].toArray() for r in rows]), np.array([2 * r[label] - 1 for r in rows]), np.array([r[weight] if weight else 1.0 for r in rows])
+        dev = np.sqrt(np.average((z - np.average(z, axis=0, weights=w)) ** 2, axis=0, weights=w))
+
+        def loss(decision, weights):
+            return w @ np.maximum(0, 1 - y * decision) / w.sum() + reg / 2 * ((weights * dev) ** 2).sum()
+
+        theirs = loss(z @ spark_s.coefficients.toArray() + spark_s.intercept, spark_s.coefficients.toArray())
+        assert loss(raw[:, 1], ours.weights[:, 0]) <= theirs * 1.01
+
+
+def test_sums_of_many_tasks_are_added_in_tasks(coded, monkeypatch):
+    gaussian = GaussianFeatures(coded, "features", 3, components=16)
+    few = kernel.fit_machine(gaussian, coded, 2, 1e-3, 5, label="two")
+    monkeypatch.setattr(kernel, "MOST_SUMS", 1)
+    many = kernel.fit_machine(gaussian, coded, 2, 1e-3, 5, label="two")
+    assert np.allclose(few.weights, many.weights, rtol=1e-6) and np.abs(few.weights).max() > 0
+
+
+def test_cosines_in_single_precision_however_far_a_row_lies(coded):
+    gaussian = GaussianFeatures(coded, "features", 3)
+    for x in (np.random.default_rng(1).normal(size=(50, 2)), np.array([[1e6, -3e5], [0.0, 1.0]])):
+        exact = np.sqrt(2 / 256) * np.cos((x - gaussian.mean) * gaussian.scale @ gaussian.directions + gaussian.phases)
+        assert np.abs(gaussian.piece()(x) - exact).max() < 1e-5
+
+
+def test_weights_that_are_none_are_refused(coded):
+    gaussian = GaussianFeatures(coded, "features", 3, components=16)
+    for bad in (F.lit(None).cast("double"), F.lit(-1.0), F.lit(0.0)):
+        with pytest.raises(Exception, match="weights"):
+            kernel.fit_machine(gaussian, coded.withColumn("w", bad), 2, 1e-3, 2, label="two", weight="w")
