@@ -142,3 +142,53 @@ def test_tiles_and_buckets_find_the_same(spark, coarse, monkeypatch):
         for f in (nb._hashed_tiles, nb._hashed_buckets)
     ]
     assert kept[0] == kept[1] and 600 < len(kept[0]) < 600 * 599
+
+
+@pytest.mark.parametrize("case", ["copies", "few_share", "classes", "ids_twice"])
+def test_candidates_and_buckets_find_the_same(spark, case, monkeypatch):
+    """The nearest rows that share a bucket, found by products first; rows that find too few go to the buckets."""
+    rng = np.random.default_rng(12)
+    groups = np.zeros(500, int)
+    x = {"copies": np.repeat(rng.normal(size=(25, 6)), 20, axis=0), "few_share": -np.abs(rng.normal(size=(500, 6))) * rng.choice([-1, 1], 500)[:, None]}.get(case, clustered(500, rng, dims=6))
+    if case == "classes":
+        groups = np.where(rng.random(500) < 0.8, 0, rng.integers(1, 40, 500))
+    df = frame(spark, x, groups)
+    if case == "ids_twice":
+        df = df.unionAll(df.where("id % 3 = 0")).unionAll(df.where("id % 7 = 0").selectExpr("id", "transform(v, y -> y + 0.5) as v", "g"))
+    points, n_tables, bits = nb._points(df, "id", "v", "g"), {"few_share": 1}.get(case, 4), 6
+    planes = np.random.default_rng(13).normal(size=(6, n_tables * bits))
+    searched = []
+    monkeypatch.setattr(nb, "_bucket_search", lambda *a, f=nb._bucket_search: searched.append(1) or f(*a))
+    monkeypatch.setattr(nb, "CANDIDATES", 2)
+
+    def nearest(f):
+        pairs = f(points, "bigint", 3, False, 64, planes, bits, 1, None).groupBy("__id", "neighbour").agg({"distance": "min"}).collect()
+        rows = sorted((i, round(d, 9), j) for i, j, d in map(tuple, pairs))
+        return [r for k, r in enumerate(rows) if k < 3 or rows[k - 3][0] != r[0]]
+
+    tried = nearest(nb._hashed_candidates)
+    if case == "few_share":
+        assert searched  # some rows were not done with their candidates
+    assert tried == nearest(nb._hashed_tiles) and len(tried) > 200
+
+
+def test_where_buckets_hold_many_rows_no_tile_is_hashed_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(nb, "_sharing", lambda *_: pytest.fail("a tile is hashed into all tables"))
+    x = np.random.default_rng(14).normal(size=(800, 16))
+    work = spark.sparkContext.accumulator(0)
+    got = found(nb.nearest_neighbours(frame(spark, x), "id", "v", 5, method="lsh", near=0.3, recall=0.91, work=work))
+    want = brute(x, 5)
+    assert sum(len({*got.get(i, [])} & {*w}) for i, w in want.items()) >= 0.9 * 5 * len(x)
+    assert work.value < 0.5 * len(x) ** 2
+
+
+def test_pairs_within_a_limit_are_all_found():
+    rng = np.random.default_rng(15)
+    q, b = rng.normal(size=(70, 5)) * 1e3, rng.normal(size=(90, 5)) * 1e3
+    b[:7], limits = q[:7], rng.random(70) * 2e3
+    q[9, 2] = b[11, 0] = np.nan
+    limits[3] = 0.0
+    rows, cols = nb._Product(q, b).pairs(np.arange(70), np.arange(90), limits)
+    true = {*zip(*map(np.ndarray.tolist, np.nonzero(np.sqrt(((q[:, None] - b[None]) ** 2).sum(2)) <= limits[:, None])))}
+    got = {*zip(rows.tolist(), cols.tolist())}
+    assert true <= got and (3, 3) in got and len(got) < 1.05 * len(true) + 5
